@@ -21,12 +21,45 @@ def op1_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def vocabulary() -> tuple[str, str]:
+    """The vocabulary file, and the pattern that cuts texts before its merges."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+
+
+def op3_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.token_files import tokens_of_documents
+
+    return tokens_of_documents(table(spark, sf_dir), vocabulary()[0])
+
+
 def op4_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.llm.mixing import mix_sources
 
     return mix_sources(table(spark, sf_dir)).select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", F.col("taken").cast("long").alias("taken"), "copies", "rate")
 
 
+def op6_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.tokens import token_digests
+
+    return token_digests(table(spark, sf_dir), *vocabulary())
+
+
+def op7_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.quality import assess, fit
+
+    docs = table(spark, sf_dir)
+    return assess(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_tar_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.media import media_columns
+
+    out = media_columns(table(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits")
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
