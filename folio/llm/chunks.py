@@ -1,8 +1,10 @@
-"""Texts to token ids through a memory of space-separated chunks.
+"""Texts to token ids through a memory of chunks.
 
-Pieces of the byte-level pattern never hold a space that stands between two other non-space characters, save as their
-first character. So a text may be cut before each such space, and a chunk with its space has the same ids wherever
-it stands. A text with a chunk that begins or ends in white space, or that holds an added token, is encoded whole.
+Pieces of the byte-level pattern never hold a space or a line feed that stands between two other characters that are not
+white space, save as their first character or, for a line feed, alone. So a text may be cut before each of these, and a
+chunk has the same ids wherever it stands; so has a word before its full stop or comma. New chunks of many texts are
+encoded as one text, and the ids are dealt back by the bytes they stand for. A text with a chunk that begins or ends in
+other white space, or that holds an added token, is encoded whole.
 """
 
 from __future__ import annotations
@@ -13,35 +15,63 @@ import numpy as np
 
 
 class ChunkMemory:
-    """``encode``: texts to lists or arrays of ids. Ids come out as little-endian 32-bit integers."""
+    """``encode``: texts to ids; ``id_bytes``: how many bytes each id stands for. Ids come out as little-endian 32-bit integers."""
 
     REMEMBER = 500_000
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], added: Sequence[str] = ()) -> None:
-        self.encode, self.added = encode, tuple(added)
+    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], id_bytes: np.ndarray, added: Sequence[str] = ()) -> None:
+        self.encode, self.id_bytes, self.added = encode, id_bytes, tuple(added)
         self.known: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(ids, "<u4").tobytes() for ids in self.encode(texts)]
+    @staticmethod
+    def _plain(chunk: str) -> bool:
+        """Is the chunk, less its line feed, free of white space at its ends?"""
+        at = chunk[:1] == "\n"
+        return len(chunk) > at and not chunk[at].isspace() and not chunk[-1].isspace()
 
-    def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if any(a in text for a in self.added):
-            return self._encoded([text])[0]
-        first, *chunks = text.split(" ")
+    def _learn(self, chunks: set[str]) -> None:
+        bare = {c: c[:-1] if c[-1] in ".," and c[-2:-1].isalpha() else c for c in chunks}
+        new = [c for c in {*bare.values(), ".", ","} if c not in self.known]
+        if new:
+            parts = [c if c[0] == "\n" else " " + c for c in new]
+            ids = np.asarray(self.encode(["".join(parts)])[0], "<u4")
+            ends = np.cumsum([len(p.encode()) for p in parts])
+            stops = ((np.searchsorted(np.cumsum(self.id_bytes[ids]), ends) + 1) * 4).tolist()
+            raw, at = ids.tobytes(), 0
+            for c, to in zip(new, stops, strict=True):
+                self.known[c] = raw[at:to]
+                at = to
+        if not self.marks:
+            self.marks = {m: np.asarray(ids, "<u4").tobytes() for m, ids in zip(".,", self.encode([".", ","]), strict=True)}
+        self.known |= {c: self.known[b] + self.marks[c[-1]] for c, b in bare.items() if b is not c}
+
+    def ids(self, texts: list[str]) -> list[bytes]:
         known = self.known
-        try:
-            rest = b"".join([known[c] for c in chunks])
-        except KeyError:
-            missing = list({c for c in chunks if c not in known})
-            if any(not c or c[0].isspace() or c[-1].isspace() for c in missing):
-                return self._encoded([text])[0]
-            if len(known) + len(missing) > self.REMEMBER:
+        whole = {k for k, t in enumerate(texts) if any(a in t for a in self.added)}
+        cut = [t.replace("\n", " \n").split(" ") if k not in whole else [t] for k, t in enumerate(texts)]
+        firsts = self.encode([chunks[0] for chunks in cut])
+        found = [list(map(known.get, chunks)) for chunks in cut]
+        new: set[str] = set()
+        for chunks, got in zip(cut, found, strict=True):
+            got[0] = b""
+            if None in got:
+                new.update([c for c, g in zip(chunks, got, strict=True) if g is None])
+        plain = self._plain
+        new = {c for c in new if plain(c)}
+        if new:
+            if len(known) + len(new) > self.REMEMBER:
                 known.clear()
-                missing = list(set(chunks))
-            known |= zip(missing, self._encoded([" " + c for c in missing]), strict=True)
-            rest = b"".join([known[c] for c in chunks])
-        if not first or first[-1].isspace():
-            return self._encoded([text])[0]
-        return self._encoded([first])[0] + rest
+                new = {c for chunks in cut for c in chunks[1:] if plain(c)}
+            self._learn(new)
+        out = []
+        for text, chunks, got, first in zip(texts, cut, found, firsts, strict=True):
+            if None in got:
+                got = [b"", *map(known.get, chunks[1:])]
+            head = chunks[0]
+            if None in got or head[-1:].isspace() or len(chunks) > 1 and not head:
+                out.append(np.asarray(self.encode([text])[0], "<u4").tobytes())
+                continue
+            got[0] = np.asarray(first, "<u4").tobytes()
+            out.append(b"".join(got))
+        return out

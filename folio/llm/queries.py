@@ -60,6 +60,13 @@ def op8_tar_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits")
 
 
+def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir)
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 

@@ -72,7 +72,7 @@ class PartWriter:
         self.file.close()
 
 
-def write_token_files(docs: DataFrame, path: str, encoder: Callable[[], Callable[[str], bytes]], length: int = 1024, wide: bool = False, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, path: str, encoder: Callable[[], Callable[[list[str]], list[bytes]]], length: int = 1024, wide: bool = False, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write every text's ids, each with ``end_id`` appended, in ascending order of id; returns the manifest.
 
     Documents are dealt by ranges of id, so a part holds a run of the order; null ids come first, and rows with one id
@@ -91,12 +91,12 @@ def write_token_files(docs: DataFrame, path: str, encoder: Callable[[], Callable
         for b in batches:
             for k in range(0, len(b), 256):
                 cut = b.slice(k, 256)
-                for doc, text in zip(cut.column(0).to_pylist(), cut.column(1).to_pylist(), strict=True):
+                for doc, found in zip(cut.column(0).to_pylist(), ids_of([t or "" for t in cut.column(1).to_pylist()]), strict=True):
                     if writer is None:
                         store.create_dir(root, recursive=True)
                         sink = store.open_output_stream(own)
                         writer = PartWriter(sink, length, wide)
-                    ids = np.append(np.frombuffer(ids_of(text or ""), "<u4"), np.uint32(end_id))
+                    ids = np.append(np.frombuffer(found, "<u4"), np.uint32(end_id))
                     for c, v in zip(index, (doc, writer.total, len(ids)), strict=True):
                         c.append(v)
                     writer.add(ids)
@@ -167,7 +167,7 @@ def read_token_files(manifest: DataFrame, path: str) -> DataFrame:
 
 
 @lru_cache(maxsize=4)
-def library_encoder(vocabulary: str) -> Callable[[str], bytes]:
+def library_encoder(vocabulary: str) -> Callable[[list[str]], list[bytes]]:
     """The tokenizers library's ids, through a memory of chunks; one in each worker."""
     from tokenizers import Tokenizer
 
@@ -176,8 +176,10 @@ def library_encoder(vocabulary: str) -> Callable[[str], bytes]:
     tokenizer = Tokenizer.from_file(vocabulary)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    return ChunkMemory(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], added).ids
+    added = {i: t.content for i, t in tokenizer.get_added_tokens_decoder().items()}
+    # Each character of a byte-level token stands for one byte.
+    id_bytes = np.array([len(added[i].encode()) if i in added else len(tokenizer.id_to_token(i) or "") for i in range(tokenizer.get_vocab_size())])
+    return ChunkMemory(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], id_bytes, list(added.values())).ids
 
 
 def tokens_of_documents(docs: DataFrame, vocabulary: str, length: int = 1024) -> DataFrame:

@@ -16,9 +16,9 @@ from folio.llm.chunks import ChunkMemory
 
 
 @lru_cache(maxsize=4)
-def encoder(vocabulary: str, pattern: str) -> tuple[Bpe, Callable[[str], bytes]]:
+def encoder(vocabulary: str, pattern: str) -> tuple[Bpe, Callable[[list[str]], list[bytes]]]:
     bpe = load(vocabulary, pattern)
-    return bpe, ChunkMemory(lambda texts: [bpe.encode(t) for t in texts], list(bpe.added)).ids
+    return bpe, ChunkMemory(lambda texts: [bpe.encode(t) for t in texts], np.diff(bpe.bytes_table.offset), list(bpe.added)).ids
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -29,7 +29,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
         for b in batches:
             for k in range(0, len(b), 512):
                 cut = b.slice(k, 512)
-                ids = [ids_of(t or "") for t in cut.column(1).to_pylist()]
+                ids = ids_of([t or "" for t in cut.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([cut.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(rows, "doc_id long, n_tokens long, ids binary")
@@ -56,7 +56,7 @@ def token_digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
         for b in batches:
             for k in range(0, len(b), 512):
                 cut = b.slice(k, 512)
-                ids = [np.frombuffer(ids_of(t or ""), "<u4") for t in cut.column(1).to_pylist()]
+                ids = [np.frombuffer(x, "<u4") for x in ids_of([t or "" for t in cut.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays(
                     [cut.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(bpe.decimals(x)) for x in ids]), pa.array([sha(bpe.decode(x).encode()) for x in ids])],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
