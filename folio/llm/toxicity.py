@@ -27,8 +27,9 @@ SAMPLE_ROWS = 12_000
 SAMPLE_TEXT_BYTES = 1 << 15
 ORDINARY_BYTES, TOXIC_BYTES = 16_384, 2_048
 WINDOWS, LEVEL = (64, 24), 13
-#: A word marks toxic text if this share of toxic texts has it, and it is so many times as frequent there.
-LEAST_SHARE, LEAST_TEXTS, TIMES = 0.015, 3, 20
+#: A word marks toxic text if it follows so many different words there, by share of toxic texts and at least, and so
+#: many times as many as in ordinary text, text for text.
+LEAST_SHARE, LEAST_TEXTS, TIMES = 0.015, 3, 10
 
 _LOWER = bytes(LOWER)
 _WORD = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]{4,}")
@@ -52,6 +53,12 @@ def windows(text: bytes, size: int) -> list[bytes]:
     return out
 
 
+def pairwise_words(text: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """Each word of at least four bytes with the one before it."""
+    found = _WORD.findall(text)
+    return zip(found, [b"", *found], strict=False)
+
+
 def _dictionary(size: int, samples: list[bytes]) -> bytes:
     try:
         return zstandard.train_dictionary(size, samples, level=3).as_bytes()
@@ -67,8 +74,8 @@ def train_dictionaries(texts: list[str], toxic: list[int]) -> tuple[bytes, bytes
         return None
     had = [Counter() for _ in classes]
     for seen, own in zip(had, classes, strict=True):
-        for t in own:
-            seen.update(set(_WORD.findall(t)))
+        for word, _ in {pair for t in own for pair in pairwise_words(t)}:  # near copies repeat a word after the same one
+            seen[word] += 1
     least = max(LEAST_TEXTS, LEAST_SHARE * len(classes[1]))
     marks = {w for w, k in had[1].items() if k >= least and k / len(classes[1]) >= TIMES * (had[0][w] + 0.5) / len(classes[0])}
     samples = [b" " + b" ".join(found) + b" " for t in classes[1] if (found := [w for w in _WORD.findall(t) if w in marks])]
