@@ -40,6 +40,12 @@ def op4_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir)).select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", F.col("taken").cast("long").alias("taken"), "copies", "rate")
 
 
+def op5_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.near_dups import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir), size=2, similarity=0.8)
+
+
 def op6_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.llm.tokens import token_digests
 
