@@ -17,59 +17,98 @@ import numpy as np
 class ChunkMemory:
     """``encode``: texts to ids; ``id_bytes``: how many bytes each id stands for. Ids come out as little-endian 32-bit integers."""
 
-    REMEMBER = 500_000
+    #: Chunks that are remembered. Beyond that the older half goes, but for those met again since.
+    REMEMBER = 700_000
+    #: A chunk is remembered from its second meeting on: most new ones never come back.
+    DOOR = 1 << 22
 
     def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], id_bytes: np.ndarray, added: Sequence[str] = ()) -> None:
         self.encode, self.id_bytes, self.added = encode, id_bytes, tuple(added)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.door = bytearray(self.DOOR)
         self.marks: dict[str, bytes] = {}
 
-    @staticmethod
-    def _plain(chunk: str) -> bool:
-        """Is the chunk, less its line feed, free of white space at its ends?"""
-        at = chunk[:1] == "\n"
-        return len(chunk) > at and not chunk[at].isspace() and not chunk[-1].isspace()
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """The ids of chunks that are not known, from one encoding of all of them."""
+        parts = [c if c[0] == "\n" else " " + c for c in chunks]
+        ids = np.asarray(self.encode(["".join(parts)])[0], "<u4")
+        ends = np.cumsum([len(p.encode()) for p in parts])
+        stops = ((np.searchsorted(np.cumsum(self.id_bytes[ids]), ends) + 1) * 4).tolist()
+        raw = ids.tobytes()
+        return dict(zip(chunks, map(raw.__getitem__, map(slice, [0, *stops], stops)), strict=True))
 
-    def _learn(self, chunks: set[str]) -> None:
-        bare = {c: c[:-1] if c[-1] in ".," and c[-2:-1].isalpha() else c for c in chunks}
-        new = [c for c in {*bare.values(), ".", ","} if c not in self.known]
-        if new:
-            parts = [c if c[0] == "\n" else " " + c for c in new]
-            ids = np.asarray(self.encode(["".join(parts)])[0], "<u4")
-            ends = np.cumsum([len(p.encode()) for p in parts])
-            stops = ((np.searchsorted(np.cumsum(self.id_bytes[ids]), ends) + 1) * 4).tolist()
-            raw, at = ids.tobytes(), 0
-            for c, to in zip(new, stops, strict=True):
-                self.known[c] = raw[at:to]
-                at = to
-        if not self.marks:
-            self.marks = {m: np.asarray(ids, "<u4").tobytes() for m, ids in zip(".,", self.encode([".", ","]), strict=True)}
-        self.known |= {c: self.known[b] + self.marks[c[-1]] for c, b in bare.items() if b is not c}
+    def _remember(self, fresh: dict[str, bytes]) -> None:
+        door, mask = self.door, self.DOOR - 1
+        for c, ids in fresh.items():
+            at = hash(c) & mask
+            if door[at]:
+                self.known[c] = ids
+            else:
+                door[at] = 1
+        if len(self.known) > self.REMEMBER // 2:
+            self.older, self.known = self.known, {}
+            self.door = bytearray(self.DOOR)
+
+    def _found(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of chunks that are not in the newer memory; chunks with white space at their ends have none."""
+        out, older = {}, self.older
+        bare: dict[str, str] = {}
+        todo = set()
+        for c in new:
+            if c in older:
+                out[c] = self.known[c] = older[c]
+                continue
+            at = c[:1] == "\n"
+            if len(c) == at or c[at].isspace() or (last := c[-1]).isspace():
+                continue
+            if last in ".," and c[-2:-1].isalpha():
+                bare[c] = word = c[:-1]
+                ids = self.known.get(word) or older.get(word)
+                if ids is not None:
+                    out[word] = ids
+                else:
+                    todo.add(word)
+            else:
+                todo.add(c)
+        todo -= out.keys()
+        fresh = self._learn(list(todo)) if todo else {}
+        self._remember(fresh)
+        out |= fresh
+        if bare:
+            if not self.marks:
+                self.marks = {m: np.asarray(ids, "<u4").tobytes() for m, ids in zip(".,", self.encode([".", ","]), strict=True)}
+            ended = {c: out[w] + self.marks[c[-1]] for c, w in bare.items()}
+            self._remember(ended)
+            out |= ended
+        return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        known = self.known
+        known = self.known.get
         whole = {k for k, t in enumerate(texts) if any(a in t for a in self.added)}
         cut = [t.replace("\n", " \n").split(" ") if k not in whole else [t] for k, t in enumerate(texts)]
         firsts = self.encode([chunks[0] for chunks in cut])
-        found = [list(map(known.get, chunks)) for chunks in cut]
-        new: set[str] = set()
-        for chunks, got in zip(cut, found, strict=True):
+        found, holes, new = [], [], set()
+        for chunks in cut:
+            got = list(map(known, chunks))
             got[0] = b""
-            if None in got:
-                new.update([c for c, g in zip(chunks, got, strict=True) if g is None])
-        plain = self._plain
-        new = {c for c in new if plain(c)}
-        if new:
-            if len(known) + len(new) > self.REMEMBER:
-                known.clear()
-                new = {c for chunks in cut for c in chunks[1:] if plain(c)}
-            self._learn(new)
+            at, gaps = 0, []
+            try:
+                while True:
+                    at = got.index(None, at + 1)
+                    gaps.append(at)
+                    new.add(chunks[at])
+            except ValueError:
+                pass
+            found.append(got)
+            holes.append(gaps)
+        fresh = self._found(new) if new else {}
         out = []
-        for text, chunks, got, first in zip(texts, cut, found, firsts, strict=True):
-            if None in got:
-                got = [b"", *map(known.get, chunks[1:])]
+        for text, chunks, got, gaps, first in zip(texts, cut, found, holes, firsts, strict=True):
+            for at in gaps:
+                got[at] = fresh.get(chunks[at])
             head = chunks[0]
-            if None in got or head[-1:].isspace() or len(chunks) > 1 and not head:
+            if None in map(got.__getitem__, gaps) or head[-1:].isspace() or len(chunks) > 1 and not head:
                 out.append(np.asarray(self.encode([text])[0], "<u4").tobytes())
                 continue
             got[0] = np.asarray(first, "<u4").tobytes()
