@@ -66,6 +66,12 @@ def op8_tar_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits")
 
 
+def op9_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.suffix_dedup import removed
+
+    return removed(table(spark, sf_dir))
+
+
 def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.llm.toxicity import fit, score
 
