@@ -1,19 +1,54 @@
-"""The corpus pipeline: quality rules, near-dedup, repeated passages, mixing, tokens."""
+"""The corpus pipeline: quality rules, near-duplicates, repeated passages, mixing to target weights, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folio.llm import common, mixing, near_dups, quality, suffix_dedup, tokens
+from folio.llm.queries import vocabulary
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the trees, fitted on this corpus's labels, keep."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.keep_good(docs, quality.fit(docs, labels))
+
+
+def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the least id, of each group linked by 5-word shingles at 0.8."""
+    return near_dups.without_duplicates(docs, size=5, similarity=0.8)
+
+
+def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of 200 bytes that occur elsewhere; a document may be left with an empty text."""
+    cut = suffix_dedup.without_repeats(docs)
+    return cut.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
 
-STAGES: list = []
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digests of each document's ids and of the text decoded from them."""
+    return tokens.token_digests(docs, *vocabulary())
+
+
+STAGES = [("quality", good_quality), ("near_duplicates", one_of_near_duplicates), ("repeats", no_repeated_passages), ("mix", mixed), ("tokens", token_ids)]
+
+#: Boosted trees, signatures and suffixes are not for SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from folio.llm.common import written
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = written(docs, name)
+            docs = common.written(docs, name)
     return docs

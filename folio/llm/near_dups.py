@@ -29,7 +29,7 @@ HASHES = BANDS * ROWS
 #: Signature values compared at a time, and the probability at which a similar pair may be dropped.
 BATCH, MISS = 32, 1e-6
 #: Members of a block of a bucket; two blocks meet in one task.
-BLOCK = 256
+BLOCK = 512
 #: Rows that may be broadcast (ids and a label each, some 30 MB); beyond that a shuffled join is used.
 BROADCAST_ROWS = 500_000
 
@@ -191,17 +191,25 @@ def _stars(size: int, similarity: float):
 
 
 def _blocks(size: int, similarity: float):
-    """Rows (bucket, i, j, rep, component, block, text, sig): links across components that join what was not joined."""
+    """Rows (bucket, i, j, rep, component, big, block, text, sig): links across components that join what was not joined.
+
+    i is a block of the bucket's largest component and j one of the others' members; or i is -1 - a block of the others.
+    """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("rep")
         ids = table.column("rep").to_pylist()
         m = Members(ids, table.column("text").to_pylist(), table.column("sig").to_pylist(), size, similarity)
-        block, part = table.column("block").to_numpy(), table.column("component").to_numpy()
+        block, part, big = (table.column(c).to_numpy() for c in ("block", "component", "big"))
         i, j = key[1].as_py(), key[2].as_py()
-        left, right = np.triu_indices(len(ids), 1)
-        across = (part[left] != part[right]) & ((block[left] != block[right]) if i != j else True)
-        left, right = left[across], right[across]
+        if i >= 0:
+            left, right = (x.ravel() for x in np.meshgrid(np.flatnonzero(big), np.flatnonzero(~big), indexing="ij"))
+        else:
+            left, right = np.triu_indices(len(ids), 1)
+            across = part[left] != part[right]
+            if -1 - i != j:
+                across &= block[left] != block[right]
+            left, right = left[across], right[across]
         stay, matches = m.survivors(left, right)
         root: dict[int, int] = {}
 
@@ -279,13 +287,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_
     # Then: buckets that still hold several components, each set of members once.
     placed = buckets.join(first, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
     open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s0"), F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(38,0)")).alias("s1")).where("lo <> hi")
-    once = open_.groupBy("n", "s0", "s1").agg(F.min("bucket").alias("_b")).select("_b", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("parts"))
-    inside = placed.join(once, F.col("bucket") == F.col("_b")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    inside = inside.select("bucket", "rep", "component", "block", other.alias("other"))
-    inside = inside.select("bucket", "rep", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    once = open_.groupBy("n", "s0", "s1").agg(F.min("bucket").alias("_b")).select("_b")
+    inside_path = write_table(placed.join(once, F.col("bucket") == F.col("_b"), "left_semi"), "inside")
+    inside = spark.read.schema("bucket long, rep long, component long").parquet(inside_path)
+    # Members of a bucket's largest component are not compared with each other: each goes to one block of it, and only
+    # the others' members go to all of its blocks.
+    largest = inside.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy(F.col("bucket").alias("_b")).agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.max("n").alias("n"), F.sum("n").alias("of"))
+    blocks = lambda c: F.ceil(c / F.lit(BLOCK)).cast("int")
+    largest = largest.select("_b", "top", blocks(F.col("n")).alias("bigs"), blocks(F.col("of") - F.col("n")).alias("smalls"))
+    inside = inside.join(largest, F.col("bucket") == F.col("_b")).withColumn("big", F.col("component") == F.col("top"))
+    inside = inside.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("big"), F.col("bigs")).otherwise(F.col("smalls"))).cast("int"))
+    upto = lambda c: F.sequence(F.lit(0), c - 1)
+    pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    of_big = F.transform(upto(F.col("smalls")), lambda j: pair(F.col("block"), j))
+    of_small = F.concat(F.transform(upto(F.col("bigs")), lambda i: pair(i, F.col("block"))), F.transform(upto(F.col("smalls")), lambda j: pair(-1 - F.least(F.col("block"), j), F.greatest(F.col("block"), j))))
+    inside = inside.withColumn("ij", F.explode(F.when(F.col("big"), of_big).otherwise(of_small)))
+    inside = inside.select("bucket", "rep", "component", "big", "block", F.col("ij.i").alias("i"), F.col("ij.j").alias("j"))
     open_path = write_table(inside, "open")
-    inside = spark.read.schema("bucket long, rep long, component long, block int, i int, j int").parquet(open_path)
+    inside = spark.read.schema("bucket long, rep long, component long, big boolean, block int, i int, j int").parquet(open_path)
     more = _with_text(texts, reps, inside, inside.count(), "rep").groupBy("bucket", "i", "j").applyInArrow(_blocks(size, similarity), "a long, b long")
     more_path = write_table(more, "links")
     more = spark.read.schema("a long, b long").parquet(more_path)
@@ -294,7 +313,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_
     last = components(joined)
     result = members.join(last, F.col("rep") == F.col("node"), "left").select(F.col("doc_id").alias("_id"), F.coalesce("component", "rep").alias("component_id"))
     final_path = write_table(result.dropDuplicates(["_id"]), "final")
-    for path in (sig_path, bucket_path, best_path, role_path, link_path, open_path, first_path, more_path, member_path):
+    for path in (sig_path, bucket_path, best_path, role_path, link_path, inside_path, open_path, first_path, more_path, member_path):
         drop_table(spark, path)
     final = spark.read.schema("_id long, component_id long").parquet(final_path)
     out = signed.select("doc_id", "n_shingles").join(final, F.col("doc_id") == F.col("_id"), "left")
@@ -302,6 +321,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def without_duplicates(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """The rows of ``docs`` whose id is kept: one document of each group, and all rows that share its id."""
+    dropped = near_duplicates(docs, id_col=id_col, **how).where(~F.col("kept")).select(F.col("doc_id").alias("_drop")).distinct()
+    path = write_table(dropped, "dropped")
+    dropped = docs.sparkSession.read.schema("_drop long").parquet(path)
+    return docs.join(_narrow(dropped, dropped.count()), F.col(id_col) == F.col("_drop"), "left_anti")
+
+
 def _with_text(texts: DataFrame, reps: DataFrame, roles: DataFrame, n: int, key: str) -> DataFrame:
     """``roles`` with the text and the signature of each rep. Only texts that a role names are shuffled on."""
     named = roles.select(F.col(key).alias("_rep")).distinct()

@@ -230,3 +230,19 @@ def assess(docs: DataFrame, forest: Forest | None, threshold: float = 0.5) -> Da
                 yield pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in SCHEMA.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, SCHEMA)
+
+
+def keep_good(docs: DataFrame, forest: Forest | None, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``assess`` would keep: filtered where they are read, no shuffle."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for _, _, raw, off in text_chunks(b.column("text")):
+                counts, x = statistics(raw, off)
+                score = 1 / (1 + np.exp(-forest.scores(x))) if forest is not None else np.ones(len(counts))
+                good.append(~base_failed(counts) & (score >= threshold))
+            if good:
+                yield b.filter(pa.array(np.concatenate(good)))
+
+    return docs.mapInArrow(rows, docs.schema)

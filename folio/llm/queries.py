@@ -21,6 +21,13 @@ def op1_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_hmm_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.chat import fit, parse_transcripts, transcripts
+
+    turns = table(spark, sf_dir, "conversations")
+    return parse_transcripts(transcripts(turns), fit(turns), ["conv_id", "segment", "true_roles"])
+
+
 def vocabulary() -> tuple[str, str]:
     """The vocabulary file, and the pattern that cuts texts before its merges."""
     import public_tokenizers
