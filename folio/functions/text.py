@@ -10,15 +10,15 @@ from pyspark.sql import types as T
 
 # The code points that separate tokens; each is a token of its own.
 DELIMITERS = (
-    "\n\r\t\f ([ •*,:;?.!/)-−–‐"
-    "\"“”‘’'`$]♦♥♣♠"
+    "\n\r\t\f\u00a0([ \u2022*,:;?.!/)-\u2212\u2013\u2010"
+    "\"\u201c\u201d\u2018\u2019'`$]\u2666\u2665\u2663\u2660"
 )
-# Dashes, the thin space and the single quote, and what they are normalised to.
-NORMALISE_FROM, NORMALISE_TO = "—– '", '-- "'
+# Em and en dash, thin space and single quote, and what they are normalised to.
+NORMALISE_FROM, NORMALISE_TO = "\u2014\u2013\u2009'", '-- "'
 # White space that Python strips, as a regex class.
-SPACE = r"[\s\u0085   -     　\x1c-\x1f]"
+SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 # Colours for tags, by number.
-PALETTE = ("#fbb", "#bfb", "#bbf", "#ffb", "#fbf", "#bff", "#fdb", "#bfd", "#dbf", "#dfb", "#fbd", "#bdf")
+PALETTE = ("maroon", "red", "purple", "#c0c", "green", "#0c0", "olive", "#cc0", "navy", "blue", "teal", "#0cc")
 
 
 def _c(column: Column | str) -> Column:
