@@ -31,7 +31,7 @@ def token_context(tokens: DataFrame, text: str = "text", offsets: tuple[int, ...
 
 def char_context(texts: DataFrame, text: str = "text", reach: int = 3) -> DataFrame:
     """A row per character with its features and its neighbours', '' beyond the ends, up to ``reach`` to either side."""
-    chars = texts.select("doc_id", F.posexplode(F.split(text, "(?<=.)(?=.)")).alias("char_idx", "ch")).where("ch <> ''")
+    chars = texts.select("doc_id", F.posexplode(F.split(text, "(?s)(?<=.)(?=.)")).alias("char_idx", "ch")).where("ch <> ''")
     w = Window.partitionBy("doc_id").orderBy("char_idx")
     out = {f"ch.{k}": v for k, v in T.char_features("ch").items()}
     for n in [k for k in range(-reach, reach + 1) if k]:

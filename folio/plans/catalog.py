@@ -26,8 +26,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def _load() -> None:
-    from folio.plans import text_queries  # noqa: F401
+    from folio.plans import sequence_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
