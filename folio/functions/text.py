@@ -160,7 +160,7 @@ def skip_whitespace(column: Column | str, start: Column | int) -> Column:
     """The index, from 0, of the first character from ``start`` on that is not white space; the length if there is none."""
     c, at = _c(column), start if isinstance(start, Column) else F.lit(start)
     rest = F.substring(c, at + 1, F.length(c))
-    return at + F.length(rest) - F.length(F.regexp_replace(rest, rf"^{SPACE}+", ""))
+    return F.length(c) - F.length(F.regexp_replace(rest, rf"^{SPACE}+", ""))
 
 
 def to_bool(column: Column | str) -> Column:

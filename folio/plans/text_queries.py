@@ -157,10 +157,10 @@ def colour_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", grey["r"].alias("grey"), *[rgb[c].alias(c) for c in "rgb"])
 
 
-@query("skip_spaces", r"SELECT doc_id, length(text) - length(regexp_replace(substr(text, 11), '^\s+', '')) AS at FROM documents WHERE length(text) >= 10")
+@query("skip_spaces", r"SELECT doc_id, length(text) - length(regexp_replace(substr(text, 11), '^\s+', '')) AS at FROM documents")
 def skip_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C14."""
-    return table(spark, sf_dir, "documents").where("length(text) >= 10").select("doc_id", X.skip_whitespace("text", 10).cast("long").alias("at"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.skip_whitespace("text", 10).cast("long").alias("at"))
 
 
 @query("longest_words_first", "SELECT item_id, list_transform(list_sort(list_transform(range(1, len(w) + 1), lambda i: {'n': -length(w[i]), 'i': i})), lambda s: w[s.i]) AS words FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)")
@@ -176,8 +176,7 @@ def xml_text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select(F.explode(X.tokenise("node")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-@query("xml_text_content", r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), ' {2,}', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{2,}', chr(10), 'g') AS text FROM pages WHERE NOT contains(html, chr(9)) AND NOT contains(html, chr(13))")
+@query("xml_text_content", r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '\t', ' ', 'g'), ' {2,}', ' ', 'g'), '\r', chr(10), 'g'), ' +\n', chr(10), 'g'), '\n +', chr(10), 'g'), '\n{2,}', chr(10), 'g') AS text FROM pages")
 def xml_text_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text content with white space in its plain form."""
-    rows = table(spark, sf_dir, "pages").where("NOT contains(html, '\t') AND NOT contains(html, '\r')")
-    return rows.select("page_id", X.strip_whitespace(F.regexp_replace("html", "<[^>]*>", "")).alias("text"))
+    return table(spark, sf_dir, "pages").select("page_id", X.strip_whitespace(F.regexp_replace("html", "<[^>]*>", "")).alias("text"))
