@@ -30,6 +30,8 @@ HASHES = BANDS * ROWS
 BATCH, MISS = 32, 1e-6
 #: Members of a block of a bucket; two blocks meet in one task.
 BLOCK = 512
+#: Shingles of sets that a task keeps while it compares (some 40 MB).
+HELD = 200_000
 #: Rows that may be broadcast (ids and a label each, some 30 MB); beyond that a shuffled join is used.
 BROADCAST_ROWS = 500_000
 
@@ -143,6 +145,7 @@ class Members:
         self.ids, self.texts, self.size, self.similarity = ids, texts, size, similarity
         self.sig = np.frombuffer(b"".join(sigs), np.uint32).reshape(len(ids), HASHES)
         self.sets: dict[int, frozenset] = {}
+        self.held = 0
         # In percent, so that a similarity such as 0.8 is compared in whole numbers.
         self.percent = round(100 * similarity)
 
@@ -162,8 +165,9 @@ class Members:
         if found is None:
             w = self.texts[k].encode().translate(_LOWER).split()  # of bytes: at ASCII white space
             found = frozenset(zip(*(w[i:] for i in range(self.size)), strict=False)) if len(w) >= self.size else frozenset([tuple(w)] if w else [])
-            if len(self.sets) >= 4 * BLOCK:
-                self.sets.clear()
+            self.held += len(found)
+            if self.held > HELD:
+                self.sets, self.held = {}, len(found)
             self.sets[k] = found
         return found
 
