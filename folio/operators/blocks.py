@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,18 +47,24 @@ def _merge(boxes: np.ndarray, tolerance: float) -> list[tuple[int, list[float]]]
     return out
 
 
+_BOXES = "array<struct<block_ord: int, x: double, y: double, width: double, height: double>>"
+
+
 def merged_blocks(blocks: DataFrame, tolerance: float = 0) -> DataFrame:
-    """Neighbouring blocks of one tag as one; order is that of leading blocks. Tags don't interact: a group is a page's tag."""
+    """Neighbouring blocks of one tag as one; order is that of leading blocks.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block_ord").reset_index(drop=True)
-        found = _merge(pdf[["x", "y", "width", "height"]].to_numpy(float), tolerance)
-        out = pdf.loc[[k for k, _ in found], ["doc_id", "page_idx", "block_ord", "tag"]].copy()
-        for i, c in enumerate(("x", "y", "width", "height")):
-            out[c] = [b[i] for _, b in found]
-        return out
+    Tags don't interact, so a page's blocks of one tag come together, as an array, and are merged in Arrow batches.
+    """
 
-    return blocks.groupBy("doc_id", "page_idx", "tag").applyInPandas(run, SCHEMA)
+    @F.udf(_BOXES, useArrow=True)
+    def run(rows):
+        found = _merge(np.array([[r["x"], r["y"], r["width"], r["height"]] for r in rows], float), tolerance)
+        return [(rows[k]["block_ord"], *map(float, b)) for k, b in found]
+
+    one = F.array_sort(F.collect_list(F.struct("block_ord", "x", "y", "width", "height")))
+    grouped = blocks.groupBy("doc_id", "page_idx", "tag").agg(one.alias("b"))
+    merged = grouped.select("doc_id", "page_idx", "tag", F.inline(run("b")))
+    return merged.select("doc_id", "page_idx", "block_ord", "tag", "x", "y", "width", "height")
 
 
 def expanded_blocks(blocks: DataFrame, dx: float = 4, dy: float = 2) -> DataFrame:
@@ -82,17 +87,15 @@ def block_images(blocks: DataFrame, pages: DataFrame, colours: dict[str, tuple[i
 
     sized = pages.select(F.col("doc_id").cast("string").alias("doc_id"), "page_idx", F.col("width").alias("page_width"), F.col("height").alias("page_height"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block_ord", na_position="last")
-        first = pdf.iloc[0]
-        named = pdf[pdf.tag.isin(list(colours))]
-        image = paint((int(first.page_height), int(first.page_width)), list(zip(named.x, named.y, named.width, named.height, strict=True)), [colours[t] for t in named.tag])
-        if size:
-            image = resize_nearest(image, size)
-        return pd.DataFrame({"doc_id": [first.doc_id], "page_idx": [first.page_idx], "png": [encode_png(image)]})
-
-    met = sized.join(blocks, ["doc_id", "page_idx"], "left")
-    return met.groupBy("doc_id", "page_idx").applyInPandas(run, "doc_id string, page_idx int, png binary")
+    @F.udf("binary", useArrow=True)
+    def run(width, height, rows):
+        rows = [r for r in rows or () if r["tag"] in colours]
+        image = paint((int(height), int(width)), [(r["x"], r["y"], r["width"], r["height"]) for r in rows], [colours[r["tag"]] for r in rows])
+        return encode_png(resize_nearest(image, size) if size else image)
+
+    one = F.array_sort(F.collect_list(F.struct("block_ord", "tag", "x", "y", "width", "height")))
+    met = sized.join(blocks.groupBy("doc_id", "page_idx").agg(one.alias("b")), ["doc_id", "page_idx"], "left")
+    return met.select("doc_id", "page_idx", run("page_width", "page_height", "b").alias("png"))
 
 
 def blocks_svg(blocks: list[tuple[str, float, float, float, float]], colours: dict[str, str], width: float, height: float) -> str:

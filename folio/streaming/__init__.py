@@ -1 +1 @@
-
+"""The stateless transforms over streams of files."""
