@@ -9,7 +9,6 @@ none fits the walk steps back and marks the position as a dead end, so that each
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 
 import numpy as np
 import regex
@@ -32,7 +31,7 @@ class Bpe:
     """A vocabulary file of the byte-level kind: tokens, merges in order of rank, and added tokens."""
 
     #: Pieces whose tokens are remembered; when full, the memory starts anew.
-    REMEMBER = 400_000
+    REMEMBER = 100_000
 
     def __init__(self, path: str, pattern: str) -> None:
         import ahocorasick
@@ -226,9 +225,3 @@ class Table:
             stop = np.cumsum(n)
             out.append(self.data[np.repeat(start - stop + n, n) + np.arange(stop[-1])].tobytes())
         return b"".join(out)
-
-
-@lru_cache(maxsize=4)
-def load(path: str, pattern: str) -> Bpe:
-    """One of each vocabulary in a worker."""
-    return Bpe(path, pattern)

@@ -42,6 +42,26 @@ def marker_of(line: str) -> tuple[int, int]:
     return _ROLE_OF[next(g for g in found.groups() if g).lower()], found.end()
 
 
+def marked_lines(text: str) -> list[tuple[int, str]]:
+    """(marker, rest) of each line; a marker alone on its line belongs to the next one, if that has none itself."""
+    out: list[tuple[int, str]] = []
+    alone = -1
+    for line in text.split("\n"):
+        role, at = marker_of(line)
+        if alone >= 0:
+            if role < 0:
+                out.append((alone, line))
+                alone = -1
+                continue
+            out.append((alone, ""))
+            alone = -1
+        if role >= 0 and at == len(line):
+            alone = role
+        else:
+            out.append((role, line[at:]))
+    return [*out, (alone, "")] if alone >= 0 else out
+
+
 def _seen(line: str) -> tuple[int, int]:
     return sum(len(line) > n for n in LENGTHS), 0 if line.endswith("?") else 1 if line.endswith((".", "!")) else 2
 
@@ -137,15 +157,14 @@ def render(role: str, text: str) -> str:
 
 def turns_of(model: Model, texts: list[str | None]) -> list[list[tuple[str, str]]]:
     """(role, text) of every turn of every transcript, markers taken off. A null or empty transcript has none."""
-    lines = [t.split("\n") if t else [] for t in texts]
-    marks = [[marker_of(x) for x in part] for part in lines]
-    seen = [np.array([(m + 1, *_seen(x[at:])) for x, (m, at) in zip(part, found, strict=True)], np.int64).reshape(-1, 3) for part, found in zip(lines, marks, strict=True)]
+    lines = [marked_lines(t) if t else [] for t in texts]
+    seen = [np.array([(m + 1, *_seen(x)) for m, x in part], np.int64).reshape(-1, 3) for part in lines]
     out = []
-    for part, found, states in zip(lines, marks, viterbi(model, seen), strict=True):
+    for part, states in zip(lines, viterbi(model, seen), strict=True):
         turns: list[tuple[str, list[str]]] = []
-        for x, (_, at), s in zip(part, found, states, strict=True):
+        for (_, x), s in zip(part, states, strict=True):
             if s < 3 or not turns:
-                turns.append((ROLES[s % 3], [x[at:]]))
+                turns.append((ROLES[s % 3], [x]))
             else:
                 turns[-1][1].append(x)
         out.append([(r, "\n".join(x)) for r, x in turns])

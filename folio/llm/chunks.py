@@ -22,8 +22,8 @@ class ChunkMemory:
     #: A chunk is remembered from its second meeting on: most new ones never come back.
     DOOR = 1 << 22
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], id_bytes: np.ndarray, added: Sequence[str] = ()) -> None:
-        self.encode, self.id_bytes, self.added = encode, id_bytes, tuple(added)
+    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], id_bytes: np.ndarray, added: Sequence[str] = (), remember: int = REMEMBER) -> None:
+        self.encode, self.id_bytes, self.added, self.remember = encode, id_bytes, tuple(added), remember
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.door = bytearray(self.DOOR)
@@ -46,7 +46,7 @@ class ChunkMemory:
                 self.known[c] = ids
             else:
                 door[at] = 1
-        if len(self.known) > self.REMEMBER // 2:
+        if len(self.known) > self.remember // 2:
             self.older, self.known = self.known, {}
             self.door = bytearray(self.DOOR)
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +77,25 @@ def text_chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, i
         at = to
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """One large thing at a time that a worker keeps between tasks, such as an encoder with its memory."""
+    if key not in _HELD:
+        release()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Give up what ``held`` keeps, and give free memory back: workers live on through stages that need other things."""
+    _HELD.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _MULT = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MULT, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}

@@ -142,7 +142,7 @@ def with_metadata(index: DataFrame, path: str) -> DataFrame:
     return picked.mapInArrow(rows, "digest string, shard string, offset long, length long, width int, height int, bits int")
 
 
-FEATURES = "digest string, width int, height int, bits int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+FEATURES = "digest string, shard string, offset long, length long, width int, height int, bits int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def with_features(index: DataFrame, path: str) -> DataFrame:
@@ -153,7 +153,8 @@ def with_features(index: DataFrame, path: str) -> DataFrame:
         for b in batches:
             for k in range(0, len(b), 256):
                 cut, out = b.slice(k, 256), []
-                for digest, w, h, bits, media in zip(*(cut.column(c).to_pylist() for c in ("digest", "width", "height", "bits")), _ranges(cut, store, root, None), strict=True):
+                given = (cut.column(c).to_pylist() for c in ("digest", "shard", "offset", "length", "width", "height", "bits"))
+                for digest, shard, offset, length, w, h, bits, media in zip(*given, _ranges(cut, store, root, None), strict=True):
                     payload = to_payload(media)
                     sha = hashlib.sha256(media).hexdigest()
                     if sha != digest or len(payload) != w * h:
@@ -161,7 +162,7 @@ def with_features(index: DataFrame, path: str) -> DataFrame:
                     counts = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
                     mean = int(counts @ np.arange(256)) / len(payload)
                     feature = f"png {w}x{h} gray{bits} mean={mean:.4f} levels={np.count_nonzero(counts)} mode={int(np.argmax(counts))}"
-                    out.append((digest, w, h, bits, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), sha, feature))
+                    out.append((digest, shard, offset, length, w, h, bits, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), sha, feature))
                 columns = list(zip(*out, strict=True))
                 kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
                 names, types = zip(*(c.split() for c in FEATURES.split(", ")), strict=True)
@@ -171,9 +172,9 @@ def with_features(index: DataFrame, path: str) -> DataFrame:
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """Store, then read back: doc_id, n_bytes and FEATURES, with each row's shard, offset and length. A digest is read once."""
+    """Store, then read back: doc_id, n_bytes and FEATURES. A digest has one place for all rows, and is read once."""
     path = new_path(docs.sparkSession, "media")
     index = write_shards(docs, path)
     found = written(with_features(with_metadata(places(index), path), path), "media-features")
-    where = index.select("doc_id", "n_bytes", F.col("digest").alias("_digest"), "shard", "offset", "length")
-    return where.join(found, F.col("_digest") == F.col("digest")).drop("_digest")
+    rows = index.select("doc_id", "n_bytes", F.col("digest").alias("_digest"))
+    return rows.join(found, F.col("_digest") == F.col("digest")).drop("_digest")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import LOWER, Hashes, drop_table, mixed, text_chunks, words, write_table
+from folio.llm.common import LOWER, Hashes, drop_table, mixed, release, text_chunks, words, write_table
 from folio.llm.components import components
 
 #: 32 bands of 4: a pair at similarity 0.8 shares no bucket with probability (1 - 0.8 ** 4) ** 32 = 5e-8.
@@ -32,6 +32,8 @@ BATCH, MISS = 32, 1e-6
 BLOCK = 512
 #: Shingles of sets that a task keeps while it compares (some 40 MB).
 HELD = 200_000
+#: Bytes of a group beyond which a worker first gives back what memory it can.
+LARGE = 4 << 20
 #: Rows that may be broadcast (ids and a label each, some 30 MB); beyond that a shuffled join is used.
 BROADCAST_ROWS = 500_000
 
@@ -116,6 +118,7 @@ SIGNED = "doc_id long, n_shingles long, s0 long, s1 long, sig binary"
 
 def _sign(size: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             for i, j, raw, off in text_chunks(b.column("text")):
                 hashes, docs, sequence = shingle_hashes(raw, off, size)
@@ -183,6 +186,8 @@ def _stars(size: int, similarity: float):
     """Rows (pivot, salt, rep, text, sig): links of each rep with the pivot of its group."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        if table.nbytes > LARGE:
+            release()
         ids = table.column("rep").to_pylist()
         m = Members(ids, table.column("text").to_pylist(), table.column("sig").to_pylist(), size, similarity)
         centre = ids.index(key[0].as_py())
@@ -201,6 +206,8 @@ def _blocks(size: int, similarity: float):
     """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        if table.nbytes > LARGE:
+            release()
         table = table.sort_by("rep")
         ids = table.column("rep").to_pylist()
         m = Members(ids, table.column("text").to_pylist(), table.column("sig").to_pylist(), size, similarity)

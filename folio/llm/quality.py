@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import SPACE, Hashes, mixed, text_chunks, words
+from folio.llm.common import SPACE, Hashes, mixed, release, text_chunks, words
 
 #: Labelled rows that the trees are fitted on: those with the least hash of doc_id.
 SAMPLE_ROWS = 12_000
@@ -221,6 +221,7 @@ def assess(docs: DataFrame, forest: Forest | None, threshold: float = 0.5) -> Da
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             for i, j, raw, off in text_chunks(b.column("text")):
                 counts, x = statistics(raw, off)
@@ -236,6 +237,7 @@ def keep_good(docs: DataFrame, forest: Forest | None, threshold: float = 0.5) ->
     """The rows of ``docs``, all columns, that ``assess`` would keep: filtered where they are read, no shuffle."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             good = []
             for _, _, raw, off in text_chunks(b.column("text")):

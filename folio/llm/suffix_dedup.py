@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import Hashes, drop_table, new_path, text_chunks, write_table
+from folio.llm.common import Hashes, drop_table, new_path, release, text_chunks, write_table
 
 LENGTH, GRAM = 200, 40
 #: Suffixes of one gram in a task; the pairs of a larger group's blocks meet in tasks of their own.
@@ -256,6 +256,7 @@ SPAN_SQL = "k0 long, k1 int, start int, stop int"
 
 def _find_anchors(length: int, gram: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             k0, k1 = b.column("k0").to_numpy(), b.column("k1").to_numpy()
             for i, _, raw, off in text_chunks(b.column("text")):
@@ -269,6 +270,7 @@ def _make_runs(length: int, gram: int, at_once: int = 48 << 20):
     """Rows (k0, k1, text, spots: pos, gram, parts) to front-coded runs."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: dict[int, dict[tuple[bytes, bytes], list]] = {}
         size = 0
 
@@ -303,6 +305,7 @@ def _make_runs(length: int, gram: int, at_once: int = 48 << 20):
 
 def _merge(length: int, gram: int):
     def run(table: pa.Table) -> pa.Table:
+        release()
         runs = table.drop_columns(["dest"]).to_pylist()
         found = list(_settle(iter(LoserTree(runs)), length, gram))
         cols = list(zip(*found, strict=True)) or [(), (), (), ()]
@@ -334,6 +337,7 @@ def spans_kept(n: int, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, in
 
 def _cut(with_text: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             for k in range(0, len(b), 256):
                 out = []

@@ -11,7 +11,6 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import new_path, written
+from folio.llm.common import held, new_path, written
 
 #: Sequences in a record batch.
 BATCH = 256
@@ -166,20 +165,23 @@ def read_token_files(manifest: DataFrame, path: str) -> DataFrame:
     return parts.repartition(n, "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
-@lru_cache(maxsize=4)
 def library_encoder(vocabulary: str) -> Callable[[list[str]], list[bytes]]:
-    """The tokenizers library's ids, through a memory of chunks; one in each worker."""
-    from tokenizers import Tokenizer
-
-    from folio.llm.chunks import ChunkMemory
-
-    tokenizer = Tokenizer.from_file(vocabulary)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    added = {i: t.content for i, t in tokenizer.get_added_tokens_decoder().items()}
-    # Each character of a byte-level token stands for one byte.
-    id_bytes = np.array([len(added[i].encode()) if i in added else len(tokenizer.id_to_token(i) or "") for i in range(tokenizer.get_vocab_size())])
-    return ChunkMemory(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], id_bytes, list(added.values())).ids
+    """The tokenizers library's ids, through a memory of chunks; the one encoder that a worker keeps."""
+
+    def make() -> Callable[[list[str]], list[bytes]]:
+        from tokenizers import Tokenizer
+
+        from folio.llm.chunks import ChunkMemory
+
+        tokenizer = Tokenizer.from_file(vocabulary)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        added = {i: t.content for i, t in tokenizer.get_added_tokens_decoder().items()}
+        # Each character of a byte-level token stands for one byte.
+        id_bytes = np.array([len(added[i].encode()) if i in added else len(tokenizer.id_to_token(i) or "") for i in range(tokenizer.get_vocab_size())])
+        return ChunkMemory(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], id_bytes, list(added.values())).ids
+
+    return held(("library", vocabulary), make)
 
 
 def tokens_of_documents(docs: DataFrame, vocabulary: str, length: int = 1024) -> DataFrame:

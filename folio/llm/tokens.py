@@ -4,21 +4,25 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.bpe import Bpe, load
+from folio.llm.bpe import Bpe
 from folio.llm.chunks import ChunkMemory
+from folio.llm.common import held
 
 
-@lru_cache(maxsize=4)
 def encoder(vocabulary: str, pattern: str) -> tuple[Bpe, Callable[[list[str]], list[bytes]]]:
-    bpe = load(vocabulary, pattern)
-    return bpe, ChunkMemory(lambda texts: [bpe.encode(t) for t in texts], np.diff(bpe.bytes_table.offset), list(bpe.added)).ids
+    """The one encoder that a worker keeps."""
+
+    def make() -> tuple[Bpe, Callable[[list[str]], list[bytes]]]:
+        bpe = Bpe(vocabulary, pattern)
+        return bpe, ChunkMemory(lambda texts: [bpe.encode(t) for t in texts], np.diff(bpe.bytes_table.offset), list(bpe.added), remember=300_000).ids
+
+    return held(("bpe", vocabulary, pattern), make)
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
