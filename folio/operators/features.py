@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
-from folio.operators.tokens import IN_ORDER
+from folio.operators.tokens import in_order
 
 OFFSETS = (-2, -1, 1, 2)
 
 
-def shifted(column: Column | str, offset: int, w=IN_ORDER, default: str | None = None) -> Column:
+def shifted(column: Column | str, offset: int, w: WindowSpec | None = None, default: str | None = None) -> Column:
+    w = w or in_order()
     return F.lead(column, offset, default).over(w) if offset > 0 else F.lag(column, -offset, default).over(w)
 
 
@@ -19,7 +20,7 @@ def token_context(tokens: DataFrame, text: str = "text", offsets: tuple[int, ...
     """Own features, those of neighbours under ``-1:`` and so on (null beyond the ends), and flags where an end is reached."""
     own = T.token_features(text)
     out = {k: v for k, v in own.items()}
-    place, size = F.row_number().over(IN_ORDER), F.count("*").over(Window.partitionBy("doc_id"))
+    place, size = F.row_number().over(in_order()), F.count("*").over(Window.partitionBy("doc_id"))
     for n in offsets:
         for k, v in own.items():
             out[f"{n:+d}:{k}"] = shifted(v, n)

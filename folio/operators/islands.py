@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import tags as T
-from folio.operators.tokens import IN_ORDER
+from folio.operators.tokens import in_order
 
 
 def with_item(tokens: DataFrame, tag: str = "tag", within: list[str] | None = None, name: str = "item_ord") -> DataFrame:
@@ -14,7 +14,7 @@ def with_item(tokens: DataFrame, tag: str = "tag", within: list[str] | None = No
 
     One window over a document, or over ``within``, gives what a pass per line and a merge of lines would.
     """
-    w = IN_ORDER if within is None else Window.partitionBy(*within).orderBy("page_idx", "line_idx", "token_idx")
+    w = in_order() if within is None else Window.partitionBy(*within).orderBy("page_idx", "line_idx", "token_idx")
     value, prefix = T.tag_value(tag), T.tag_prefix(tag)
     first = F.row_number().over(w) == 1
     starts = first | ~value.eqNullSafe(F.lag(value).over(w)) | F.coalesce(prefix == "b", F.lit(False))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from folio.functions import tags as tag_functions
 from folio.functions import text as text_functions
 
 KEY = ("doc_id", "page_idx", "line_idx", "token_idx")
-#: Document order. Windows are by document, so no task holds more than a document.
-IN_ORDER = Window.partitionBy("doc_id").orderBy("page_idx", "line_idx", "token_idx")
+
+
+def in_order() -> WindowSpec:
+    """Document order. Windows are by document, so no task holds more than a document."""
+    return Window.partitionBy("doc_id").orderBy("page_idx", "line_idx", "token_idx")
 
 
 def from_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines_per_page: int = 50) -> DataFrame:
@@ -22,7 +25,7 @@ def from_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 def with_ordinal(tokens: DataFrame, name: str = "doc_ord") -> DataFrame:
     """The token's place in its document, from 0: what positional joins join on."""
-    return tokens.withColumn(name, F.row_number().over(IN_ORDER) - 1)
+    return tokens.withColumn(name, F.row_number().over(in_order()) - 1)
 
 
 def with_positions(tokens: DataFrame) -> DataFrame:

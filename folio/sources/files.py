@@ -60,15 +60,23 @@ def gunzipped(content, path):
 
 
 def with_gz_fallback(spark: SparkSession, files: DataFrame, column: str = "path") -> DataFrame:
-    """Content of ``<path>.gz`` where there is one, else of ``<path>``; the pattern lets either be missing."""
-    paths = [r[0] for r in files.select(column).distinct().collect()]
-    held = spark.read.format("binaryFile").option("ignoreMissingFiles", True).load([f"{p}{{,.gz}}" for p in paths]) if paths else None
-    if held is None:
+    """Content of ``<path>.gz`` where there is one, else of ``<path>``, null where neither is.
+
+    Folders are listed first, without opening files; then the files that are there, and only they, are read.
+    """
+    local = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    folders = [r[0] for r in files.select(F.regexp_extract(column, "^(.*)/", 1)).distinct().collect()]
+    if not folders:
+        return files.withColumn("content", F.lit(None).cast("binary"))
+    listed = matching(spark, *(f"{f}/*" for f in folders)).select(local("path").alias("_there"))
+    asked = files.select(F.explode(F.array(local(column), F.concat(local(column), F.lit(".gz")))).alias("_there")).distinct()
+    there = [r[0] for r in listed.join(asked, "_there", "left_semi").distinct().collect()]
+    if not there:
         return files.withColumn("content", F.lit(None).cast("binary"))
-    bare = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), r"\.gz$", "")
-    one = held.select(bare.alias("_path"), F.col("path").endswith(".gz").alias("_gz"), gunzipped(F.col("content"), F.col("path")).alias("_c"))
+    held = matching(spark, *there, content=True).select(local("path").alias("_p"), "content")
+    one = held.select(F.regexp_replace("_p", r"\.gz$", "").alias("_path"), F.col("_p").endswith(".gz").alias("_gz"), gunzipped(F.col("content"), F.col("_p")).alias("_c"))
     one = one.groupBy("_path").agg(F.max_by("_c", "_gz").alias("content"))
-    return files.join(one, F.regexp_replace(column, "^file:/+", "/") == F.col("_path"), "left").drop("_path")
+    return files.join(one, local(column) == F.col("_path"), "left").drop("_path")
 
 
 def embedding_lines(spark: SparkSession, path: str) -> DataFrame:
