@@ -58,7 +58,7 @@ def annotated_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")).cast("int")
+    o = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")).cast("int")
     d = lambda c: c.cast("double")
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("doc_id"), F.lit(0).alias("page_idx"), o.alias("block_ord"), F.col("l_returnflag").alias("tag"), d(F.col("l_partkey") % 50).alias("x"), d(F.col("l_suppkey") % 20).alias("y"), d(F.col("l_quantity")).alias("width"), d(F.col("l_linenumber") * 3).alias("height"))
 

@@ -143,10 +143,10 @@ def category_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.numbered_categories(table(spark, sf_dir, "events").withColumnRenamed("event_type", "category"), "category", "event_id")
 
 
-@query("overlapping_boxes", f"WITH b AS (SELECT {BOX_SQL}), n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS o FROM b) SELECT a.l_orderkey AS doc_id, a.o AS left_ord, b.o AS right_ord FROM n a JOIN n b ON a.l_orderkey = b.l_orderkey AND a.o < b.o AND a.x - 1 <= b.x + b.w - 1 AND b.x <= a.x + a.w AND a.y <= b.y + b.h - 1 AND b.y <= a.y + a.h - 1")
+@query("overlapping_boxes", f"WITH b AS (SELECT {BOX_SQL}), n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, x, y, w, h) AS o FROM b) SELECT a.l_orderkey AS doc_id, a.o AS left_ord, b.o AS right_ord FROM n a JOIN n b ON a.l_orderkey = b.l_orderkey AND a.o < b.o AND a.x - 1 <= b.x + b.w - 1 AND b.x <= a.x + a.w AND a.y <= b.y + b.h - 1 AND b.y <= a.y + a.h - 1")
 def overlapping_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J10."""
-    o = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    o = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "bbox.x", "bbox.y", "bbox.width", "bbox.height"))
     rows = boxes(spark, sf_dir).select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_idx"), F.lit("t").alias("tag"), o.cast("long").alias("block_ord"), "bbox")
     return joins.overlapping(rows).select("doc_id", "left_ord", "right_ord")
 
