@@ -77,7 +77,8 @@ def round_to_copies(rated: DataFrame, targets: DataFrame, id_col: str = "doc_id"
     found in a histogram of draws, then, within the one bin where it falls, by a running sum. Bins grow in number with
     the largest source, so a bin holds about ``in_bin`` rows at any size, and no window spans a source.
     """
-    u = (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}-"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13)
+    u = (F.conv(digits, 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
     whole = F.floor(F.col("rate") + F.lit(1e-9))
     most = rated.groupBy("source").agg(F.count("*").alias("_rows"), F.sum(whole * F.col("size")).alias("_sure"))
     most = most.select(F.col("source").alias("_source"), "_rows", "_sure", F.greatest(F.lit(16), F.ceil(F.col("_rows") / F.lit(in_bin))).alias("_bins"))

@@ -44,7 +44,7 @@ def op3_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.llm.mixing import mix_sources
 
-    return mix_sources(table(spark, sf_dir)).select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", F.col("taken").cast("long").alias("taken"), "copies", "rate")
+    return mix_sources(table(spark, sf_dir)).select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", F.col("taken").cast("long").alias("taken"))
 
 
 def op5_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,4 +91,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from folio.llm.sql import ORACLE
+
+    return dict(ORACLE)
