@@ -374,8 +374,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text_col: s
     texts = spark.table(name)
 
     found = texts.select("k0", "k1", "text").mapInArrow(_find_anchors(length, gram), "k0 long, k1 int, pos int, gram long")
-    found.createOrReplaceTempView(f"{name}_anchors")
-    again = spark.sql(f"SELECT k0, k1, pos, gram, count(*) OVER (PARTITION BY gram) AS n FROM {name}_anchors").where("n > 1")
+    # Counts are aggregated before they are shuffled, and anchors are joined with them, so that a gram with a large share of
+    # all anchors is split; a window over grams would put it into one task.
+    grams_path = write_table(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "grams")
+    again = found.join(spark.read.schema("gram long, n long").parquet(grams_path), "gram")
     spot = F.struct("pos", "gram", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("parts"), F.lit(n).alias("buckets"))
     spots = again.groupBy("k0", "k1").agg(F.collect_list(spot).alias("spots"))
     runs = texts.select("k0", "k1", "text").join(spots.hint("merge"), ["k0", "k1"]).select("k0", "k1", "text", "spots").mapInArrow(_make_runs(length, gram), RUN_SQL)
@@ -385,9 +387,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text_col: s
     whole = texts.join(by_text.hint("merge"), ["k0", "k1"], "left").select("k0", "k1", "text", "copies", "starts", "stops")
     out_sql = "k0 long, k1 int, n_removed long, n_spans long, kept_sha256 string, rest string"
     out_path = write_table(whole.mapInArrow(_cut(with_text), out_sql), "repeats")
-    spark.catalog.dropTempView(f"{name}_anchors")
     spark.sql(f"DROP TABLE {name}")
-    for p in (path, spans_path):
+    for p in (path, grams_path, spans_path):
         drop_table(spark, p)
     return spark.read.schema(out_sql).parquet(out_path), keys
 
