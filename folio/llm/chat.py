@@ -28,6 +28,8 @@ _ROLE_OF = {w: k for k, r in enumerate(ROLES) for w in MARKERS[r]}
 _WORDS = "|".join(sorted(_ROLE_OF, key=len, reverse=True))
 _MARKER = re.compile(rf"\s*(?:<\|(?:im_start\|>)?({_WORDS})(?:\|>)?|\[({_WORDS})\]:?|#+\s*({_WORDS})\s*:?(?=\s|$)|\**({_WORDS})\**\s*:\**)\s*", re.IGNORECASE)
 
+#: Turn numbers of one conversation that make one transcript, so that a conversation of any length is cut.
+SEGMENT = 64
 #: Odds of markers: the right one, none, another's on a turn's first line; any one on a later line.
 RIGHT, NONE, LATER = 0.78, 0.2, 0.002
 #: Lengths of lines are seen in these classes, endings as question, stop, other.
@@ -88,8 +90,11 @@ class Model:
 def fit(turns: DataFrame) -> Model:
     """``turns``: conv_id, turn, role, text. Counts over all rows with a known role, one added to each; a few rows come back."""
     known = turns.where(F.col("role").isin(*ROLES)).select("conv_id", "turn", F.col("role").alias("r"), F.coalesce("text", F.lit("")).alias("text"))
-    in_order = Window.partitionBy("conv_id").orderBy("turn", "r")
-    steps = known.select("r", F.lead("r").over(in_order).alias("next"), (F.row_number().over(in_order) == 1).alias("first"), (F.regexp_count("text", F.lit("\n")) + 1).alias("lines"))
+    # By segments, so that a conversation of any length is many windows; steps between segments are not counted.
+    segment = F.expr(f"turn div {SEGMENT}")
+    in_order = Window.partitionBy("conv_id", segment).orderBy("turn", "r")
+    begins = (F.row_number().over(in_order) == 1) & F.coalesce(segment == 0, F.lit(True))
+    steps = known.select("r", F.lead("r").over(in_order).alias("next"), begins.alias("first"), (F.regexp_count("text", F.lit("\n")) + 1).alias("lines"))
     steps = steps.groupBy("r", "next", "first").agg(F.count("*").alias("n"), F.sum("lines").alias("lines")).collect()
     lines = known.select("r", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     shapes = lines.groupBy("r", (F.col("at") > 0).alias("later"), length_class(F.col("line")).alias("length"), ending_class(F.col("line")).alias("ending")).count().collect()
@@ -190,10 +195,6 @@ def parse_transcripts(transcripts: DataFrame, model: Model, keys: list[str], tex
     return picked.mapInArrow(rows, f"{fields}, n_turns long, roles string, rendered string")
 
 
-#: Turn numbers of one conversation that make one transcript, so that a conversation of any length is cut.
-SEGMENT = 64
-
-
 def transcripts(turns: DataFrame, every: int = 8) -> DataFrame:
     """Conversations as raw transcripts: conv_id, segment, text, true_roles.
 
