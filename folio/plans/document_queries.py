@@ -21,7 +21,13 @@ def article_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), xml.alias("xml"))
 
 
-@query("xml_targets")
+_PLAIN = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(%s, '\t', ' ', 'g'), ' {2,}', ' ', 'g'), '\r', chr(10), 'g'), ' +\n', chr(10), 'g'), '\n +', chr(10), 'g'))"
+
+
+@query("xml_targets", rf"""WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, source, regexp_replace(text, '[&<>\x00-\x08\x0b\x0c\x0e-\x1f]', ' ', 'g') AS t FROM documents),
+v AS (SELECT doc_id, 0 AS k, 'title' AS name, {_PLAIN % "array_to_string(regexp_split_to_array(t, '[ \\t\\n\\r\\x0b\\f]+')[1:6], ' ')"} AS value, false AS match_multiple FROM t
+UNION ALL SELECT doc_id, 1, 'abstract', {_PLAIN % "string_split(t, chr(10))[1]"}, false FROM t UNION ALL SELECT doc_id, 2, 'author', source, true FROM t)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INT) AS target_ord, name, value, match_multiple, CAST(NULL AS VARCHAR) AS error FROM v WHERE value <> ''""")
 def xml_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets by the mapping."""
     return targets.targets(article_xml(spark, sf_dir), MAPPING).select("doc_id", "target_ord", "name", F.array_join("value", " | ").alias("value"), "match_multiple", "error")

@@ -114,7 +114,7 @@ def words_at_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.words_at_characters(tokens.character_spans(words)).select("doc_id", "char_index", "word_index")
 
 
-@query("span_words", None)
+@query("span_words", r'''WITH c AS (SELECT item_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) - 1 AS i FROM benchmark), k AS (SELECT *, CASE WHEN regexp_full_match(ch, '[\p{L}\p{N}]') THEN 'w' WHEN regexp_full_match(ch, '\s') THEN 's' ELSE 'p' END AS kind FROM c), s AS (SELECT *, CASE WHEN kind = 'p' OR kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY item_id ORDER BY i) THEN 1 ELSE 0 END AS st FROM k), g AS (SELECT *, sum(st) OVER (PARTITION BY item_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM s WHERE kind <> 's') SELECT item_id, string_agg(ch, '' ORDER BY i) AS word, CAST(min(i) AS INT) AS start, CAST(max(i) + 1 AS INT) AS "end" FROM g GROUP BY item_id, g''')
 def span_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words with their places, by a fold."""
     rows = table(spark, sf_dir, "benchmark").select("item_id", F.explode(tokens.span_words(F.col("text"))).alias("w"))

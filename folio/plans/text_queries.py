@@ -110,7 +110,7 @@ def scoped_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", T.get_tag("tags", "crf-tag").alias("crf"), T.get_tag("tags").alias("plain"), F.size("tags").alias("n"))
 
 
-@query("palette_colour", None)
+@query("palette_colour", f"SELECT event_type, {list(X.PALETTE)}[list_reduce(list_transform(string_split(md5(event_type), ''), lambda d: strpos('0123456789abcdef', d) - 1), lambda a, d: (a * 16 + d) % {len(X.PALETTE)}) + 1] AS colour FROM (SELECT DISTINCT event_type FROM events)")
 def palette_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MD5 as one number modulo the palette; folded over hex digits."""
     return table(spark, sf_dir, "events").select("event_type").distinct().select("event_type", X.colour_for_tag("event_type").alias("colour"))
