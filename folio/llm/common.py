@@ -49,6 +49,12 @@ def drop_table(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if a small input comes in fewer partitions; a table of many files is left as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def word_count(text: Column | str) -> Column:
     """Words in a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import LOWER, Hashes, drop_table, mixed, release, text_chunks, words, write_table
+from folio.llm.common import LOWER, Hashes, drop_table, mixed, release, spread, text_chunks, words, write_table
 from folio.llm.components import components
 
 #: 32 bands of 4: a pair at similarity 0.8 shares no bucket with probability (1 - 0.8 ** 4) ** 32 = 5e-8.
@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed_path = write_table(texts.mapInArrow(_sign(size), SIGNED), "signed")
+    signed_path = write_table(spread(texts).mapInArrow(_sign(size), SIGNED), "signed")
     signed = spark.read.schema(SIGNED).parquet(signed_path)
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
 

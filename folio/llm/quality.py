@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import SPACE, Hashes, mixed, release, text_chunks, words
+from folio.llm.common import SPACE, Hashes, mixed, release, spread, text_chunks, words
 
 #: Labelled rows that the trees are fitted on: those with the least hash of doc_id.
 SAMPLE_ROWS = 12_000
@@ -230,7 +230,7 @@ def assess(docs: DataFrame, forest: Forest | None, threshold: float = 0.5) -> Da
                 cols = [b.column("doc_id").slice(i, j - i), *(pa.array(c) for c in counts.T), pa.array(failed), pa.array(score), pa.array(~failed & (score >= threshold))]
                 yield pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, SCHEMA)
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(rows, SCHEMA)
 
 
 def keep_good(docs: DataFrame, forest: Forest | None, threshold: float = 0.5) -> DataFrame:
@@ -247,4 +247,4 @@ def keep_good(docs: DataFrame, forest: Forest | None, threshold: float = 0.5) ->
             if good:
                 yield b.filter(pa.array(np.concatenate(good)))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return spread(docs).mapInArrow(rows, docs.schema)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folio.llm.bpe import Bpe
 from folio.llm.chunks import ChunkMemory
-from folio.llm.common import held
+from folio.llm.common import held, spread
 
 
 def encoder(vocabulary: str, pattern: str) -> tuple[Bpe, Callable[[list[str]], list[bytes]]]:
@@ -66,4 +66,4 @@ def token_digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import LOWER
+from folio.llm.common import LOWER, spread
 
 #: Labelled rows that are learned from, those with the least hash of doc_id; two of three train the dictionaries.
 SAMPLE_ROWS = 12_000
@@ -175,5 +175,5 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             for b in batches:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.zeros(len(b)))], names=["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, score double")
+    scored = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(rows, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
