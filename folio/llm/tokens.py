@@ -52,7 +52,10 @@ def decode_documents(encoded: DataFrame, vocabulary: str, pattern: str) -> DataF
 
 
 def token_digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the text decoded from the ids): one pass."""
+    """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the text decoded from the ids).
+
+    One pass, no shuffle, a row per row: a null text is empty, rows that repeat give equal rows, an empty table an empty one.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, ids_of = encoder(vocabulary, pattern)
