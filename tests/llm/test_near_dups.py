@@ -73,3 +73,22 @@ def test_components_of_a_path_and_a_star(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(5, 5)]
     out = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert out == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 160)}
+
+
+def test_large_buckets_meet_in_blocks(spark, monkeypatch):
+    from folio.llm import near_dups
+
+    monkeypatch.setattr(near_dups, "BLOCK", 5)
+    monkeypatch.setattr(near_dups, "BROADCAST_ROWS", 0)
+    r = np.random.default_rng(9)
+    rows = []
+    for family in range(4):
+        base = [f"w{family % 2}{k}" for k in range(60)]
+        for k in range(45):
+            w = list(base)
+            for _ in range(int(r.integers(0, 9))):
+                w[int(r.integers(60))] = f"x{r.integers(3000)}"
+            rows.append((1000 * family + k, " ".join(w)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=1).collect()
+    want = brute(rows, 1)
+    assert all(r.component_id == want[r.doc_id][1] for r in got)

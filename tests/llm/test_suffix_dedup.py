@@ -91,3 +91,12 @@ def test_spans_kept():
     assert spans_kept(10, [(2, 4), (3, 6), (6, 7)]) == ([(0, 2), (7, 10)], 5, 1)
     assert spans_kept(3, []) == ([(0, 3)], 0, 0)
     assert spans_kept(3, [(0, 3)]) == ([], 3, 1)
+
+
+def test_large_groups_meet_in_blocks(docs, rows, monkeypatch):
+    from folio.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 3)
+    got = Counter((r.doc_id, r.n_removed, r.n_spans, r.kept_sha256) for r in removed(docs, 60, 20).collect())
+    want = brute([t for _, t, *_ in rows], 60)
+    assert got == Counter((d, *w[1:]) for (d, *_), w in zip(rows, want, strict=True))
