@@ -31,7 +31,7 @@ class Bpe:
     """A vocabulary file of the byte-level kind: tokens, merges in order of rank, and added tokens."""
 
     #: Pieces whose tokens are remembered; when full, the memory starts anew.
-    REMEMBER = 100_000
+    REMEMBER = 300_000
 
     def __init__(self, path: str, pattern: str) -> None:
         import ahocorasick

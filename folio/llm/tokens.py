@@ -20,7 +20,7 @@ def encoder(vocabulary: str, pattern: str) -> tuple[Bpe, Callable[[list[str]], l
 
     def make() -> tuple[Bpe, Callable[[list[str]], list[bytes]]]:
         bpe = Bpe(vocabulary, pattern)
-        return bpe, ChunkMemory(lambda texts: [bpe.encode(t) for t in texts], np.diff(bpe.bytes_table.offset), list(bpe.added), remember=300_000).ids
+        return bpe, ChunkMemory(lambda texts: [bpe.encode(t) for t in texts], np.diff(bpe.bytes_table.offset), list(bpe.added), remember=600_000).ids
 
     return held(("bpe", vocabulary, pattern), make)
 
