@@ -8,12 +8,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Scores of the alignment, and below how many characters only whole words match.
 MATCH, MISMATCH, GAP, EXACT_BELOW = 2, -1, -2, 5
+#: Scores that are held at once, and pairs of texts that are filled together.
+CELLS, TOGETHER = 1 << 24, 32
 
 Blocks = list[tuple[int, int, int]]
 Junk = Callable[[str, int], bool]
@@ -33,8 +36,9 @@ def local_blocks(a: str, b: str) -> Blocks:
     n, m = len(a), len(b)
     if not n or not m:
         return []
-    y = np.frombuffer(b.encode("utf-32-le"), "<u4")
-    x = np.frombuffer(a.encode("utf-32-le"), "<u4")
+    if (n + 1) * (m + 1) > CELLS:
+        return many_blocks([(a, b)])[0]
+    y, x = _codes(b), _codes(a)
     score = np.zeros((n + 1, m + 1), np.int32)
     step = np.arange(m, dtype=np.int32) * -GAP
     for i in range(n):
@@ -53,6 +57,15 @@ def local_blocks(a: str, b: str) -> Blocks:
             i -= 1
         else:
             j -= 1
+    return _joined(pairs)
+
+
+def _codes(s: str) -> np.ndarray:
+    return np.frombuffer(s.encode("utf-32-le"), "<u4")
+
+
+def _joined(pairs: list[tuple[int, int]]) -> Blocks:
+    """Pairs of places, last first, as blocks."""
     blocks: Blocks = []
     for i, j in reversed(pairs):
         if blocks and blocks[-1][0] + blocks[-1][2] == i and blocks[-1][1] + blocks[-1][2] == j:
@@ -62,6 +75,109 @@ def local_blocks(a: str, b: str) -> Blocks:
     return blocks
 
 
+def many_blocks(texts: list[tuple[str, str]], cells: int = CELLS) -> list[Blocks]:
+    """``local_blocks`` of many pairs of whole texts; pairs of similar lengths are filled together."""
+    out: list[Blocks] = [[] for _ in texts]
+    todo = sorted((k for k, (a, b) in enumerate(texts) if a and b), key=lambda k: (len(texts[k][0]) // 64, len(texts[k][1])))
+    while todo:
+        n = m = k = 0
+        while k < min(len(todo), TOGETHER):
+            a, b = texts[todo[k]]
+            n, m = max(n, len(a)), max(m, len(b))
+            if k and (k + 1) * (n + 1) * (n + m + 1) > cells:
+                break
+            k += 1
+        for at, blocks in zip(todo[:k], _filled([texts[at] for at in todo[:k]], cells), strict=True):
+            out[at] = blocks
+        todo = todo[k:]
+    return out
+
+
+def _filled(texts: list[tuple[str, str]], cells: int) -> list[Blocks]:
+    """Scores by diagonals d = i + j, so that a diagonal of all pairs is a few numpy calls.
+
+    Diagonals that don't fit in ``cells`` are filled in stripes: the two before each stripe are kept, and the way back
+    fills the stripes it meets anew. Padding matches nothing, so scores in it stay under the best one.
+    """
+    size, n, m = len(texts), max(len(a) for a, _ in texts), max(len(b) for _, b in texts)
+    codes = [(_codes(a), _codes(b)) for a, b in texts]
+    wide = max(int(c.max()) for pair in codes for c in pair) >= 8000 or min(n, m) >= 16000
+    kind, pad = (np.int32, 0x110000) if wide else (np.int16, 8000)
+    x, y = np.full((n, size), pad, kind), np.full((m, size), pad + 1, kind)
+    for p, (a, b) in enumerate(codes):
+        x[: len(a), p], y[m - len(b) :, p] = a, b[::-1]  # y is backwards: a diagonal is a slice of each
+    x *= 4  # codes that differ do so by 4 or more in x ^ y
+    y *= 4
+    end, width = n + m + 1, (n + 1) * size
+    rows = min(end - 2, max(cells // width - 2, int(end**0.5) + 1))
+    h = np.zeros((rows + 2, n + 1, size), kind)
+    top, one, two = np.zeros((n + 1, size), kind), np.empty((n, size), kind), np.empty((n, size), kind)
+
+    def fill(first: int) -> None:
+        top[:] = 0
+        for d in range(first, min(first + rows, end)):
+            now, last, before = h[d - first + 2], h[d - first + 1], h[d - first]
+            low, high = max(1, d - m), min(n, d - 1) + 1
+            if d <= n:
+                now[d] = 0
+            t, g, to = one[: high - low], two[: high - low], now[low:high]
+            np.bitwise_xor(x[low - 1 : high - 1], y[m - d + low : m - d + high], out=t)
+            np.minimum(t, MATCH - MISMATCH, out=t)
+            np.subtract(before[low - 1 : high - 1], t, out=t)
+            np.add(t, MATCH, out=t)
+            np.maximum(last[low - 1 : high - 1], last[low:high], out=g)
+            np.add(g, GAP, out=g)
+            np.maximum(t, g, out=t)
+            np.maximum(t, 0, out=to)
+            np.maximum(top[low:high], to, out=top[low:high])
+
+    kept, best = [], [(0, 0, 0)] * size
+    for k, first in enumerate(range(2, end, rows)):
+        if k:
+            h[:2] = h[-2:]
+        if rows < end - 2:
+            kept.append(h[:2].copy())
+        fill(first)
+        for p, (i, score) in enumerate(zip(top.argmax(0).tolist(), top.max(0).tolist(), strict=True)):
+            if score > best[p][0] or score == best[p][0] and i < best[p][1]:
+                best[p] = (score, i, k)
+
+    flat = h.reshape(-1).data
+    places: list[tuple[int, int] | None] = [None] * size  # (i, d)
+    pairs: list[list[tuple[int, int]]] = [[] for _ in texts]
+    filled = k
+    for k in range(filled, -1, -1):
+        first = 2 + k * rows
+        here = [p for p in range(size) if (best[p][2] == k and best[p][0]) or (places[p] and places[p][1] >= first)]
+        if not here:
+            continue
+        if k != filled:
+            h[:2] = kept[k]
+            fill(first)
+            filled = k
+        for p in here:
+            if places[p] is None:
+                score, i, _ = best[p]
+                low = max(first, i + 1)
+                high = min(first + rows, i + len(texts[p][1]) + 1)
+                places[p] = (i, low + int((h[low - first + 2 : high - first + 2, i, p] == score).argmax()))
+            i, d = places[p]
+            a, b = texts[p]
+            at = ((d - first + 2) * (n + 1) + i) * size + p
+            while i and d > i and d >= first and (score := flat[at]) > 0:
+                same = a[i - 1] == b[d - i - 1]
+                if score == flat[at - 2 * width - size] + (MATCH if same else MISMATCH):
+                    i, d, at = i - 1, d - 2, at - 2 * width - size
+                    if same:
+                        pairs[p].append((i, d - i))
+                elif score == flat[at - width - size] + GAP:
+                    i, d, at = i - 1, d - 1, at - width - size
+                else:
+                    d, at = d - 1, at - width
+            places[p] = (i, d) if i and d > i and d < first else (0, 0)
+    return [_joined(x) for x in pairs]
+
+
 def word_blocks(a: str, b: str) -> Blocks:
     """The first place where the shorter text stands as whole words in the other."""
     short, long_ = (a, b) if len(a) <= len(b) else (b, a)
@@ -96,10 +212,8 @@ class Match:
 
     def _junk(self, s: str, k: int, low: int, high: int) -> int:
         """Junk characters in [low, high) that no block covers."""
-        covered = set()
-        for block in self.blocks:
-            covered.update(range(block[k], block[k] + block[2]))
-        return sum(1 for i in range(low, high) if i not in covered and self.junk(s, i))
+        ends = [low, *(x for block in self.blocks for x in (block[k], block[k] + block[2])), high]
+        return sum(1 for a, b in zip(ends[::2], ends[1::2], strict=True) for i in range(max(a, low), min(b, high)) if self.junk(s, i))
 
     @staticmethod
     def over(count: int, total: int) -> float:
@@ -139,6 +253,13 @@ def fuzzy_match(a: str, b: str) -> Match:
     return Match(a, b, word_blocks(a, b) if short else local_blocks(a, b))
 
 
+def fuzzy_matches(texts: list[tuple[str, str]]) -> list[Match]:
+    """``fuzzy_match`` of each pair."""
+    short = [min(len(a), len(b)) < EXACT_BELOW for a, b in texts]
+    long_ = iter(many_blocks([t for t, s in zip(texts, short, strict=True) if not s]))
+    return [Match(*t, word_blocks(*t) if s else next(long_)) for t, s in zip(texts, short, strict=True)]
+
+
 @dataclass(frozen=True)
 class Accept:
     """When a match is one: high ratio over enough characters, or a high share of b with the support of others."""
@@ -165,12 +286,16 @@ STATS = "match_count int, ratio double, a_ratio double, b_ratio double, b_gap_ra
 def match_stats(a: Column, b: Column) -> Column:
     """The alignment of two text columns with its statistics, in Arrow batches."""
 
-    @F.udf(T._parse_datatype_string(STATS), useArrow=True)
-    def run(x, y):
-        if x is None or y is None:
-            return None
-        m = fuzzy_match(x, y)
-        return m.count(), m.ratio(), m.a_ratio(), m.b_ratio(), m.b_gap_ratio(), [tuple(t) for t in m.blocks]
+    @F.arrow_udf(T._parse_datatype_string(STATS))
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        texts = list(zip(x.to_pylist(), y.to_pylist(), strict=True))
+        missing = [x is None or y is None for x, y in texts]
+        found = fuzzy_matches([("", "") if none else t for t, none in zip(texts, missing, strict=True)])
+        blocks = [m.blocks for m in found]
+        parts = [pa.array([block[k] for part in blocks for block in part], pa.int32()) for k in range(3)]
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, blocks)]), pa.int32()), pa.StructArray.from_arrays(parts, ["a", "b", "size"]))
+        cols = [pa.array([m.count() for m in found], pa.int32()), *(pa.array([f(m) for m in found], pa.float64()) for f in (Match.ratio, Match.a_ratio, Match.b_ratio, Match.b_gap_ratio)), lists]
+        return pa.StructArray.from_arrays(cols, ["match_count", "ratio", "a_ratio", "b_ratio", "b_gap_ratio", "blocks"], mask=pa.array(missing, pa.bool_()))
 
     return run(a, b)
 

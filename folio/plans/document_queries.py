@@ -45,11 +45,10 @@ def items_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("match_statistics")
 def match_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn aligned with the next of its conversation."""
+    """Each whole turn aligned with the next of its conversation."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    head = lambda c: F.array_join(F.slice(F.split(c, " "), 1, 20), " ")  # noqa: E731  an alignment is of short strings: a target and a line
     rows = table(spark, sf_dir, "conversations").withColumn("next", F.lead("text").over(w)).where("next IS NOT NULL")
-    return rows.select("conv_id", "turn", alignment.match_stats(head(F.col("text")), head(F.col("next"))).alias("m")).select("conv_id", "turn", "m.match_count", F.round("m.ratio", 9).alias("ratio"), F.round("m.b_gap_ratio", 9).alias("b_gap_ratio"))
+    return rows.select("conv_id", "turn", alignment.match_stats(F.col("text"), F.col("next")).alias("m")).select("conv_id", "turn", "m.match_count", F.round("m.ratio", 9).alias("ratio"), F.round("m.b_gap_ratio", 9).alias("b_gap_ratio"))
 
 
 @query("annotated_benchmark")

@@ -107,6 +107,56 @@ def test_alignment_scores_as_all_alignments_would():
         assert score == best(a, b)
 
 
+def test_many_alignments_are_single_ones():
+    import random
+
+    r = random.Random(2)
+    texts = [tuple("".join(r.choices("abc d", k=r.randint(0, 70))) for _ in range(2)) for _ in range(120)] + [("日本語の文" * 9, "日本の文語" * 8)]
+    want = [A.local_blocks(*t) for t in texts]
+    for cells in (A.CELLS, 3000, 60):  # the small ones fill in stripes
+        assert A.many_blocks(texts, cells) == want
+
+
+def plain_count(a, b):
+    """Matched characters of the best alignment, cell by cell."""
+    h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            h[i + 1][j + 1] = max(0, h[i][j] + (2 if a[i] == b[j] else -1), h[i][j + 1] - 2, h[i + 1][j] - 2)
+    top = max(map(max, h))
+    i, j = next((i, j) for i, row in enumerate(h) for j, score in enumerate(row) if score == top)
+    count = 0
+    while h[i][j] > 0:
+        same = a[i - 1] == b[j - 1]
+        if h[i][j] == h[i - 1][j - 1] + (2 if same else -1):
+            i, j, count = i - 1, j - 1, count + same
+        elif h[i][j] == h[i - 1][j] - 2:
+            i -= 1
+        else:
+            j -= 1
+    return count
+
+
+def test_statistics_of_whole_turns(spark, tmp_path):
+    import random
+
+    from folio.plans.document_queries import match_statistics
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choices("abcdef", k=r.randint(1, 7)))
+    tail = [word() for _ in range(60)]
+    turns = [" ".join([word() for _ in range(30)] + tail[k:]) + "." for k in range(5)] + ["ab", None, "x. ,y"]
+    spark.createDataFrame([(1, k, "user", t) for k, t in enumerate(turns)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {x.turn: x for x in match_statistics(spark, str(tmp_path)).collect()}
+    assert {k: x.match_count for k, x in got.items() if k > 4} == {6: None}
+    for k in range(5):
+        m = A.fuzzy_match(turns[k], turns[k + 1])
+        assert (got[k].match_count, got[k].ratio, got[k].b_gap_ratio) == (m.count(), round(m.ratio(), 9), round(m.b_gap_ratio(), 9))
+        assert got[k].match_count == (plain_count(turns[k], turns[k + 1]) if k < 4 else 0)
+        if k < 4:
+            assert got[k].match_count >= len(" ".join(tail[k + 1 :]))  # all of it lies beyond word 20
+
+
 def annotated(spark, lines, *targets):
     rows = [("d", 0, n, k, w, None) for n, line in enumerate(lines) for k, w in enumerate(line.split(" "))]
     t = spark.createDataFrame(rows, "doc_id string, page_idx int, line_idx int, token_idx int, text string, tag string")
