@@ -28,8 +28,8 @@ _ROLE_OF = {w: k for k, r in enumerate(ROLES) for w in MARKERS[r]}
 _WORDS = "|".join(sorted(_ROLE_OF, key=len, reverse=True))
 _MARKER = re.compile(rf"\s*(?:<\|(?:im_start\|>)?({_WORDS})(?:\|>)?|\[({_WORDS})\]:?|#+\s*({_WORDS})\s*:?(?=\s|$)|\**({_WORDS})\**\s*:\**)\s*", re.IGNORECASE)
 
-#: Turn numbers of one conversation that make one transcript, so that a conversation of any length is cut.
-SEGMENT = 64
+#: Lines, padding included, whose paths are found together; a longer transcript is alone.
+TOGETHER = 1 << 16
 #: Odds of markers: the right one, none, another's on a turn's first line; any one on a later line.
 RIGHT, NONE, LATER = 0.78, 0.2, 0.002
 #: Lengths of lines are seen in these classes, endings as question, stop, other.
@@ -90,11 +90,8 @@ class Model:
 def fit(turns: DataFrame) -> Model:
     """``turns``: conv_id, turn, role, text. Counts over all rows with a known role, one added to each; a few rows come back."""
     known = turns.where(F.col("role").isin(*ROLES)).select("conv_id", "turn", F.col("role").alias("r"), F.coalesce("text", F.lit("")).alias("text"))
-    # By segments, so that a conversation of any length is many windows; steps between segments are not counted.
-    segment = F.expr(f"turn div {SEGMENT}")
-    in_order = Window.partitionBy("conv_id", segment).orderBy("turn", "r")
-    begins = (F.row_number().over(in_order) == 1) & F.coalesce(segment == 0, F.lit(True))
-    steps = known.select("r", F.lead("r").over(in_order).alias("next"), begins.alias("first"), (F.regexp_count("text", F.lit("\n")) + 1).alias("lines"))
+    in_order = Window.partitionBy("conv_id").orderBy("turn", "r")
+    steps = known.select("r", F.lead("r").over(in_order).alias("next"), (F.row_number().over(in_order) == 1).alias("first"), (F.regexp_count("text", F.lit("\n")) + 1).alias("lines"))
     steps = steps.groupBy("r", "next", "first").agg(F.count("*").alias("n"), F.sum("lines").alias("lines")).collect()
     lines = known.select("r", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     shapes = lines.groupBy("r", (F.col("at") > 0).alias("later"), length_class(F.col("line")).alias("length"), ending_class(F.col("line")).alias("ending")).count().collect()
@@ -164,8 +161,15 @@ def turns_of(model: Model, texts: list[str | None]) -> list[list[tuple[str, str]
     """(role, text) of every turn of every transcript, markers taken off. A null or empty transcript has none."""
     lines = [marked_lines(t) if t else [] for t in texts]
     seen = [np.array([(m + 1, *_seen(x)) for m, x in part], np.int64).reshape(-1, 3) for part in lines]
+    paths: list[np.ndarray] = [np.zeros(0, np.int64)] * len(seen)
+    todo = sorted((k for k, s in enumerate(seen) if len(s)), key=lambda k: len(seen[k]), reverse=True)
+    while todo:
+        now = todo[: max(1, TOGETHER // len(seen[todo[0]]))]
+        for k, path in zip(now, viterbi(model, [seen[k] for k in now]), strict=True):
+            paths[k] = path
+        todo = todo[len(now) :]
     out = []
-    for part, states in zip(lines, viterbi(model, seen), strict=True):
+    for part, states in zip(lines, paths, strict=True):
         turns: list[tuple[str, list[str]]] = []
         for (_, x), s in zip(part, states, strict=True):
             if s < 3 or not turns:
@@ -196,7 +200,7 @@ def parse_transcripts(transcripts: DataFrame, model: Model, keys: list[str], tex
 
 
 def transcripts(turns: DataFrame, every: int = 8) -> DataFrame:
-    """Conversations as raw transcripts: conv_id, segment, text, true_roles.
+    """Whole conversations as raw transcripts: conv_id, text, true_roles.
 
     Marker styles differ by conversation, and one turn in ``every`` has no marker, by a hash of conversation and turn.
     """
@@ -206,6 +210,6 @@ def transcripts(turns: DataFrame, every: int = 8) -> DataFrame:
     marker = F.when(style == 0, F.concat(F.initcap(role), F.lit(": "))).when(style == 1, F.concat(name, F.lit(": "))).when(style == 2, F.concat(F.lit("### "), F.initcap(role), F.lit("\n"))).otherwise(F.concat(F.lit("<|"), role, F.lit("|>")))
     bare = (F.pmod(F.xxhash64("conv_id", "turn"), F.lit(every)) == 0) | (role == "")
     line = F.concat(F.when(bare, F.lit("")).otherwise(marker), F.coalesce("text", F.lit("")))
-    rows = turns.select("conv_id", F.expr(f"turn div {SEGMENT}").alias("segment"), F.struct(F.col("turn").alias("t"), line.alias("line"), F.substring(role, 1, 1).alias("r")).alias("x"))
-    whole = rows.groupBy("conv_id", "segment").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    return whole.select("conv_id", "segment", F.array_join(F.col("x.line"), "\n").alias("text"), F.array_join(F.col("x.r"), "").alias("true_roles"))
+    rows = turns.select("conv_id", F.struct(F.col("turn").alias("t"), line.alias("line"), F.substring(role, 1, 1).alias("r")).alias("x"))
+    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return whole.select("conv_id", F.array_join(F.col("x.line"), "\n").alias("text"), F.array_join(F.col("x.r"), "").alias("true_roles"))

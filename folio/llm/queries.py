@@ -25,7 +25,7 @@ def op2_hmm_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.llm.chat import fit, parse_transcripts, transcripts
 
     turns = table(spark, sf_dir, "conversations")
-    return parse_transcripts(transcripts(turns), fit(turns), ["conv_id", "segment", "true_roles"])
+    return parse_transcripts(transcripts(turns), fit(turns), ["conv_id", "true_roles"])
 
 
 def vocabulary() -> tuple[str, str]:

@@ -122,6 +122,26 @@ def test_transcripts(spark):
     assert chat.parse_transcripts(chat.transcripts(turns.limit(0)), chat.fit(turns.limit(0)), ["conv_id"]).collect() == []
 
 
+def test_a_long_conversation_is_one_transcript(spark):
+    rows = [(c, t, "system" if t == 0 else "user" if t % 2 else "assistant", f"words of turn {t}.") for c, n in ((0, 400), *((k, 3) for k in range(1, 40))) for t in range(n)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    model = chat.fit(turns)
+    step = np.exp(model.move[:3, :3])
+    # counts and one each, those between turns 63 and 64 and so on with the others
+    assert np.allclose(step / step.sum(1, keepdims=True), np.array([[1, 41, 1], [1, 1, 239], [1, 200, 1]]) / [[43], [241], [202]])
+    assert np.allclose(np.exp(model.start[:3]), np.array([41, 1, 1]) / 43)
+    raw = {r.conv_id: r for r in chat.transcripts(turns).collect()}
+    assert len(raw) == 40 and raw[0].true_roles == "s" + "ua" * 199 + "u" and "words of turn 399." in raw[0].text
+    out = {r.conv_id: r for r in chat.parse_transcripts(chat.transcripts(turns), model, ["conv_id"]).collect()}
+    for c in (0, 1, 39):
+        want = chat.turns_of(model, [raw[c].text])[0]
+        assert out[c].rendered == "".join(chat.render(*x) for x in want) and out[c].n_turns == len(want)
+    assert "s" not in out[0].roles[1:] and len(out[0].roles) > 380
+    lines = [chat.marked_lines(raw[0].text)]
+    seen = [np.array([(m + 1, *chat._seen(x)) for m, x in part]) for part in lines]
+    assert [r for r, _ in chat.turns_of(model, [raw[0].text])[0]] == [chat.ROLES[s] for s in chat.viterbi(model, seen)[0] if s < 3]
+
+
 def test_viterbi_against_all_paths():
     from itertools import product
 
