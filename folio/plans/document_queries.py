@@ -33,6 +33,23 @@ def xml_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return targets.targets(article_xml(spark, sf_dir), MAPPING).select("doc_id", "target_ord", "name", F.array_join("value", " | ").alias("value"), "match_multiple", "error")
 
 
+_WHOLE = rf"trim(regexp_replace({_PLAIN}, '\n{{2,}}', chr(10), 'g'), ' ' || chr(10))"
+
+
+@query("xml_whole_targets", rf"""WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, regexp_replace(text, '[&<>\x00-\x08\x0b\x0c\x0e-\x1f]', ' ', 'g') AS t FROM documents),
+p AS (SELECT doc_id, generate_subscripts(string_split(t, chr(10)), 1) AS k, unnest(string_split(t, chr(10))) AS p FROM t),
+v AS (SELECT doc_id, 0 AS k, 'body' AS name, {_WHOLE % "t"} AS value, false AS match_multiple FROM t UNION ALL SELECT doc_id, k, 'paragraph', {_WHOLE % "p"}, true FROM p)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INT) AS target_ord, name, value, match_multiple, CAST(NULL AS VARCHAR) AS error FROM v WHERE value <> ''""")
+def xml_whole_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as nested bodies with a paragraph a line; the body and each paragraph are targets."""
+    text = F.regexp_replace("text", "[&<>\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", " ")
+    paragraphs = F.array_join(F.transform(F.split(text, "\n"), lambda p: F.concat(F.lit("<p>"), p, F.lit("</p>"))), "\n")
+    xml = F.concat(F.lit("<article><body><sec>"), paragraphs, F.lit("</sec></body></article>"))
+    mapping = {"article": {"body": "body", "paragraph": "body/sec/p", "paragraph.match-multiple": "true"}}
+    found = targets.targets(table(spark, sf_dir, "documents").select("doc_id", xml.alias("xml")), mapping)
+    return found.select("doc_id", "target_ord", "name", F.array_join("value", " | ").alias("value"), "match_multiple", "error")
+
+
 @query("items_xml")
 def items_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of conversations as XML: system turns as titles, the user's as abstracts, answers as authors."""

@@ -33,3 +33,13 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 def test_best_rows_need_no_sort(spark):
     assert "Window" not in plan(spark, "best_rows")
+
+
+def test_targets_hold_whole_texts(spark, tmp_path):
+    from folio.plans import catalog
+
+    text = "first line\n\n  second & line \n" + "word " * 30_000 + "\nlast line\n"
+    spark.createDataFrame([(1, text, "src0")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.name, r.value.split()) for r in catalog.queries()["xml_whole_targets"](spark, str(tmp_path)).orderBy("target_ord").collect()]
+    words = text.replace("&", " ").split()
+    assert got == [("body", words), *(("paragraph", x) for x in (words[:2], words[2:4], ["word"] * 30_000, ["last", "line"]))]
