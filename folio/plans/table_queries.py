@@ -276,6 +276,16 @@ def zipped_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("item_id", F.explode(N.zipped(F.col("w"), F.col("n"))).alias("z")).select("item_id", F.col("z.w").alias("word"))
 
 
+@query("zipped_neighbours", """WITH b AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)
+SELECT a.item_id, unnest(range(1, least(len(a.w), len(b.w)) + 1)) AS k, unnest(a.w[1:least(len(a.w), len(b.w))]) AS word, unnest(b.w[1:least(len(a.w), len(b.w))]) AS beside FROM b a JOIN b ON b.item_id = a.item_id + 1""")
+def zipped_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of an item beside those of the next one, up to the shorter."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.split("text", " ").alias("w"))
+    after = items.select((F.col("item_id") - 1).alias("item_id"), F.col("w").alias("v"))
+    rows = items.join(after, "item_id").select("item_id", F.posexplode(N.zipped(F.col("w"), F.col("v"))).alias("k", "z"))
+    return rows.select("item_id", (F.col("k") + 1).cast("long").alias("k"), F.col("z.w").alias("word"), F.col("z.v").alias("beside"))
+
+
 @query("number_ranges", "SELECT p_partkey, CASE WHEN p_size <= 20 THEN range(CAST(p_size AS BIGINT), 21) ELSE [] END AS numbers FROM part")
 def number_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From a number to 20, nothing above."""

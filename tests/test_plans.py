@@ -43,3 +43,10 @@ def test_targets_hold_whole_texts(spark, tmp_path):
     got = [(r.name, r.value.split()) for r in catalog.queries()["xml_whole_targets"](spark, str(tmp_path)).orderBy("target_ord").collect()]
     words = text.replace("&", " ").split()
     assert got == [("body", words), *(("paragraph", x) for x in (words[:2], words[2:4], ["word"] * 30_000, ["last", "line"]))]
+
+
+def test_words_are_zipped_up_to_the_shorter_item(spark, tmp_path):
+    texts = [" ".join(f"{c}{k}" for k in range(n)) for c, n in (("a", 40), ("b", 12), ("c", 30))]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r.item_id, r.k, r.word, r.beside) for r in catalog.queries()["zipped_neighbours"](spark, str(tmp_path)).collect())
+    assert got == [(0, k + 1, f"a{k}", f"b{k}") for k in range(12)] + [(1, k + 1, f"b{k}", f"c{k}") for k in range(12)]
