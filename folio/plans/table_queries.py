@@ -353,10 +353,16 @@ def stable_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sorted_matches", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey LIMIT 200")
 def sorted_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By place; the first 200."""
+    """By place; the first 200."""
     return table(spark, sf_dir, "lineitem").select(*KEYS).orderBy(*KEYS).limit(200)
 
 
+@query("all_sorted_matches", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey")
+def all_sorted_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All by place."""
+    return table(spark, sf_dir, "lineitem").select(*KEYS).orderBy(*KEYS)
+
+
 @query("sorted_distinct_tags", "SELECT DISTINCT event_type FROM events ORDER BY 1")
 def sorted_distinct_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T09."""

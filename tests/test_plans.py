@@ -50,3 +50,9 @@ def test_words_are_zipped_up_to_the_shorter_item(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = sorted((r.item_id, r.k, r.word, r.beside) for r in catalog.queries()["zipped_neighbours"](spark, str(tmp_path)).collect())
     assert got == [(0, k + 1, f"a{k}", f"b{k}") for k in range(12)] + [(1, k + 1, f"b{k}", f"c{k}") for k in range(12)]
+
+
+def test_the_whole_sort_comes_back_in_order(spark):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey").collect()
+    got = catalog.queries()["all_sorted_matches"](spark, SF).collect()
+    assert len(got) > 200 and got == sorted(lines)
