@@ -10,20 +10,26 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows that may be broadcast, counted first (ids and a few numbers each, some 30 MB); beyond that a shuffled join is used.
+BROADCAST_ROWS = 500_000
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as the cluster names it; one of our own only where none is set."""
+    """The folder that the driver and all executors share, as the cluster names it; one of our own only in a local session."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
     set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not set_.isDefined():
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="folio-"))
         set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
     return set_.get().rstrip("/")
@@ -49,6 +55,13 @@ def drop_table(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def put(store: fs.FileSystem, own: str, place: str) -> None:
+    """Move a finished file to its place. Where a task that ran before has left one, that one goes: some stores don't replace."""
+    if store.get_file_info(place).type != fs.FileType.NotFound:
+        store.delete_file(place)
+    store.move(own, place)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt to all cores if a small input comes in fewer partitions; a table of many files is left as it is read."""
     cores = df.sparkSession.sparkContext.defaultParallelism

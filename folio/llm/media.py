@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import new_path, spread, written
+from folio.llm.common import new_path, put, spread, written
 
 WIDTH = 192
 #: Fixed values of the PNG format: signature, and the bytes up to the end of the header chunk.
@@ -104,7 +104,7 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         if out is not None:
             out.write(b"\0" * 1024)
             out.close()
-            store.move(own, f"{root}/{name}")
+            put(store, own, f"{root}/{name}")
 
     return written(spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(write, INDEX), "media-index")
 

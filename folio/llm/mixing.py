@@ -2,23 +2,21 @@
 
 Token-weighted relative entropy to the natural rate 1, sum of size * (r log r - r + 1), is minimised under token
 constraints on one or more margins (source, language, ...). The dual is convex, and its solution tilts each document's
-rate exponentially: r = exp(sum of its categories' multipliers). Categories of one margin are disjoint, so the Hessian
-of a margin's block is diagonal and a Newton step is one aggregation; margins take turns. Rates become copies by
-a threshold on a hash per category of the first margin, so that the words taken come within one document of the target.
+rate exponentially: r = exp(sum of its categories' multipliers). Newton's method solves it for all margins at once:
+every round aggregates the gradient and the Hessian over cells of documents with the same categories. Rates become
+copies by a threshold on a hash per category of the first margin, so that the words taken come within one document of
+the target.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm.common import word_count, written
 
-#: A scalar Newton step shrinks the log of a ratio below 2 ** -50 in so many rounds when ratios stay within e ** 40.
-NEWTON_ROUNDS = 60
-
 
 def capped_targets(sources: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """Targets of sources. ``sources``: source, tokens. Adds weight and target.
@@ -44,29 +42,89 @@ def capped_targets(sources: DataFrame, weights: Sequence[float] = (5, 2, 1), sha
     return found.select("source", "tokens", "weight", F.least(F.col("_cap"), F.coalesce(F.col("weight") * F.col("_found"), F.col("_cap"))).alias("target"))
 
 
-def newton(have: Column, want: Column) -> Column:
-    """The multiplier that tilts ``have`` tokens to ``want``: Newton on have * exp(x) - want; null where that is not to be had."""
-    step = lambda x, _: F.struct((x["at"] - F.lit(1.0) + x["ratio"] * F.exp(-x["at"])).alias("at"), x["ratio"].alias("ratio"))
-    start = F.struct(F.lit(0.0).alias("at"), (want / have).alias("ratio"))
-    return F.when((have > 0) & (want > 0), F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_ROUNDS)), start, step)["at"])
+def _categories(cells: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Every cell with each of its categories: _cell, tokens, m (the margin's number), k (its category; null has a name of its own)."""
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
+    each = F.array(*[F.struct(F.lit(i).alias("m"), name(c).alias("k")) for i, c in enumerate(columns)])
+    return cells.select("_cell", "tokens", F.explode(each).alias("c")).select("_cell", "tokens", "c.m", "c.k")
+
+
+def _tilts(member: DataFrame, dual: DataFrame) -> DataFrame:
+    """Tokens of every cell, tilted by the multipliers of its categories: one aggregation."""
+    met = member.join(dual.select("m", "k", "x"), ["m", "k"])
+    return met.groupBy("_cell").agg((F.first("tokens") * F.exp(F.sum("x"))).alias("tilted"))
+
 
+def _newton_step(member: DataFrame, tilts: DataFrame, dual: DataFrame, margins: int, inner: int, within: float) -> DataFrame:
+    """``dual`` (m, k, x, target, have) with ``d``: the solution of Hessian * d = target - have.
 
-def entropy_balance(cells: DataFrame, margins: Sequence[tuple[str, DataFrame]], sweeps: int = 12) -> DataFrame:
+    One margin has a diagonal Hessian. With several it is solved by conjugate gradients, preconditioned by the diagonal:
+    each product with the Hessian is one aggregation over cells and one over categories, and no matrix is ever built.
+    """
+    start = dual.withColumn("r", F.col("target") - F.col("have")).withColumn("z", F.col("r") / F.col("have"))
+    if margins == 1:
+        return start.withColumn("d", F.col("z"))
+    now = written(start.withColumns({"d": F.lit(0.0), "p": F.col("z")}), "mix-cg")
+    rz = first = now.agg(F.sum(F.col("r") * F.col("z"))).first()[0] or 0.0
+    weighed = member.drop("tokens").join(tilts, "_cell")
+    for _ in range(inner):
+        if rz <= within * within * first or rz <= 0:
+            break
+        ahead = weighed.join(now.select("m", "k", "p"), ["m", "k"]).groupBy("_cell").agg((F.first("tilted") * F.sum("p")).alias("v"))
+        product = member.join(ahead, "_cell").groupBy("m", "k").agg(F.sum("v").alias("q"))
+        now = written(now.join(product, ["m", "k"]), "mix-cg")
+        pq = now.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
+        if pq <= 0:
+            break
+        far = rz / pq
+        now = now.withColumns({"d": F.col("d") + far * F.col("p"), "r": F.col("r") - far * F.col("q")}).drop("q").withColumn("z", F.col("r") / F.col("have"))
+        before, rz = rz, now.agg(F.sum(F.col("r") * F.col("z"))).first()[0]
+        now = now.withColumn("p", F.col("z") + rz / before * F.col("p"))
+    return now
+
+
+def entropy_balance(cells: DataFrame, margins: Sequence[tuple[str, DataFrame]], most_rounds: int = 60, tolerance: float = 1e-13, inner: int = 200, within: float = 1e-3) -> DataFrame:
     """``cells``: a row per combination of categories, with tokens. ``margins``: (column, its targets: column, target).
 
-    Returns the cells with ``rate``. Each Newton sweep is one aggregation and one join per margin, on cells, not on
-    documents; one margin is solved by the first sweep. A category with no tokens or target 0 gets rate 0.
+    Returns the cells with ``rate``. Each round of Newton's method on the dual is one aggregation of the gradient and the
+    Hessian over cells, a step by ``_newton_step``, cut so that no multiplier moves by more than 1, and ends when every
+    category's tokens are within ``tolerance`` of its target, or when they no longer come nearer. Multipliers stay a
+    table; only norms reach the driver. A category with no tokens or target 0 gets rate 0. Targets of later margins are
+    scaled to the sum of the first's, since all margins count the same tokens.
     """
-    now = cells.withColumn("_log", F.lit(0.0))
-    for k in range(sweeps if len(margins) > 1 else 1):
-        for column, targets in margins:
-            have = now.groupBy(F.col(column).alias("_key")).agg(F.sum(F.col("tokens") * F.exp("_log")).alias("_have"))
-            step = have.join(targets.select(F.col(column).alias("_name"), "target"), F.col("_key").eqNullSafe(F.col("_name")), "left")
-            step = step.select("_key", newton(F.col("_have"), F.col("target")).alias("_step"))
-            now = now.join(step, F.col(column).eqNullSafe(F.col("_key")), "left").withColumn("_log", F.coalesce(F.col("_log") + F.col("_step"), F.lit(float("-inf")))).drop("_key", "_step")
+    columns = [c for c, _ in margins]
+    cells = written(cells.withColumn("_cell", F.monotonically_increasing_id()), "mix-cells")
+    member = _categories(cells, columns)
+    wanted = None
+    for i, (column, targets) in enumerate(margins):
+        name = F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("null"))
+        one = targets.select(F.lit(i).alias("m"), name.alias("k"), F.col("target").cast("double").alias("target")).where("target > 0")
+        wanted = one if wanted is None else wanted.union(one)
+    # Cells of a category without a target have rate 0 and leave the dual.
+    live = member.join(wanted, ["m", "k"]).where("tokens > 0").groupBy("_cell").agg(F.count("*").alias("_of")).where(F.col("_of") == len(margins)).select("_cell")
+    member = written(member.join(live, "_cell"), "mix-members")
+    dual = member.select("m", "k").distinct().join(wanted, ["m", "k"])
+    if len(margins) > 1:
+        totals = dual.groupBy(F.col("m").alias("_m")).agg(F.sum("target").alias("_sum"))
+        scale = totals.crossJoin(totals.where("_m = 0").select(F.col("_sum").alias("_first")))  # a row per margin
+        dual = dual.join(F.broadcast(scale), F.col("m") == F.col("_m")).withColumn("target", F.col("target") * F.col("_first") / F.col("_sum"))
+    dual = written(dual.select("m", "k", "target", F.lit(0.0).alias("x")), "mix-dual")
+    last = float("inf")
+    for _ in range(most_rounds):
+        tilts = _tilts(member, dual)
         if len(margins) > 1:
-            now = written(now, f"balance-{k}")
-    return now.withColumn("rate", F.exp("_log")).drop("_log")
+            tilts = written(tilts, "mix-tilts")
+        have = member.join(tilts, "_cell").groupBy("m", "k").agg(F.sum("tilted").alias("have"))
+        at = written(dual.join(have, ["m", "k"]), "mix-gradient")
+        off = at.agg(F.max(F.abs(F.col("have") / F.col("target") - 1))).first()[0]
+        if off is None or off <= tolerance or (last < 1e-9 and off >= last):
+            break
+        last = off
+        step = _newton_step(member, tilts, at, len(margins), inner, within)
+        far = step.agg(F.max(F.abs("d"))).first()[0]
+        dual = written(step.select("m", "k", "target", (F.col("x") + F.col("d") / max(1.0, far)).alias("x")), "mix-dual")
+    tilted = member.join(dual.select("m", "k", "x"), ["m", "k"]).groupBy("_cell").agg(F.exp(F.sum("x")).alias("rate"))
+    return cells.join(tilted, "_cell", "left").withColumn("rate", F.coalesce("rate", F.lit(0.0))).drop("_cell")
 
 
 def round_to_copies(rated: DataFrame, targets: DataFrame, id_col: str = "doc_id", seed: int = 17, in_bin: int = 20_000) -> DataFrame:
@@ -122,8 +180,13 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """``docs`` as the mix takes them: each row as often as it has copies. Ids must tell rows with different texts apart."""
-    copies = mix_sources(docs, id_col=id_col, **how).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    out = docs.join(copies, F.col(id_col).eqNullSafe(F.col("_id")))
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """``docs`` as the mix takes them: each row as often as it has copies.
+
+    Rows of one id are told apart by source and size; rows that agree in all three are taken alike, as often as the
+    mix takes them on the whole, rounded. Null texts have no words and are taken as their source's rate says.
+    """
+    copies = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
+    copies = copies.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_of"), F.col("size").alias("_size")).agg(F.round(F.avg("copies")).cast("int").alias("_copies")).where("_copies > 0")
+    out = docs.join(copies, F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_of")) & (word_count(F.col(text_col)) == F.col("_size")))
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import LOWER, Hashes, drop_table, mixed, release, spread, text_chunks, words, write_table
+from folio.llm.common import BROADCAST_ROWS, LOWER, Hashes, drop_table, mixed, release, spread, text_chunks, words, write_table
 from folio.llm.components import components
 
 #: 32 bands of 4: a pair at similarity 0.8 shares no bucket with probability (1 - 0.8 ** 4) ** 32 = 5e-8.
@@ -34,8 +34,6 @@ BLOCK = 512
 HELD = 200_000
 #: Bytes of a group beyond which a worker first gives back what memory it can.
 LARGE = 4 << 20
-#: Rows that may be broadcast (ids and a label each, some 30 MB); beyond that a shuffled join is used.
-BROADCAST_ROWS = 500_000
 
 _LOWER = bytes(LOWER)
 _rng = np.random.default_rng(20240607)

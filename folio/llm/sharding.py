@@ -1,10 +1,11 @@
 """Sharding by a K-d tree over document metadata.
 
 The tree splits at weighted medians along the dimension whose extent, relative to the whole table's, is widest, until
-leaves reach the target bytes. Medians are found by distributed histograms: each pass is one aggregation for all nodes
-of a level, narrows every node's range to one bin, and ends when a bin holds one value. Ties along a dimension are
-ordered by text digest, so that equal texts stay together, and then by row; a cut moves to the edge of a group of
-equal texts if the group is small beside a leaf, else it goes through the group, so one huge group cannot unbalance.
+leaves reach the target bytes. Strings count by the rank of their value among all values. Medians are found by
+distributed histograms: each pass is one aggregation for all nodes of a level, narrows every node's range to one bin,
+and ends when a bin holds one value. Ties along a dimension are ordered by text digest, so that equal texts stay
+together, and then by row. A cut is where the bytes say, so it goes through one group of equal texts at most, and no
+group, however large, can unbalance the leaves.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import written
+from folio.llm.common import BROADCAST_ROWS, drop_table, write_table, written
 
-#: The tree lives on the driver: as many leaves at most.
-MOST_LEAVES = 65_536
-#: Histogram rows that one pass brings to the driver, over all nodes of a level.
-HISTOGRAM_ROWS = 65_536
+#: Histogram rows that one pass brings to the driver at most. A level with more nodes than these allow takes several passes.
+HISTOGRAM_ROWS = 1 << 19
+#: Bins of a node in a pass.
+LEAST_BINS, MOST_BINS = 16, 4096
 
 
 @dataclass
@@ -35,26 +36,37 @@ class Node:
     #: Bytes that the left side still wants, from the current range on.
     want: float = 0.0
     open: bool = True
+    #: Some row is in it.
+    seen: bool = False
 
 
-def prefix_code(column: Column) -> Column:
-    """A string's first six bytes as a number that keeps their order; null is -1."""
-    head = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6)), 12, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(-1))
+def with_rank(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """Add the rank of ``column``'s value in the order of all its values, from 0, as ``name``; null is -1.
+
+    Values are sorted by ranges, numbered within each and moved on by what stands before it, so no task holds them all.
+    """
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    values = rows.select(F.col(column).alias("_value")).where("_value IS NOT NULL").distinct()
+    ranged = written(values.repartitionByRange(n, "_value").withColumn("_part", F.spark_partition_id()), "kd-values")
+    before = ranged.groupBy(F.col("_part").alias("_p")).agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n"))  # a row per range
+    at = F.row_number().over(Window.partitionBy("_part").orderBy("_value")) - 1
+    ranks = written(ranged.withColumn("_at", at).join(F.broadcast(before), F.col("_part") == F.col("_p")).select("_value", (F.col("_before") + F.col("_at")).cast("long").alias(name)), "kd-ranks")
+    few = F.broadcast(ranks) if ranks.count() <= BROADCAST_ROWS else ranks
+    return rows.join(few, F.col(column) == F.col("_value"), "left").drop("_value").fillna(-1, [name])
 
 
 def digest60(text: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
-def kd_tree_leaves(rows: DataFrame, dims: list[str], bytes_col: str, tie_col: str, leaves: int, snap: float = 0.01) -> DataFrame:
+def kd_tree_leaves(rows: DataFrame, dims: list[str], bytes_col: str, tie_col: str, leaves: int) -> DataFrame:
     """Add ``leaf`` (0 to leaves - 1) to ``rows``, whose ``dims``, ``tie_col`` and ``row`` are longs, ``row`` unique.
 
-    ``rows`` must be a written table, since it is read several times a level. One table of the rows is written a level.
+    ``rows`` must be a written table, since it is read several times a level. One table of the rows is written a level, and
+    the one before goes. The tree, a few numbers a node, lives on the driver.
     """
-    spark = rows.sparkSession
-    if leaves > MOST_LEAVES:
-        raise ValueError(f"{leaves} leaves; the tree holds {MOST_LEAVES} at most")
+    spark, schema, path = rows.sparkSession, None, None
     nodes = {0: Node(leaves, 0)}
     rows = rows.withColumn("_node", F.lit(0))
     whole: list[tuple[int, int]] | None = None
@@ -66,10 +78,12 @@ def kd_tree_leaves(rows: DataFrame, dims: list[str], bytes_col: str, tie_col: st
             whole = whole or spans
             n.dim = max(range(len(dims)), key=lambda i: ((spans[i][1] - spans[i][0]) / max(1, whole[i][1] - whole[i][0]), -i))
             (n.low, n.high), n.want = spans[n.dim], r["mass"] * (n.leaves // 2) / n.leaves
-            n.mass = r["mass"]
-        split = {k: n for k, n in nodes.items() if n.leaves > 1 and hasattr(n, "mass")}
+            n.seen = True
+        split = {k: n for k, n in nodes.items() if n.leaves > 1 and n.seen}
         while any(n.open for n in split.values()):
-            _narrow(spark, rows, dims, bytes_col, tie_col, split, snap)
+            live = [k for k, n in split.items() if n.open]
+            for at in range(0, len(live), HISTOGRAM_ROWS // LEAST_BINS):
+                _narrow(spark, rows, dims, bytes_col, tie_col, {k: split[k] for k in live[at : at + HISTOGRAM_ROWS // LEAST_BINS]})
         cuts = spark.createDataFrame(
             [(k, n.dim, *(n.settled + [2**62] * 3)[:3]) if n in split.values() else (k, -1, 0, 0, 0) for k, n in nodes.items()],
             "_n int, _dim int, _c0 long, _c1 long, _c2 long",
@@ -79,7 +93,11 @@ def kd_tree_leaves(rows: DataFrame, dims: list[str], bytes_col: str, tie_col: st
         left = (value < F.col("_c0")) | ((value == F.col("_c0")) & ((F.col(tie_col) < F.col("_c1")) | ((F.col(tie_col) == F.col("_c1")) & (F.col("row") <= F.col("_c2")))))
         stays = F.col("_dim") == -1
         child = F.col("_node") * 2 + F.when(stays | left, 1).otherwise(2)
-        rows = written(joined.withColumn("_node", child).select(rows.columns), "kd-level")
+        moved = joined.withColumn("_node", child).select(rows.columns)
+        schema, before, path = moved.schema, path, write_table(moved, "kd-level")
+        if before:
+            drop_table(spark, before)
+        rows = spark.read.schema(schema).parquet(path)
         below = {}
         for k, n in nodes.items():
             if n.leaves == 1:
@@ -97,10 +115,9 @@ def _value(dims: list[str]) -> Column:
     return F.coalesce(*[F.when(F.col("_dim") == i, F.col(d)) for i, d in enumerate(dims)], F.lit(0))
 
 
-def _narrow(spark: SparkSession, rows: DataFrame, dims: list[str], bytes_col: str, tie_col: str, split: dict[int, Node], snap: float) -> None:
-    """One histogram pass for all nodes that have no cut yet."""
-    live = {k: n for k, n in split.items() if n.open}
-    bins = max(16, min(4096, HISTOGRAM_ROWS // len(live)))
+def _narrow(spark: SparkSession, rows: DataFrame, dims: list[str], bytes_col: str, tie_col: str, live: dict[int, Node]) -> None:
+    """One histogram pass for nodes that have no cut yet."""
+    bins = max(LEAST_BINS, min(MOST_BINS, HISTOGRAM_ROWS // len(live)))
     state = spark.createDataFrame(
         [(k, n.dim, len(n.settled), *(n.settled + [0, 0])[:2], n.low, n.high, (n.high - n.low) // bins + 1) for k, n in live.items()],
         "_n int, _dim int, _phase int, _s0 long, _s1 long, _low long, _high long, _step long",
@@ -126,9 +143,6 @@ def _narrow(spark: SparkSession, rows: DataFrame, dims: list[str], bytes_col: st
             if n.want < mass / 2:
                 n.settled[2] -= 1
             n.open = False
-        elif len(n.settled) == 2 and mass <= snap * n.mass / n.leaves:
-            n.settled.append(2**62 if n.want >= mass / 2 else -1)
-            n.open = False
         else:
             n.low, n.high = (0, 2**60) if len(n.settled) == 1 else (0, 2**62)
 
@@ -162,10 +176,13 @@ def shard_documents(docs: DataFrame, shards: int | None = None, target_bytes: in
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         digest60(F.col(text_col)).alias("tie"),
         F.coalesce(F.col(length_col).cast("long"), F.lit(-1)).alias("d0"),
-        *[prefix_code(F.col(c).cast("string")).alias(f"d{i + 1}") for i, c in enumerate(label_cols)],
+        *[F.col(c).cast("string").alias(f"v{i + 1}") for i, c in enumerate(label_cols)],
         F.monotonically_increasing_id().alias("row"),
     )
     rows = written(picked, "kd-rows")
+    for i in range(len(label_cols)):
+        rows = with_rank(rows, f"v{i + 1}", f"d{i + 1}")
+    rows = written(rows.drop(*[f"v{i + 1}" for i in range(len(label_cols))]), "kd-ranked")
     total = rows.agg(F.sum("size")).first()[0] or 0
     leaves = shards or max(1, math.ceil(total / target_bytes))
     dealt = kd_tree_leaves(rows, [f"d{i}" for i in range(len(label_cols) + 1)], "size", "tie", leaves) if total else rows.withColumn("leaf", F.lit(0))

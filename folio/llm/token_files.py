@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import held, new_path, written
+from folio.llm.common import held, new_path, put, written
 
 #: Sequences in a record batch.
 BATCH = 256
@@ -103,10 +103,10 @@ def write_token_files(docs: DataFrame, path: str, encoder: Callable[[], Callable
             return
         writer.close()
         sink.close()
-        store.move(own, f"{root}/{part:06d}.arrow")
+        put(store, own, f"{root}/{part:06d}.arrow")
         with store.open_output_stream(own) as sink, ipc.new_file(sink, INDEX) as f:
             f.write_table(pa.table(index, schema=INDEX), max_chunksize=1 << 16)
-        store.move(own, f"{root}/{part:06d}.index.arrow")
+        put(store, own, f"{root}/{part:06d}.index.arrow")
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "documents": [len(index[0])], "tokens": [writer.total]})
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

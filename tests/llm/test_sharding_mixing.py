@@ -74,7 +74,7 @@ def test_two_margins(spark):
     cells = spark.createDataFrame([("a", "x", 100.0), ("a", "y", 300.0), ("b", "x", 200.0), ("b", "y", 400.0)], "s string, l string, tokens double")
     by_s = spark.createDataFrame([("a", 500.0), ("b", 500.0)], "s string, target double")
     by_l = spark.createDataFrame([("x", 400.0), ("y", 600.0)], "l string, target double")
-    out = entropy_balance(cells, [("s", by_s), ("l", by_l)]).collect()
+    out = entropy_balance(cells, [("s", by_s), ("l", by_l)], tolerance=1e-8).collect()
     total = defaultdict(float)
     for r in out:
         total[r.s] += r.tokens * r.rate
@@ -92,3 +92,61 @@ def test_mixed_documents_keep_columns(docs):
 def test_targets_of_tied_and_empty_sources(spark):
     out = {r.source: r.target for r in capped_targets(spark.createDataFrame([("a", 10), ("b", 0), (None, 10)], "source string, tokens long")).collect()}
     assert out == {"a": 20.0, "b": 0.0, None: 10.0}
+
+
+def test_joint_newton_is_what_a_direct_solver_finds(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    tokens = draw.integers(50, 900, (4, 3)).astype(float)
+    rows, cols = tokens.sum(1) * draw.uniform(0.6, 1.6, 4), tokens.sum(0) * draw.uniform(0.6, 1.6, 3)
+    cols *= rows.sum() / cols.sum()
+    a = np.array([[float(i == k) for k in range(4)] + [float(j == k) for k in range(3)] for i in range(4) for j in range(3)])
+    x = np.zeros(7)
+    for _ in range(60):
+        tilt = tokens.ravel() * np.exp(a @ x)
+        step = np.linalg.lstsq(a.T @ (a * tilt[:, None]), np.append(rows, cols) - a.T @ tilt, rcond=None)[0]
+        x += step / max(1, np.abs(step).max())
+    cells = spark.createDataFrame([(f"s{i}", f"l{j}", float(tokens[i, j])) for i in range(4) for j in range(3)], "s string, l string, tokens double")
+    by_s = spark.createDataFrame([(f"s{i}", float(v)) for i, v in enumerate(rows)], "s string, target double")
+    by_l = spark.createDataFrame([(f"l{j}", float(v)) for j, v in enumerate(cols)], "l string, target double")
+    rate = {(r.s, r.l): r.rate for r in entropy_balance(cells, [("s", by_s), ("l", by_l)], tolerance=1e-8).collect()}
+    direct = np.exp(a @ x).reshape(4, 3)
+    assert all(abs(rate[f"s{i}", f"l{j}"] - direct[i, j]) < 1e-7 for i in range(4) for j in range(3))
+
+
+def brute_kd_tree(rows, leaves):
+    """``rows``: (dimensions, digest, row, bytes). Leaf of each row: plain recursion at weighted medians."""
+    whole = [max(1, max(r[0][d] for r in rows) - min(r[0][d] for r in rows)) for d in range(len(rows[0][0]))]
+    out = {}
+
+    def split(part, n, first):
+        if n == 1 or not part:
+            out.update((r[2], first) for r in part)
+            return
+        spans = [(max(r[0][d] for r in part) - min(r[0][d] for r in part)) / whole[d] for d in range(len(whole))]
+        dim = spans.index(max(spans))
+        part = sorted(part, key=lambda r: (r[0][dim], r[1], r[2]))
+        want, at = sum(r[3] for r in part) * (n // 2) / n, 0
+        while at < len(part) - 1 and want > part[at][3]:
+            want -= part[at][3]
+            at += 1
+        cut = at + (want >= part[at][3] / 2)  # the row at the median goes where more of it lies
+        split(part[:cut], n // 2, first)
+        split(part[cut:], n - n // 2, first + n // 2)
+
+    split(rows, leaves, 0)
+    return out
+
+
+def test_shards_are_those_of_a_plain_tree(spark):
+    import hashlib
+
+    r = __import__("random").Random(4)
+    texts = ["copied text " * 9] * 40 + ["w" * r.randint(0, 900) for _ in range(160)]
+    data = [(k, t, r.choice(["en", "de", None]), f"source_{r.choice('abcde')}", len(t)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    found = {x.doc_id: x.shard for x in shard_documents(docs, shards=7).collect()}
+    rank = lambda v, c: sorted({x[c] for x in data} - {None}).index(v) if v is not None else -1
+    rows = [((n, rank(s, 3), rank(lang, 2)), hashlib.md5(t.encode()).hexdigest()[:15], k, len(t) + 1) for k, t, lang, s, n in data]
+    assert found == brute_kd_tree(rows, 7)
