@@ -67,19 +67,22 @@ def apply_pattern(column: Column | str, pattern: str) -> Column:
 
 
 def extract_with_regex(value: str, pattern: str) -> list[str]:
-    """What stands between matches, group 1 of each, and last the whole value.
+    """Group 1 of every match and what stands between the groups, stripped, and last the whole value.
 
-    The text between starts one character after the match before it, as in the conversions this must agree with.
+    A piece starts one character after the group before it, as in the conversions this must agree with. A value without
+    a match, or that is one piece in all, comes alone. Matches in which the group has no part are passed over.
     """
-    out, at = [], 0
-    for m in re.finditer(pattern, value):
-        if m.start() > at:
-            out.append(value[at : m.start()])
-        out.append(m.group(1))
-        at = m.end() + 1
-    if at and at < len(value):
-        out.append(value[at:])
-    return [*out, value]
+    groups = [m.span(1) for m in re.finditer(pattern, value) if m.start(1) >= 0]
+    if not groups:
+        return [value]
+    starts = [0, *(stop + 1 for _, stop in groups)]
+    pieces = []
+    for at, (start, stop) in zip(starts, [*groups, (len(value), None)], strict=True):
+        if at < start:
+            pieces.append(value[at:start].strip())
+        if stop is not None:
+            pieces.append(value[start:stop])
+    return pieces if len(pieces) == 1 else [*pieces, value]
 
 
 def extract_with_regex_udf(pattern: str):

@@ -23,15 +23,13 @@ def with_item(tokens: DataFrame, tag: str = "tag", within: list[str] | None = No
 
 def joined_text(text: Column, line: Column, order: list[str], w=None) -> Column:
     """Aggregate: tokens in order, a space between them within a line and a line feed where the line changes."""
-    parts = F.array_sort(F.collect_list(F.struct(*[F.col(o) for o in order], line.alias("_line"), text.alias("_text"))))
-    start = F.struct(F.lit("").alias("out"), F.lit(None).cast("string").alias("last"))
+    parts = F.array_sort(F.collect_list(F.struct(*[F.col(o) for o in order], line.cast("string").alias("_line"), F.coalesce(text, F.lit("")).alias("_text"))))
+    lines = F.concat(F.array(F.lit(None).cast("string")), F.transform(parts, lambda p: p["_line"]))  # of the token before
 
-    def step(acc: Column, p: Column) -> Column:
-        here = p["_line"].cast("string")
-        gap = F.when(acc["last"].isNull(), "").when(acc["last"] == here, " ").otherwise("\n")
-        return F.struct(F.concat(acc["out"], gap, p["_text"]).alias("out"), here.alias("last"))
+    def led(p: Column, before: Column) -> Column:
+        return F.concat(F.when(before.isNull(), "").when(before == p["_line"], " ").otherwise("\n"), p["_text"])
 
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+    return F.array_join(F.zip_with(parts, lines, led), "")  # the place past the last token is null, which a join passes over
 
 
 def items(tokens: DataFrame, tag: str = "tag") -> DataFrame:

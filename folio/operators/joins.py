@@ -55,6 +55,19 @@ def rows_in_order(df: DataFrame, by: list[str], name: str = "row") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*by)) - 1)
 
 
+def numbered_in_ranges(df: DataFrame, ranges: list[Column], by: list[str | Column], name: str = "n") -> DataFrame:
+    """Rows numbered from 1 in the order of ``ranges`` and then ``by``, for tables of any size.
+
+    Each range is numbered on its own and moved on by the rows of the ranges before; one row a range meets in one task.
+    """
+    keys = [f"_r{k}" for k in range(len(ranges))]
+    cut = df.withColumns(dict(zip(keys, ranges, strict=True)))
+    counts = cut.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    before = counts.withColumn("_before", F.sum("_rows").over(Window.orderBy(*keys)) - F.col("_rows")).drop("_rows")
+    own = cut.withColumn("_own", F.row_number().over(Window.partitionBy(*keys).orderBy(*by)))
+    return own.join(before, keys).withColumn(name, F.col("_before") + F.col("_own")).drop("_own", "_before", *keys)
+
+
 def zip_lists(a: DataFrame, b: DataFrame, by_a: list[str], by_b: list[str], same_length: bool = True) -> DataFrame:
     """Rows of two lists side by side; lists of different lengths raise, or are cut to the shorter."""
     met = rows_in_order(a, by_a).join(rows_in_order(b, by_b), "row", "full" if same_length else "inner")

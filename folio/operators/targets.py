@@ -115,11 +115,12 @@ def children_values(parent: ET.Element, paths: list[str], concat: list, ranges:
 
 
 def _regex(value: str, pattern: str | None, extract: str | None) -> list[str]:
-    if extract:
-        return [v for v in extract_with_regex(value, extract) if v]
+    """A value as its patterns leave it: group 1 of a match at the start first, then the pieces of an extraction."""
     if pattern and (m := re.match(pattern, value)):
-        return [m.group(1)]
-    return [value]
+        value = m.group(1) or ""
+    if not value:
+        return []
+    return extract_with_regex(value, extract) if extract else [value]
 
 
 def _sub(node: ET.Element, fields: dict[str, str], key: str) -> list[dict]:
@@ -130,7 +131,7 @@ def _sub(node: ET.Element, fields: dict[str, str], key: str) -> list[dict]:
             extract = fields.get(f"{name}.extract-regex")
             for n in select(node, path):
                 values = _regex(content(n), None, extract)
-                if values and values[0]:
+                if values:
                     out.append({"name": name[len(prefix) :], "value": values})
     return out
 
@@ -155,7 +156,7 @@ def targets_of(root: ET.Element, mapping: dict[str, dict[str, str]]) -> list[dic
                     texts, alone = children_values(node, children, concat, ranges, on("unmatched-parent-text"))
                 else:
                     texts, alone = [content(node)], []
-                values = [v for t in texts for v in _regex(t, get("regex"), get("extract-regex")) if v]
+                values = [v for t in texts for v in _regex(t, get("regex"), get("extract-regex"))]
                 at = (-priority, place[id(node)])
                 base = {"name": key, **flags, "sub": _sub(node, fields, key)}
                 if values:

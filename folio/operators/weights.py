@@ -13,10 +13,9 @@ def frequencies(pixels: DataFrame, colours: DataFrame, image: str = "image_id",
     """
     counted = pixels.groupBy(image, "r", "g", "b").agg(F.count("*").alias("n"))
     named = counted.join(colours, ["r", "g", "b"], "left").groupBy(image, F.coalesce("label", F.lit(unknown)).alias("label")).agg(F.sum("n").alias("n"))
-    labels = colours.select("label")
-    if unknown is not None:
-        labels = labels.union(labels.sparkSession.createDataFrame([(unknown,)], "label string"))
-    grid = counted.select(image).distinct().crossJoin(labels.distinct())  # images by labels: what is asked for
+    names = [r[0] for r in colours.select("label").distinct().orderBy("label").collect()]  # a row per class
+    every = F.array(*[F.lit(n) for n in dict.fromkeys([*names, *([unknown] if unknown is not None else [])])])
+    grid = counted.select(image).distinct().select(image, F.explode(every).alias("label"))
     return grid.join(named, [image, "label"], "left").select(image, "label", F.coalesce("n", F.lit(0)).cast("double").alias("frequency"))
 
 
@@ -25,9 +24,17 @@ def summed(freq: DataFrame) -> DataFrame:
 
 
 def median_weights(freq: DataFrame) -> DataFrame:
-    """label, weight: the median of an image's non-zero frequencies by their sum, brought to the sum 1; 0 if there are none."""
-    some = F.when(F.col("frequency") != 0, F.col("frequency"))
-    own = freq.groupBy("label").agg(F.coalesce(F.try_divide(F.median(some), F.sum(some)), F.lit(0.0)).alias("w"))
+    """label, weight: the median of an image's non-zero frequencies by their sum, brought to the sum 1; 0 if there are none.
+
+    Equal frequencies are counted first, so that a label's many images meet as one row for each value they have.
+    """
+    counted = freq.where("frequency <> 0").groupBy("label", "frequency").agg(F.count("*").alias("n"))
+    ordered = Window.partitionBy("label").orderBy("frequency")
+    placed = counted.withColumns({"upto": F.sum("n").over(ordered), "of": F.sum("n").over(Window.partitionBy("label")), "mass": F.sum(F.col("n") * F.col("frequency")).over(Window.partitionBy("label"))})
+    holds = lambda place: (F.col("upto") - F.col("n") < place) & (place <= F.col("upto"))
+    low, high = F.floor((F.col("of") + 1) / 2), F.floor(F.col("of") / 2) + 1
+    middle = placed.groupBy("label").agg(((F.max(F.when(holds(low), F.col("frequency"))) + F.max(F.when(holds(high), F.col("frequency")))) / 2).alias("median"), F.max("mass").alias("mass"))
+    own = freq.select("label").distinct().join(middle, "label", "left").select("label", F.coalesce(F.try_divide(F.col("median"), F.col("mass")), F.lit(0.0)).alias("w"))
     total = F.sum("w").over(Window.partitionBy(F.lit(1)))  # a row per label
     return own.select("label", F.coalesce(F.try_divide(F.col("w"), total), F.lit(0.0)).alias("weight"))
 

@@ -29,7 +29,7 @@ v AS (SELECT doc_id, 0 AS k, 'title' AS name, {_PLAIN % "array_to_string(regexp_
 UNION ALL SELECT doc_id, 1, 'abstract', {_PLAIN % "string_split(t, chr(10))[1]"}, false FROM t UNION ALL SELECT doc_id, 2, 'author', source, true FROM t)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INT) AS target_ord, name, value, match_multiple, CAST(NULL AS VARCHAR) AS error FROM v WHERE value <> ''""")
 def xml_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets by the mapping."""
+    """Targets by the mapping."""
     return targets.targets(article_xml(spark, sf_dir), MAPPING).select("doc_id", "target_ord", "name", F.array_join("value", " | ").alias("value"), "match_multiple", "error")
 
 
@@ -41,7 +41,7 @@ p AS (SELECT doc_id, generate_subscripts(string_split(t, chr(10)), 1) AS k, unne
 v AS (SELECT doc_id, 0 AS k, 'body' AS name, {_WHOLE % "t"} AS value, false AS match_multiple FROM t UNION ALL SELECT doc_id, k, 'paragraph', {_WHOLE % "p"}, true FROM p)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INT) AS target_ord, name, value, match_multiple, CAST(NULL AS VARCHAR) AS error FROM v WHERE value <> ''""")
 def xml_whole_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts as nested bodies with a paragraph a line; the body and each paragraph are targets."""
+    """Whole texts as nested bodies with a paragraph a line; the body and each paragraph are targets."""
     text = F.regexp_replace("text", "[&<>\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", " ")
     paragraphs = F.array_join(F.transform(F.split(text, "\n"), lambda p: F.concat(F.lit("<p>"), p, F.lit("</p>"))), "\n")
     xml = F.concat(F.lit("<article><body><sec>"), paragraphs, F.lit("</sec></body></article>"))

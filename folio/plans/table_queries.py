@@ -347,8 +347,8 @@ def transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stable_priorities", "SELECT p_partkey, row_number() OVER (ORDER BY -(p_size % 5), p_partkey) AS n FROM part")
 def stable_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By priority, the highest first, then by place."""
-    w = Window.partitionBy(F.lit(1)).orderBy(-(F.col("p_size") % 5), "p_partkey")
-    return table(spark, sf_dir, "part").select("p_partkey", F.row_number().over(w).cast("long").alias("n"))
+    found = joins.numbered_in_ranges(table(spark, sf_dir, "part").select("p_partkey", "p_size"), [-(F.col("p_size") % 5), F.floor(F.col("p_partkey") / 4096)], ["p_partkey"])
+    return found.select("p_partkey", "n")
 
 
 @query("sorted_matches", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey LIMIT 200")

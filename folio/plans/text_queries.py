@@ -186,3 +186,12 @@ def xml_text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def xml_text_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text content with white space in its plain form."""
     return table(spark, sf_dir, "pages").select("page_id", X.strip_whitespace(F.regexp_replace("html", "<[^>]*>", "")).alias("text"))
+
+
+@query("extract_regex", r"""
+WITH p AS (SELECT doc_id, text, string_split_regex(text, '[0-9]+(?s:.)?') AS between, regexp_extract_all(text, '[0-9]+') AS hits FROM documents),
+v AS (SELECT doc_id, text, len(hits) AS n, flatten(list_transform(range(1, len(between) + 1), lambda i: list_concat(CASE WHEN between[i] <> '' THEN [trim(between[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))] ELSE [] END, CASE WHEN i <= len(hits) THEN [hits[i]] ELSE [] END))) AS l FROM p)
+SELECT doc_id, CASE WHEN n = 0 THEN text WHEN len(l) = 1 THEN l[1] ELSE array_to_string(list_append(l, text), '|') END AS pieces FROM v""")
+def extract_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of whole texts, what stands between them, and the text."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.extract_with_regex_udf("([0-9]+)")(F.col("text")), "|").alias("pieces"))

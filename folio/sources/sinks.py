@@ -67,6 +67,8 @@ def write_files(df: DataFrame, root: str, name: Column, content: Column) -> Data
                 own = f"{path}.{uuid.uuid4().hex}"
                 with store.open_output_stream(own, compression="gzip" if n.endswith(".gz") else None) as f:
                     f.write(data)
+                if store.get_file_info(path).type != fs.FileType.NotFound:  # some stores don't replace
+                    store.delete_file(path)
                 store.move(own, path)
                 paths.append(path)
                 sizes.append(len(data))

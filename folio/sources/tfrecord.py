@@ -11,6 +11,7 @@ import os
 import struct
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -162,6 +163,12 @@ class _Reader(DataSourceReader):
             yield tuple(row)
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    root: str
+    name: str
+
+
 class _Writer(DataSourceWriter):
     def __init__(self, schema: StructType, options: dict) -> None:
         self.names, self.path = schema.names, options["path"]
@@ -169,10 +176,24 @@ class _Writer(DataSourceWriter):
     def write(self, rows: Iterator) -> WriterCommitMessage:
         store, root = fs.FileSystem.from_uri(self.path if ":" in self.path else os.path.abspath(self.path))
         store.create_dir(root, recursive=True)
-        with store.open_output_stream(f"{root}/part-{uuid.uuid4().hex}.tfrecord.gz", compression="gzip") as f:
+        name = f"part-{uuid.uuid4().hex}.tfrecord.gz"
+        with store.open_output_stream(f"{root}/.{name}", compression="gzip") as f:
             for r in rows:
                 f.write(frame(encode_example(dict(zip(self.names, r, strict=True)))))
-        return WriterCommitMessage()
+        return _Written(root, name)
+
+    def commit(self, messages: list) -> None:
+        """Files of tasks that count get their names; those of attempts that were lost stay hidden and are never read."""
+        store, _ = fs.FileSystem.from_uri(self.path if ":" in self.path else "/")
+        for m in messages:
+            if m is not None:
+                store.move(f"{m.root}/.{m.name}", f"{m.root}/{m.name}")
+
+    def abort(self, messages: list) -> None:
+        store, _ = fs.FileSystem.from_uri(self.path if ":" in self.path else "/")
+        for m in messages:
+            if m is not None:
+                store.delete_file(f"{m.root}/.{m.name}")
 
 
 class TfRecordSource(DataSource):

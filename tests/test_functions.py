@@ -43,13 +43,21 @@ def test_authors(one, given, want):
 def test_patterns_and_paths(one):
     assert one(X.apply_pattern(F.lit("1.1. Title"), r"(?:\d+\.?)* ?(.*)")) == "Title"
     assert one(X.apply_pattern(F.lit("abc"), r"(\d+)")) == "abc"
-    assert X.extract_with_regex("one 12 two", r"(\d+)") == ["one ", "12", "two", "one 12 two"]
+    assert X.extract_with_regex("one 12 two", r"(\d+)") == ["one", "12", "two", "one 12 two"]
     assert tuple(one(X.path_head(F.lit("a/b/c")).alias("h"), X.path_tail(F.lit("a/b/c")).alias("t"))) == ("a/b", "c")
     assert X.parse_page_range("2-4") == (2, 4) and X.parse_page_range("3") == (3, 3) and X.parse_page_range(" ") is None
     with pytest.raises(ValueError):
         X.parse_page_range("1-2-3")
 
 
+@pytest.mark.parametrize(("given", "pattern", "want"), [
+    ("abc", r"(\w+)", ["abc"]), ("a, b", r"(\w)", ["a", "", "b", "a, b"]), ("page 7", r".*\b(\d+)\b.*", ["page", "7", "page 7"]), ("7", r".*\b(\d+)\b.*", ["7"]),
+    ("no digit", r"(\d)", ["no digit"]), ("see [4] and [5]", r"\[(\d)\]", ["see [", "4", "and [", "5", "see [4] and [5]"]), ("ab", r"(x)?b", ["ab"]),
+])
+def test_extraction_by_groups(given, pattern, want):
+    assert X.extract_with_regex(given, pattern) == want
+
+
 def test_word_features(one):
     f = X.token_features(F.lit("HEad"))
     assert one(f["word.lower"]) == "head" and one(f["word[-3:]"]) == "Ead" and one(f["word[:1].isupper"]) and not one(f["word.isupper"])

@@ -219,3 +219,26 @@ def test_written_files(spark, tmp_path):
     assert sorted(r.bytes for r in sinks.write_files(df, f"file://{tmp_path}/out", F.col("n"), F.col("c")).collect()) == [4, 4]
     assert (tmp_path / "out/x/a.xml").read_text() == "<a/>" and gzip.decompress((tmp_path / "out/b.xml.gz").read_bytes()) == b"<b/>"
     assert len(list((tmp_path / "out").rglob("*.*"))) == 2
+
+
+def test_service_answers_replace_authors_and_affiliations():
+    xml = "<article><front><article-meta><contrib-group><contrib>A B, C D</contrib><aff>Dept, Uni</aff></contrib-group></article-meta></front></article>"
+    asked = []
+    names = lambda t: asked.append(t) or '<persName xmlns="http://www.tei-c.org/ns/1.0"><forename>Ann</forename><forename>M</forename><surname>Bee</surname></persName><persName xmlns="http://www.tei-c.org/ns/1.0"><surname>Dee</surname></persName>'
+    places = lambda t: '<affiliation><orgName type="department">Maths</orgName><orgName type="institution">Uni</orgName></affiliation>'
+    out = external.enhanced(xml, names, places).decode()
+    assert asked == ["A B, C D"]
+    assert "<contrib><surname>Bee</surname><given-names>Ann M</given-names></contrib><contrib><surname>Dee</surname></contrib>" in out
+    assert '<aff><addr-line><named-content content-type="department">Maths</named-content></addr-line><institution>Uni</institution></aff>' in out
+    assert external.enhanced("<article/>", names, places) == b"<article />"
+
+
+def test_pages_of_a_program(spark, tmp_path):
+    fake = tmp_path / "pages"
+    fake.write_text('#!/bin/sh\ncat > /dev/null\nfor last; do :; done\nfor n in 1 2 10; do printf "page $n $3" > "$last-$n.png"; done\n')
+    fake.chmod(0o755)
+    files_ = spark.createDataFrame([("a.pdf", bytearray(b"%PDF"))], "path string, content binary")
+    got = external.page_images(files_, external.pdf_pages(pages=(2, 4), program=str(fake)), first=2).collect()
+    assert [(r.page_no, bytes(r.png)) for r in got] == [(2, b"page 1 2"), (3, b"page 2 2"), (4, b"page 10 2")]
+    gone = external.page_images(files_, external.pdf_pages(program="/no/such/program")).first()
+    assert gone.png is None and "not installed" in gone.error
