@@ -4,8 +4,9 @@ Texts with equal word sequences are one class from the start. Classes are banded
 each class is paired with the bucket's least member, and of a class's pairs the one that most buckets share is looked
 at first: signatures are compared batch by batch, a pair is dropped once the posterior probability that it is similar
 enough falls below the miss probability, and survivors are compared exactly, on their full shingle sets. Links make
-components. Buckets that still hold several components are then settled completely: all pairs across components in
-them go through the same comparison, in blocks, where pairs that a link already joins are skipped.
+components. Buckets that still hold several components are then settled completely, in blocks: all pairs across their
+components go through the same comparison, each in the first band that the two share. Signatures meet first; texts
+come only to members with a pair that outlasts all batches, and pairs that a link already joins are skipped.
 So no link between different texts is lost but with the miss probability, and no bucket's pairs are ever listed.
 """
 
@@ -26,8 +27,9 @@ from folio.llm.components import components
 #: 32 bands of 4: a pair at similarity 0.8 shares no bucket with probability (1 - 0.8 ** 4) ** 32 = 5e-8.
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
-#: Signature values compared at a time, and the probability at which a similar pair may be dropped.
+#: Signature values compared at a time, and the probability at which a similar pair may be dropped over all looks.
 BATCH, MISS = 32, 1e-6
+LOOKS = HASHES // BATCH
 #: Members of a block of a bucket; two blocks meet in one task.
 BLOCK = 512
 #: Shingles of sets that a task keeps while it compares (some 40 MB).
@@ -42,7 +44,7 @@ _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
 
 
 @lru_cache(maxsize=64)
-def least_matches(compared: int, similarity: float, miss: float = MISS) -> int:
+def least_matches(compared: int, similarity: float, miss: float = MISS / LOOKS) -> int:
     """The least matches of ``compared`` at which a pair stays: below it, P(similarity >= s | matches) < miss.
 
     With a uniform prior the posterior is Beta(m + 1, n - m + 1), whose tail at s is a binomial sum.
@@ -136,13 +138,14 @@ def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(b), 1))
             for k in range(ROWS):
                 key = mixed(key * np.uint64(0xD1342543DE82EF95) + sig[:, :, k])
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(b.column("rep").to_numpy(), BANDS))], names=["bucket", "rep"])
+        bands = pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(b)))
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(b.column("rep").to_numpy(), BANDS)), bands], names=["bucket", "rep", "band"])
 
 
 class Members:
     """Texts of one comparison, with signatures; shingle sets are made when first needed."""
 
-    def __init__(self, ids: list[int], texts: list[str], sigs: list[bytes], size: int, similarity: float) -> None:
+    def __init__(self, ids: list[int], texts: list[str] | None, sigs: list[bytes], size: int, similarity: float) -> None:
         self.ids, self.texts, self.size, self.similarity = ids, texts, size, similarity
         self.sig = np.frombuffer(b"".join(sigs), np.uint32).reshape(len(ids), HASHES)
         self.sets: dict[int, frozenset] = {}
@@ -197,11 +200,44 @@ def _stars(size: int, similarity: float):
     return run
 
 
-def _blocks(size: int, similarity: float):
-    """Rows (bucket, i, j, rep, component, big, block, text, sig): links across components that join what was not joined.
+def _pairs(m: Members, table: pa.Table, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs across components that outlast all batches and share no band before this one, with their matches.
 
     i is a block of the bucket's largest component and j one of the others' members; or i is -1 - a block of the others.
     """
+    block, part, big = (table.column(c).to_numpy() for c in ("block", "component", "big"))
+    if i >= 0:
+        left, right = (x.ravel() for x in np.meshgrid(np.flatnonzero(big), np.flatnonzero(~big), indexing="ij"))
+    else:
+        left, right = np.triu_indices(len(m.ids), 1)
+        across = part[left] != part[right]
+        if -1 - i != j:
+            across &= block[left] != block[right]
+        left, right = left[across], right[across]
+    stay, matches = m.survivors(left, right)
+    left, right = left[stay], right[stay]
+    band = table.column("band")[0].as_py() if len(table) else 0
+    before = np.zeros(len(left), bool)
+    for k in range(0, len(left), 1 << 14):
+        at = slice(k, k + (1 << 14))
+        same = m.sig[left[at], : band * ROWS] == m.sig[right[at], : band * ROWS]
+        before[at] = same.reshape(-1, band, ROWS).all(2).any(1) if band else False
+    return left[~before], right[~before], matches[~before]
+
+
+def _with_partner(similarity: float):
+    """Of rows (bucket, i, j, rep, component, big, block, band, sig) those that have a pair to verify."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        m = Members(table.column("rep").to_pylist(), None, table.column("sig").to_pylist(), 0, similarity)
+        left, right, _ = _pairs(m, table, key[1].as_py(), key[2].as_py())
+        return table.drop_columns(["sig"]).take(pa.array(np.union1d(left, right), pa.int64()))
+
+    return run
+
+
+def _blocks(size: int, similarity: float):
+    """The same rows with text and sig: links across components that join what was not joined."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         if table.nbytes > LARGE:
@@ -209,17 +245,8 @@ def _blocks(size: int, similarity: float):
         table = table.sort_by("rep")
         ids = table.column("rep").to_pylist()
         m = Members(ids, table.column("text").to_pylist(), table.column("sig").to_pylist(), size, similarity)
-        block, part, big = (table.column(c).to_numpy() for c in ("block", "component", "big"))
-        i, j = key[1].as_py(), key[2].as_py()
-        if i >= 0:
-            left, right = (x.ravel() for x in np.meshgrid(np.flatnonzero(big), np.flatnonzero(~big), indexing="ij"))
-        else:
-            left, right = np.triu_indices(len(ids), 1)
-            across = part[left] != part[right]
-            if -1 - i != j:
-                across &= block[left] != block[right]
-            left, right = left[across], right[across]
-        stay, matches = m.survivors(left, right)
+        part = table.column("component").to_numpy()
+        left, right, matches = _pairs(m, table, key[1].as_py(), key[2].as_py())
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -228,7 +255,7 @@ def _blocks(size: int, similarity: float):
             return x
 
         links = []
-        for k in stay[np.argsort(-matches, kind="stable")]:
+        for k in np.argsort(-matches, kind="stable"):
             a, b = int(left[k]), int(right[k])
             x, y = find(int(part[a])), find(int(part[b]))
             if x != y and m.linked(a, b):
@@ -271,10 +298,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_
     reps = spark.read.schema("rep long, sig binary").parquet(sig_path)
 
     # Buckets with more than one class; each with its least member.
-    keyed = reps.mapInArrow(_band_keys, "bucket long, rep long")
-    shared = keyed.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("_b"), "pivot", "n")
-    bucket_path = write_table(keyed.join(shared, F.col("bucket") == F.col("_b")).select("bucket", "rep", "pivot", "n"), "buckets")
-    buckets = spark.read.schema("bucket long, rep long, pivot long, n long").parquet(bucket_path)
+    keyed = reps.mapInArrow(_band_keys, "bucket long, rep long, band int")
+    shared = keyed.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("_b"), "pivot")
+    bucket_path = write_table(keyed.join(shared, F.col("bucket") == F.col("_b")).select("bucket", "rep", "band", "pivot"), "buckets")
+    buckets = spark.read.schema("bucket long, rep long, band int, pivot long").parquet(bucket_path)
 
     # First: each class with the pivot that it shares most buckets with.
     pairs = buckets.where("rep <> pivot").groupBy("rep", "pivot").agg(F.count("*").alias("times"))
@@ -294,11 +321,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_
     first = spark.read.schema("node long, component long").parquet(first_path)
 
     # Then: buckets that still hold several components, each set of members once.
-    placed = buckets.join(first, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s0"), F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(38,0)")).alias("s1")).where("lo <> hi")
-    once = open_.groupBy("n", "s0", "s1").agg(F.min("bucket").alias("_b")).select("_b")
+    placed = buckets.join(first, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "band", F.coalesce("component", "rep").alias("component"))
+    open_ = placed.groupBy("bucket").agg(F.min("band").alias("band"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s0"), F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(38,0)")).alias("s1")).where("lo <> hi")
+    once = open_.groupBy("n", "s0", "s1").agg(F.min_by("bucket", "band").alias("_b")).select("_b")
     inside_path = write_table(placed.join(once, F.col("bucket") == F.col("_b"), "left_semi"), "inside")
-    inside = spark.read.schema("bucket long, rep long, component long").parquet(inside_path)
+    inside = spark.read.schema("bucket long, rep long, band int, component long").parquet(inside_path)
     # Members of a bucket's largest component are not compared with each other: each goes to one block of it, and only
     # the others' members go to all of its blocks.
     largest = inside.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy(F.col("bucket").alias("_b")).agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.max("n").alias("n"), F.sum("n").alias("of"))
@@ -311,9 +338,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_
     of_big = F.transform(upto(F.col("smalls")), lambda j: pair(F.col("block"), j))
     of_small = F.concat(F.transform(upto(F.col("bigs")), lambda i: pair(i, F.col("block"))), F.transform(upto(F.col("smalls")), lambda j: pair(-1 - F.least(F.col("block"), j), F.greatest(F.col("block"), j))))
     inside = inside.withColumn("ij", F.explode(F.when(F.col("big"), of_big).otherwise(of_small)))
-    inside = inside.select("bucket", "rep", "component", "big", "block", F.col("ij.i").alias("i"), F.col("ij.j").alias("j"))
-    open_path = write_table(inside, "open")
-    inside = spark.read.schema("bucket long, rep long, component long, big boolean, block int, i int, j int").parquet(open_path)
+    inside = inside.select("bucket", "rep", "component", "big", "block", "band", F.col("ij.i").alias("i"), F.col("ij.j").alias("j"))
+    kind = "bucket long, rep long, component long, big boolean, block int, band int, i int, j int"
+    signed_in = inside.join(reps.withColumnRenamed("rep", "_rep"), F.col("rep") == F.col("_rep")).drop("_rep")
+    open_path = write_table(signed_in.groupBy("bucket", "i", "j").applyInArrow(_with_partner(similarity), kind), "open")
+    inside = spark.read.schema(kind).parquet(open_path)
     more = _with_text(texts, reps, inside, inside.count(), "rep").groupBy("bucket", "i", "j").applyInArrow(_blocks(size, similarity), "a long, b long")
     more_path = write_table(more, "links")
     more = spark.read.schema("a long, b long").parquet(more_path)

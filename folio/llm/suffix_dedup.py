@@ -28,6 +28,8 @@ from folio.llm.common import Hashes, drop_table, new_path, release, text_chunks,
 LENGTH, GRAM = 200, 40
 #: Suffixes of one gram in a task; the pairs of a larger group's blocks meet in tasks of their own.
 BLOCK = 100_000
+#: Suffixes that go to one destination, besides those of larger groups; the number of destinations follows from their count.
+IN_DEST = 100_000
 
 
 def anchors(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -377,8 +379,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text_col: s
     # Counts are aggregated before they are shuffled, and anchors are joined with them, so that a gram with a large share of
     # all anchors is split; a window over grams would put it into one task.
     grams_path = write_table(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "grams")
-    again = found.join(spark.read.schema("gram long, n long").parquet(grams_path), "gram")
-    spot = F.struct("pos", "gram", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("parts"), F.lit(n).alias("buckets"))
+    grams = spark.read.schema("gram long, n long").parquet(grams_path)
+    dests = max(n, -(-(grams.agg(F.sum("n")).first()[0] or 0) // IN_DEST))
+    again = found.join(grams, "gram")
+    spot = F.struct("pos", "gram", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("parts"), F.lit(dests).cast("long").alias("buckets"))
     spots = again.groupBy("k0", "k1").agg(F.collect_list(spot).alias("spots"))
     runs = texts.select("k0", "k1", "text").join(spots.hint("merge"), ["k0", "k1"]).select("k0", "k1", "text", "spots").mapInArrow(_make_runs(length, gram), RUN_SQL)
     spans_path = write_table(runs.groupBy("dest").applyInArrow(_merge(length, gram), SPAN_SQL), "spans")
@@ -400,18 +404,24 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str
     one of them. An empty table gives an empty one.
     """
     result, keys = repeats(docs, length, gram, text_col)
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text, zero = F.coalesce(F.col(text_col), F.lit("")), F.lit(0).cast("long")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha"))
-    rows = rows.withColumns({"_k0": F.conv(F.substring("sha", 1, 15), 16, 10).cast("long"), "_k1": F.conv(F.substring("sha", 16, 7), 16, 10).cast("int")})
-    met = rows.join(result, (F.col("_k0") == F.col("k0")) & (F.col("_k1") == F.col("k1")) & (F.col("n_bytes") >= length), "left")
-    zero = F.lit(0).cast("long")
-    return met.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    # Short texts have nothing to look up, and all empty ones would share a key.
+    short = rows.where(F.col("n_bytes") < length).select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"))
+    keyed = rows.where(F.col("n_bytes") >= length).withColumns({"_k0": F.conv(F.substring("sha", 1, 15), 16, 10).cast("long"), "_k1": F.conv(F.substring("sha", 16, 7), 16, 10).cast("int")})
+    met = keyed.join(result, (F.col("_k0") == F.col("k0")) & (F.col("_k1") == F.col("k1")), "left")
+    return met.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")).union(short)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated passages cut out of the text; a character that a cut leaves in part goes as a whole."""
+    """``docs`` with repeated passages cut out of the text; a character that a cut leaves in part goes as a whole.
+
+    Rows stay, with an empty text where all of it repeats; null and short texts stay as they are.
+    """
     result, keys = repeats(docs, length, gram, text_col, with_text=True)
     changed = result.where("n_removed > 0").select(F.col("k0").alias("_k0"), F.col("k1").alias("_k1"), F.col("rest").alias("_rest"))
-    keyed = docs.select("*", keys[0].alias("_a"), keys[1].alias("_b"))
-    met = keyed.join(changed, (F.col("_a") == F.col("_k0")) & (F.col("_b") == F.col("_k1")) & (F.octet_length(text_col) >= length), "left")
-    return met.withColumn(text_col, F.when(F.col("_k0").isNotNull(), F.col("_rest")).otherwise(F.col(text_col))).select(*docs.columns)
+    enough = F.coalesce(F.octet_length(text_col) >= length, F.lit(False))
+    keyed = docs.where(enough).select("*", keys[0].alias("_a"), keys[1].alias("_b"))
+    met = keyed.join(changed, (F.col("_a") == F.col("_k0")) & (F.col("_b") == F.col("_k1")), "left")
+    cut = met.withColumn(text_col, F.when(F.col("_k0").isNotNull(), F.col("_rest")).otherwise(F.col(text_col))).select(*docs.columns)
+    return cut.unionByName(docs.where(~enough))
