@@ -99,7 +99,37 @@ def test_toxicity_on_rows_it_has_not_seen(corpus, docs, empty):
 def test_windows_hold_the_whole_text():
     for n in (1, 7, 24, 64):
         for t in (b"", b"a", b"some words and more of them " * 5, b"x" * 200):
-            assert b"".join(toxicity.windows(t, n)) == t and all(len(w) <= n for w in toxicity.windows(t, n))
+            ends = toxicity.cuts(t, n)
+            assert (ends[-1] if t else 0) == len(t) and all(0 < j - i <= n for i, j in zip([0, *ends], ends, strict=False))
+
+
+def test_distances_are_those_of_single_windows():
+    import zstandard
+
+    ordinary, toxic = b"the words of ordinary texts and others " * 20, b" idiot moron scum worthless " * 4
+    how = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+    plain = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how) for d in (ordinary, ordinary + toxic)]
+    texts = ["The words of an IDIOT and other ordinary texts", None, "", "x", "worthless words and a moron of the others " * 9, "é" * 100]
+    x = toxicity.Distance(ordinary, toxic).features(texts)
+    for t, row in zip(texts, x, strict=True):
+        data = (t or "").lower().encode()
+        ends = toxicity.cuts(data, toxicity.WINDOW)
+        parts = [toxicity.LEAD + data[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+        saved = sorted((len(plain[0].compress(p)) - len(plain[1].compress(p)) for p in parts), reverse=True)
+        n = np.array([sum(v >= k for v in saved) for k in toxicity.SAVED])
+        want = [sum(saved[:1]), sum(saved[:2]), sum(saved[:4]), *np.log1p(n), *n / max(1, len(saved)), np.log1p(len(saved))]
+        assert np.allclose(row, want)
+
+
+def test_long_texts_and_clashing_labels_are_learned_from(spark, corpus):
+    _, _, rows = corpus
+    long = [(5000 + k, " ".join(t for _, t, *_ in rows[k * 60 : k * 60 + 60] if not rows[k * 60][3]) + " idiot", 1) for k in range(20)]
+    texts = [(d, t) for d, t, *_ in rows] + [(d, t * 2) for d, t, _ in long] + [(9001, rows[0][1])]
+    assert max(len(t) for _, t in texts) > 40_000
+    labels = [(d, t) for d, _, _, t in rows] + [(d, y) for d, _, y in long] + [(9001, 1 - rows[0][3])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    fits = [toxicity.fit(docs.repartition(n), spark.createDataFrame(labels, "doc_id long, toxic int")) for n in (2, 5)]
+    assert fits[0].toxic == fits[1].toxic and fits[0].ordinary == fits[1].ordinary and np.array_equal(fits[0].weight, fits[1].weight)
 
 
 def test_transcripts(spark):
