@@ -8,6 +8,7 @@ each document's id, first token and token count. Parts follow the order of doc_i
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -165,8 +166,23 @@ def read_token_files(manifest: DataFrame, path: str) -> DataFrame:
     return parts.repartition(n, "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
+def cuts_safely(vocabulary: str) -> bool:
+    """Does the tokenizer in this file cut texts as ``ChunkMemory`` takes it: byte-level pieces by the usual pattern, nothing before?"""
+    with open(vocabulary, encoding="utf-8") as f:
+        told = json.load(f)
+    before, model = told.get("pre_tokenizer") or {}, told.get("model") or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+    bpe = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    tokens = all(not (t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized")) for t in told.get("added_tokens", []))
+    return bool(plain and bpe and tokens and told.get("normalizer") is None)
+
+
 def library_encoder(vocabulary: str) -> Callable[[list[str]], list[bytes]]:
-    """The tokenizers library's ids, through a memory of chunks; the one encoder that a worker keeps."""
+    """The tokenizers library's ids; the one encoder that a worker keeps.
+
+    They come through a memory of chunks where the file says that chunks have the same ids wherever they stand, else
+    each whole text is encoded.
+    """
 
     def make() -> Callable[[list[str]], list[bytes]]:
         from tokenizers import Tokenizer
@@ -176,18 +192,28 @@ def library_encoder(vocabulary: str) -> Callable[[list[str]], list[bytes]]:
         tokenizer = Tokenizer.from_file(vocabulary)
         tokenizer.no_truncation()
         tokenizer.no_padding()
+        encode = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if not cuts_safely(vocabulary):
+            return lambda texts: [np.asarray(ids, "<u4").tobytes() for ids in encode(texts)]
         added = {i: t.content for i, t in tokenizer.get_added_tokens_decoder().items()}
         # Each character of a byte-level token stands for one byte.
         id_bytes = np.array([len(added[i].encode()) if i in added else len(tokenizer.id_to_token(i) or "") for i in range(tokenizer.get_vocab_size())])
-        return ChunkMemory(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], id_bytes, list(added.values())).ids
+        return ChunkMemory(encode, id_bytes, list(added.values())).ids
 
     return held(("library", vocabulary), make)
 
 
+def needs_wide(vocabulary: str) -> bool:
+    """Are there ids above 16 bits?"""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(vocabulary).get_vocab_size() > 1 << 16
+
+
 def tokens_of_documents(docs: DataFrame, vocabulary: str, length: int = 1024) -> DataFrame:
     """Write ``docs`` as token files and read them back: doc_id, start, n_tokens, ids_crc32."""
     path = new_path(docs.sparkSession, "tokens")
-    manifest = write_token_files(docs, path, lambda: library_encoder(vocabulary), length)
+    manifest = write_token_files(docs, path, lambda: library_encoder(vocabulary), length, needs_wide(vocabulary))
 
     def checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

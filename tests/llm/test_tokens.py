@@ -85,3 +85,15 @@ def test_random_access_to_sequences(spark, docs):
 def test_rows_that_repeat(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c")], "doc_id long, text string")
     assert sorted(r.n_tokens for r in tokens_of_documents(df, VOCAB[0]).collect()) == [2, 3, 3]
+
+
+def test_another_tokenizer_is_asked_for_whole_texts(spark, docs, rows):
+    from folio.llm.token_files import cuts_safely, needs_wide
+
+    other = public_tokenizers.path("word_bpe_49k.json")
+    assert cuts_safely(VOCAB[0]) and not cuts_safely(other) and not needs_wide(other)
+    tokenizer = Tokenizer.from_file(other)
+    want = sorted(len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for _, t, *_ in rows)
+    assert sorted(r.n_tokens for r in tokens_of_documents(docs, other).collect()) == want
+    batch = texts(60, 77)
+    assert [np.frombuffer(x, "<u4").tolist() for x in library_encoder(other)(batch)] == [e.ids for e in tokenizer.encode_batch(batch, add_special_tokens=False)]
