@@ -198,10 +198,14 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Forest | None:
-    """Train on ``labels`` (doc_id, quality), ``sample_rows`` of them at most; the sample's ids are the one broadcast."""
-    sample = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("label"))
-    sample = sample.orderBy(F.xxhash64("_id"), "_id", "label").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("_id", "label", "text")
+    """Train on ``labels`` (doc_id, quality), ``sample_rows`` of them at most; the sample's ids are the one broadcast.
+
+    Labels of one id count once: where they clash most decide, and good if it is even. So do rows of one id, by their
+    least text, so no more than ``sample_rows`` rows of features reach the driver. Null ids and labels teach nothing.
+    """
+    sample = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
+    sample = sample.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).groupBy("_id", "label").agg(F.min("text").alias("text"))
     found = rows.drop("_id").mapInArrow(_feature_rows, "label double, x array<double>").toArrow()
     if not len(found):
         return None
@@ -217,6 +221,7 @@ SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 def assess(docs: DataFrame, forest: Forest | None, threshold: float = 0.5) -> DataFrame:
     """Statistics and verdict of every row: one pass, no shuffle. Without a forest only the base rules judge.
 
+    Reads ``doc_id``, a number, and ``text``, whatever other columns there are.
     A null or empty text has no words, fails the base rules and is not kept. Rows that repeat get equal verdicts.
     """
 
@@ -234,7 +239,10 @@ def assess(docs: DataFrame, forest: Forest | None, threshold: float = 0.5) -> Da
 
 
 def keep_good(docs: DataFrame, forest: Forest | None, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``assess`` would keep: filtered where they are read, no shuffle."""
+    """The rows of ``docs``, all columns, that ``assess`` would keep: filtered where they are read, no shuffle.
+
+    Null and empty texts go; rows that repeat go or stay together; an empty table gives an empty one.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
