@@ -1,6 +1,8 @@
 """The corpus pipeline: quality rules, near-duplicates, repeated passages, mixing to target weights, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs.
+Nulls: a document without words fails the quality rules, a null source is a source of its own, other columns are carried.
+Rows that repeat share an id, and are kept or dropped together. An empty table stays empty through all stages.
 """
 
 from __future__ import annotations
@@ -39,16 +41,26 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return tokens.token_digests(docs, *vocabulary())
 
 
-STAGES = [("quality", good_quality), ("near_duplicates", one_of_near_duplicates), ("repeats", no_repeated_passages), ("mix", mixed), ("tokens", token_ids)]
+STAGES = [
+    ("quality", good_quality),
+    ("near_duplicates", one_of_near_duplicates),
+    ("repeats", no_repeated_passages),
+    ("mix", mixed),
+    ("tokens", token_ids),
+]
 
-#: Boosted trees, signatures and suffixes are not for SQL; tests hold run() against a brute-force version.
+#: Boosted trees, signatures and suffixes are not for SQL; tests/llm/test_pipeline_plain.py holds run() and each stage against
+#: plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = common.written(docs, name)
-    return docs
+    """The stages one after the other; a stage's table goes once the next one is written."""
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        before, path = path, common.write_table(out, name)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            common.drop_table(spark, before)
+    return STAGES[-1][1](spark, docs, sf_dir)
