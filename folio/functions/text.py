@@ -9,12 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The code points that separate tokens; each is a token of its own.
-DELIMITERS = (
-    "\n\r\t\f\u00a0([ \u2022*,:;?.!/)-\u2212\u2013\u2010"
-    "\"\u201c\u201d\u2018\u2019'`$]\u2666\u2665\u2663\u2660"
-)
+DELIMITERS = "\n\r\t\f\u00a0([ •*,:;?.!/)-−–‐\"“”‘’'`$]♦♥♣♠"
 # Em and en dash, thin space and single quote, and what they are normalised to.
-NORMALISE_FROM, NORMALISE_TO = "\u2014\u2013\u2009'", '-- "'
+NORMALISE_FROM, NORMALISE_TO = "—–\u2009'", '-- "'
 # White space that Python strips, as a regex class.
 SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 # Colours for tags, by number.

@@ -66,10 +66,9 @@ def packed_or_plain_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "benchmark")
     name = F.concat(F.col("item_id").cast("string"), F.when(F.col("item_id") % 2 == 0, ".txt.gz").otherwise(".txt"))
     sinks.write_files(rows, root, name, F.col("text")).write.format("noop").mode("overwrite").save()
-    plain = root.removeprefix("file://") if root.startswith("file://") else root
     ids = rows.select("item_id").union(rows.select(F.col("item_id") + 1000000))
-    asked = ids.select("item_id", F.concat(F.lit(f"{plain}/"), F.col("item_id").cast("string"), F.lit(".txt")).alias("path"))
-    return files.with_gz_fallback(spark, asked).select("item_id", F.md5("content").alias("digest"))
+    asked = ids.select("item_id", F.concat(F.lit(f"{root}/"), F.col("item_id").cast("string"), F.lit(".txt")).alias("path"))
+    return files.with_gz_fallback(asked).select("item_id", F.md5("content").alias("digest"))
 
 
 def layout_xml(spark: SparkSession, sf_dir: str) -> DataFrame:

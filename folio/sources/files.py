@@ -5,7 +5,10 @@ from __future__ import annotations
 import configparser
 import gzip
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,14 +42,36 @@ def listed_pairs(spark: SparkSession, path: str, limit: int | None = None) -> Da
     return rows.limit(limit) if limit else rows
 
 
-def contents(spark: SparkSession, files: DataFrame, column: str, name: str = "content") -> DataFrame:
-    """``files`` with the content of the file that a column names. The listing is small and comes to the driver as names;
-    contents are read by the executors."""
-    paths = [r[0] for r in files.select(column).distinct().collect()]
-    if not paths:
-        return files.withColumn(name, F.lit(None).cast("binary"))
-    read = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/+", "/").alias("_path"), F.col("content").alias(name))
-    return files.join(read, F.regexp_replace(column, "^file:/+", "/") == F.col("_path"), "left").drop("_path")
+def opened(files: DataFrame, column: str, name: str, endings: tuple[str, ...]) -> DataFrame:
+    """``files`` with what is in the file that a column names, with the first of ``endings`` that is there; null if none is.
+
+    Tasks open the files of their own rows through ``pyarrow.fs``, so no list of files passes through the driver.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.names.index(column)
+            for k in range(len(b)):
+                cut = b.slice(k, 1)
+                yield pa.RecordBatch.from_arrays([*cut.columns, pa.array([_content(cut.column(at)[0].as_py(), endings)], pa.binary())], names=[*b.schema.names, name])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
+    return files.mapInArrow(rows, f"{fields}, `{name}` binary")
+
+
+def _content(path: str | None, endings: tuple[str, ...]) -> bytes | None:
+    for ending in endings if path else ():
+        store, place = fs.FileSystem.from_uri(path + ending)
+        if store.get_file_info(place).is_file:
+            with store.open_input_stream(place, compression=None) as f:
+                data = f.read()
+            return gzip.decompress(data) if ending == ".gz" else data
+    return None
+
+
+def contents(files: DataFrame, column: str, name: str = "content") -> DataFrame:
+    """``files`` with the content of the file that a column names, as it is."""
+    return opened(files, column, name, ("",))
 
 
 def gunzipped(content, path):
@@ -59,24 +84,9 @@ def gunzipped(content, path):
     return run(content, path)
 
 
-def with_gz_fallback(spark: SparkSession, files: DataFrame, column: str = "path") -> DataFrame:
-    """Content of ``<path>.gz`` where there is one, else of ``<path>``, null where neither is.
-
-    Folders are listed first, without opening files; then the files that are there, and only they, are read.
-    """
-    local = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    folders = [r[0] for r in files.select(F.regexp_extract(column, "^(.*)/", 1)).distinct().collect()]
-    if not folders:
-        return files.withColumn("content", F.lit(None).cast("binary"))
-    listed = matching(spark, *(f"{f}/*" for f in folders)).select(local("path").alias("_there"))
-    asked = files.select(F.explode(F.array(local(column), F.concat(local(column), F.lit(".gz")))).alias("_there")).distinct()
-    there = [r[0] for r in listed.join(asked, "_there", "left_semi").distinct().collect()]
-    if not there:
-        return files.withColumn("content", F.lit(None).cast("binary"))
-    held = matching(spark, *there, content=True).select(local("path").alias("_p"), "content")
-    one = held.select(F.regexp_replace("_p", r"\.gz$", "").alias("_path"), F.col("_p").endswith(".gz").alias("_gz"), gunzipped(F.col("content"), F.col("_p")).alias("_c"))
-    one = one.groupBy("_path").agg(F.max_by("_c", "_gz").alias("content"))
-    return files.join(one, local(column) == F.col("_path"), "left").drop("_path")
+def with_gz_fallback(files: DataFrame, column: str = "path") -> DataFrame:
+    """Content of ``<path>.gz``, unpacked, where there is one, else of ``<path>``, null where neither is."""
+    return opened(files, column, "content", (".gz", ""))
 
 
 def embedding_lines(spark: SparkSession, path: str) -> DataFrame:

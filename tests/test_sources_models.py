@@ -56,11 +56,11 @@ def test_lists_and_contents(spark, tmp_path):
         (tmp_path / "in" / n).write_bytes(data)
     (tmp_path / "list.tsv").write_text(f"source_url\txml_url\n{tmp_path}/in/a.xml\tx\n")
     pairs = files.listed_pairs(spark, f"{tmp_path}/list.tsv", 5)
-    assert bytes(files.contents(spark, pairs, "source_url").first().content) == b"<a/>"
+    assert bytes(files.contents(pairs, "source_url").first().content) == b"<a/>"
     (tmp_path / "plain.txt").write_text("u1\n\nu2\n")
     assert [r.url for r in files.listed_files(spark, f"{tmp_path}/plain.txt").collect()] == ["u1", "u2"]
     wanted = spark.createDataFrame([(f"{tmp_path}/in/a.xml",), (f"{tmp_path}/in/b.xml",), (f"{tmp_path}/in/none",)], "path string")
-    got = {r.path.rsplit("/", 1)[1]: r.content and bytes(r.content) for r in files.with_gz_fallback(spark, wanted).collect()}
+    got = {r.path.rsplit("/", 1)[1]: r.content and bytes(r.content) for r in files.with_gz_fallback(wanted).collect()}
     assert got == {"a.xml": b"<a/>", "b.xml": b"<b/>", "none": None}
     assert files.matching(spark, f"{tmp_path}/in/*.xml").count() == 1
 
