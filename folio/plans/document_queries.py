@@ -50,7 +50,19 @@ def xml_whole_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "target_ord", "name", F.array_join("value", " | ").alias("value"), "match_multiple", "error")
 
 
-@query("items_xml")
+_ESCAPED = "array_to_string(list_transform(string_split(replace(replace(replace(%s, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), ''), lambda c: CASE WHEN ord(c) > 127 THEN '&#' || ord(c) || ';' ELSE c END), '')"
+#: XML of rows t (doc_id, turn, tag, text): single fields take the first item and those that follow one of their tag.
+_XML = f"""l AS (SELECT *, lag(tag) OVER (PARTITION BY doc_id ORDER BY turn) AS before, row_number() OVER (PARTITION BY doc_id, tag ORDER BY turn) AS k FROM t),
+kept AS (SELECT doc_id, turn, tag, CASE WHEN tag = 'author' THEN regexp_replace(text, '(?:[,+*0-9][.]?)+$', '') ELSE text END AS text FROM l WHERE tag = 'author' OR k = 1 OR before = tag),
+own AS (SELECT doc_id, tag, turn, {_ESCAPED % "text"} AS text FROM kept),
+node AS (SELECT doc_id, min(turn) AS place, CASE tag WHEN 'author' THEN '<contrib-group>' || string_agg(CASE WHEN text = '' THEN '<contrib contrib-type="author" />' ELSE '<contrib contrib-type="author">' || text || '</contrib>' END, '' ORDER BY turn) || '</contrib-group>'
+WHEN 'abstract' THEN CASE WHEN string_agg(text, chr(10) ORDER BY turn) = '' THEN '<abstract />' ELSE '<abstract>' || string_agg(text, chr(10) ORDER BY turn) || '</abstract>' END
+ELSE '<title-group>' || CASE WHEN string_agg(text, chr(10) ORDER BY turn) = '' THEN '<article-title />' ELSE '<article-title>' || string_agg(text, chr(10) ORDER BY turn) || '</article-title>' END || '</title-group>' END AS x FROM own GROUP BY doc_id, tag),
+made AS (SELECT doc_id, '<article><front><article-meta>' || string_agg(x, '' ORDER BY place) || '</article-meta></front></article>' AS xml FROM node GROUP BY doc_id)"""
+_TURNS = r"t AS (SELECT conv_id AS doc_id, turn, CASE role WHEN 'system' THEN 'manuscript_title' WHEN 'user' THEN 'abstract' ELSE %s END AS tag, regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f]', ' ', 'g') AS text FROM conversations%s)"
+
+
+@query("items_xml", f"""WITH {_TURNS % ("'author'", "")}, {_XML} SELECT doc_id, xml FROM made""")
 def items_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of conversations as XML: system turns as titles, the user's as abstracts, answers as authors."""
     role = F.col("role")
@@ -85,7 +97,14 @@ def order_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("doc_id"), F.lit(0).alias("page_idx"), o.alias("block_ord"), F.col("l_returnflag").alias("tag"), d(F.col("l_partkey") % 50).alias("x"), d(F.col("l_suppkey") % 20).alias("y"), d(F.col("l_quantity")).alias("width"), d(F.col("l_linenumber") * 3).alias("height"))
 
 
-@query("merged_blocks")
+@query("merged_blocks", """WITH RECURSIVE b AS (SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, l_returnflag AS tag, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS INT) AS o,
+CAST(l_partkey % 50 AS DOUBLE) AS x, CAST(l_suppkey % 20 AS DOUBLE) AS y, CAST(l_quantity AS DOUBLE) AS w, CAST(l_linenumber * 3 AS DOUBLE) AS h FROM lineitem),
+g AS (SELECT doc_id, tag, list({'o': o, 'x1': x, 'y1': y, 'x2': x + w - 1, 'y2': y + h - 1} ORDER BY o) AS l FROM b GROUP BY doc_id, tag),
+r AS (SELECT doc_id, tag, l[1] AS lead, l[2:] AS rest, CASE WHEN false THEN l[1] END AS done FROM g UNION ALL
+SELECT doc_id, tag, CASE WHEN len(hit) = 0 THEN rest[1] ELSE {'o': lead.o, 'x1': least(lead.x1, list_min(list_transform(hit, lambda e: e.x1))), 'y1': least(lead.y1, list_min(list_transform(hit, lambda e: e.y1))), 'x2': greatest(lead.x2, list_max(list_transform(hit, lambda e: e.x2))), 'y2': greatest(lead.y2, list_max(list_transform(hit, lambda e: e.y2)))} END,
+CASE WHEN len(hit) = 0 THEN rest[2:] ELSE list_filter(rest, lambda e: NOT (e.x1 <= lead.x2 + 1 AND e.x2 >= lead.x1 - 1 AND e.y1 <= lead.y2 AND e.y2 >= lead.y1)) END, CASE WHEN len(hit) = 0 THEN lead END
+FROM (SELECT *, list_filter(rest, lambda e: e.x1 <= lead.x2 + 1 AND e.x2 >= lead.x1 - 1 AND e.y1 <= lead.y2 AND e.y2 >= lead.y1) AS hit FROM r WHERE lead IS NOT NULL))
+SELECT doc_id, 0 AS page_idx, done.o AS block_ord, tag, done.x1 - 4 AS x, done.y1 - 2 AS y, done.x2 - done.x1 + 9 AS width, done.y2 - done.y1 + 5 AS height FROM r WHERE done IS NOT NULL""")
 def merged_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring boxes of an order's line items as one, then widened."""
     return blocks.expanded_blocks(blocks.merged_blocks(order_blocks(spark, sf_dir)))
@@ -112,7 +131,7 @@ def sequence_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.predictions(rows, model)
 
 
-@query("untagged_lines_and_items")
+@query("untagged_lines_and_items", f"""WITH {_TURNS % ("NULL", " WHERE role IN ('system', 'user')")}, {_XML} SELECT doc_id, coalesce(xml, '<article />') AS xml FROM (SELECT DISTINCT conv_id AS doc_id FROM conversations) LEFT JOIN made USING (doc_id)""")
 def untagged_lines_and_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles of conversations as tags: items, then XML by document."""
     from folio.plans.pipelines import extracted_xml
