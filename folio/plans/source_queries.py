@@ -71,11 +71,11 @@ def packed_or_plain_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.with_gz_fallback(asked).select("item_id", F.md5("content").alias("digest"))
 
 
-def layout_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages as layout documents: a line for each five words, a token a word."""
+def layout_xml(spark: SparkSession, sf_dir: str, tag: str = "") -> DataFrame:
+    """Passages as layout documents: a line for each five words, a token a word; the first of a line may have a tag."""
     clean = F.regexp_replace("text", "[&<>\"]", "")
     words = F.filter(F.split(clean, " "), lambda w: w != "")
-    token = lambda w, k: F.concat(F.lit('<TOKEN x="'), (k % 5 * 10).cast("string"), F.lit('" y="'), F.floor(k / 5).cast("string"), F.lit('" width="8" height="1">'), w, F.lit("</TOKEN>"))
+    token = lambda w, k: F.concat(F.lit('<TOKEN x="'), (k % 5 * 10).cast("string"), F.lit('" y="'), F.floor(k / 5).cast("string"), F.when(k % 5 == 0, F.lit(f'" width="8" height="1"{tag}>')).otherwise('" width="8" height="1">'), w, F.lit("</TOKEN>"))
     line = lambda n: F.concat(F.lit("<TEXT>"), F.array_join(F.transform(F.slice(words, n * 5 + 1, 5), lambda w, k: token(w, k + n * 5)), ""), F.lit("</TEXT>"))
     lines = F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / 5).cast("int")), line), "")
     xml = F.concat(F.lit('<DOCUMENT><PAGE width="50" height="90"/><PAGE width="60" height="80">'), lines, F.lit("</PAGE></DOCUMENT>"))
@@ -151,3 +151,55 @@ def lenient_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("doc_id"), xml.alias("xml"))
     found = targets.targets(rows, targets.parse_mapping(_INI))
     return found.select("doc_id", "name", F.array_join("value", "|").alias("value"), F.col("error").isNotNull().alias("failed"))
+
+
+@query("styled_pages", f"WITH {_WORDS} SELECT item_id || '.lxml' AS doc_id, count(*) AS titles, 'text.b-lead {{ fill: ' AS style FROM t WHERE k % 5 = 0 GROUP BY item_id")
+def styled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SVG pages with a style for each tag and a title for each tagged token."""
+    pages = documents.svg_pages(documents.tokens(layout_xml(spark, sf_dir, ' tag="b-lead"')))
+    styled = pages.select("doc_id", F.udf(documents.styled_svg, "string", useArrow=True)("svg").alias("svg"))
+    return styled.select("doc_id", F.regexp_count("svg", F.lit("<title>b-lead</title>")).cast("long").alias("titles"), F.regexp_extract("svg", r"text\.b-lead \{ fill: ", 0).alias("style"))
+
+
+@query("items_with_errors", "SELECT doc_id, md5(text) AS digest FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND lang <> 'fr'")
+def items_with_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that have no output yet, with a computed key; those that fail are counted and dropped."""
+    from folio.plans.pipelines import ItemPipeline
+
+    process = lambda df: df.withColumns({"digest": F.md5("text"), "error": F.when(F.col("lang") == "fr", F.lit("no reader for fr"))})
+    name = F.concat(F.lit("out/"), F.col("doc_id").cast("string"))
+    done = table(spark, sf_dir, "labels").select(name.alias("path"))
+    return ItemPipeline(process, lambda: name).run(table(spark, sf_dir, "documents"), done).select("doc_id", "digest")
+
+
+@query("cropped_images", "SELECT vec_id, CAST(list_sum(list_transform(range(0, 64), lambda i: CASE WHEN i % 8 BETWEEN 2 AND 6 AND i // 8 BETWEEN 1 AND 3 THEN least(255, floor(abs(embedding[i + 1]::DOUBLE) * 255)) ELSE 0 END)) AS BIGINT) AS total FROM embeddings")
+def cropped_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as images of 8 by 8, cropped, and their pixels summed."""
+    import numpy as np
+
+    from folio.functions.raster import crop, encode_png
+    from folio.operators import raster
+
+    @F.udf("binary", useArrow=True)
+    def painted(v):
+        return encode_png(np.minimum(255, np.floor(np.abs(np.array(v[:64], np.float64)) * 255)).astype(np.uint8).reshape(8, 8))
+
+    images = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("image_id"), painted("embedding").alias("png"))
+    rows = raster.pixels(raster.mapped_images(images, lambda a: crop(a, 2, 1, 5, 3)))
+    return rows.groupBy(F.col("image_id").cast("long").alias("vec_id")).agg(F.sum("r").cast("long").alias("total"))
+
+
+@query("xml_paths", r"""WITH t AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '[&<>\x00-\x08\x0b-\x1f]', '', 'g'), chr(10)), lambda x: x <> '') AS l FROM documents) SELECT doc_id, array_to_string(l, chr(10)) AS value FROM t""")
+def xml_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that a path selects in XML of whole documents, a line each."""
+    lines = F.split(F.regexp_replace("text", "[&<>\\x00-\\x08\\x0b-\\x1f]", ""), "\n")
+    xml = F.concat(F.lit("<d>"), F.array_join(F.transform(lines, lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), ""), F.lit("</d>"))
+    return files.xml_values(table(spark, sf_dir, "documents").select("doc_id", xml.alias("xml")), "/d/p").select("doc_id", "value")
+
+
+@query("flattened", "SELECT l_orderkey, l_linenumber, array_to_string(flatten([[l_partkey, l_suppkey], [], [l_orderkey]]), ',') AS flat FROM lineitem")
+def flattened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested lists as one."""
+    c = lambda n: F.col(n).cast("string")
+    nested = F.array(F.array(c("l_partkey"), c("l_suppkey")), F.array().cast("array<string>"), F.array(c("l_orderkey")))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(F.flatten(nested), ",").alias("flat"))
