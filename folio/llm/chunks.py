@@ -13,6 +13,9 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
+#: Texts that go through the memory together: few, so that what one step leaves is still near when the next one reads it.
+AT_ONCE = 32
+
 
 class ChunkMemory:
     """``encode``: texts to ids; ``id_bytes``: how many bytes each id stands for. Ids come out as little-endian 32-bit integers."""

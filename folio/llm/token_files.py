@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.llm.chunks import AT_ONCE
 from folio.llm.common import held, new_path, put, written
 
 #: Sequences in a record batch.
@@ -89,8 +90,8 @@ def write_token_files(docs: DataFrame, path: str, encoder: Callable[[], Callable
         index: list[list] = [[], [], []]
         writer = None
         for b in batches:
-            for k in range(0, len(b), 256):
-                cut = b.slice(k, 256)
+            for k in range(0, len(b), AT_ONCE):
+                cut = b.slice(k, AT_ONCE)
                 for doc, found in zip(cut.column(0).to_pylist(), ids_of([t or "" for t in cut.column(1).to_pylist()]), strict=True):
                     if writer is None:
                         store.create_dir(root, recursive=True)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.bpe import Bpe
-from folio.llm.chunks import ChunkMemory
+from folio.llm.chunks import AT_ONCE, ChunkMemory
 from folio.llm.common import held, spread
 
 
@@ -31,8 +31,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, ids_of = encoder(vocabulary, pattern)
         for b in batches:
-            for k in range(0, len(b), 512):
-                cut = b.slice(k, 512)
+            for k in range(0, len(b), AT_ONCE):
+                cut = b.slice(k, AT_ONCE)
                 ids = ids_of([t or "" for t in cut.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([cut.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
@@ -61,8 +61,8 @@ def token_digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
         bpe, ids_of = encoder(vocabulary, pattern)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
-            for k in range(0, len(b), 512):
-                cut = b.slice(k, 512)
+            for k in range(0, len(b), AT_ONCE):
+                cut = b.slice(k, AT_ONCE)
                 ids = [np.frombuffer(x, "<u4") for x in ids_of([t or "" for t in cut.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays(
                     [cut.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(bpe.decimals(x)) for x in ids]), pa.array([sha(bpe.decode(x).encode()) for x in ids])],
