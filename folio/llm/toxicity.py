@@ -30,7 +30,7 @@ SAMPLE_ROWS = 12_000
 SAMPLE_WINDOWS, SAMPLE_BYTES = 40_000, 256
 ORDINARY_BYTES, TOXIC_BYTES = 32_768, 2_048
 #: Bytes of a window, and zstandard's level.
-WINDOW, LEVEL = 24, 13
+WINDOW, LEVEL = 40, 13
 #: Stands before every window and always compresses: a block that doesn't is stored as it is, and hides small savings.
 LEAD = b"\0" * 31 + b" "
 #: Savings that are counted.
