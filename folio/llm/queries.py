@@ -86,6 +86,18 @@ def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_swap_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.audit import audit_documents
+
+    return audit_documents(table(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op12_heavy_path_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 

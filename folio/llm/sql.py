@@ -40,4 +40,44 @@ summed AS (SELECT *, target - sum(whole * size) OVER (PARTITION BY source) AS ne
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * CASE WHEN rate > 0 THEN whole + CASE WHEN draw IS NOT NULL AND upto - size / 2.0 <= need THEN 1 ELSE 0 END ELSE 0 END AS BIGINT) AS taken FROM summed
 """
 
-ORACLE = {"op4_entropy_mix": MIX, "op5_minhash_bayes": NEAR_DUPLICATES, "op9_suffix_merge": REPEATS}
+#: Masks by documents, then every order of five letters, and each step's counts from the masks.
+AUDIT = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+told AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+firsts AS (SELECT sha256(text) AS digest, min(doc_id) AS least FROM d GROUP BY 1),
+w AS (SELECT d.doc_id, part, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, coalesce(d.doc_id > least, false) AS copy, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM d JOIN firsts ON digest = sha256(text) LEFT JOIN told ON told.doc_id = d.doc_id),
+m AS (SELECT part, good, toxic, (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT + 4 * (100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 10 * length(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * copy::INT AS mask FROM w),
+cells AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL),
+letters AS (SELECT unnest(range(5)) AS k),
+orders AS (SELECT [a.k, b.k, c.k, d.k, e.k] AS o FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+steps AS (SELECT o, unnest(range(1, 6)) AS step FROM orders),
+sets AS (SELECT array_to_string(list_transform(o, lambda x: 'ABCDE'[x + 1]), '') AS filter_order, step, o[step] AS f, list_sum(list_transform(o[1:step], lambda x: 1 << x))::BIGINT AS upto, coalesce(list_sum(list_transform(o[1:step - 1], lambda x: 1 << x)), 0)::BIGINT AS earlier FROM steps),
+counted AS (SELECT part, filter_order, step, f, sum(CASE WHEN mask & upto = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & earlier = 0 AND (mask >> f) & 1 = 1 THEN n ELSE 0 END) AS removed, sum(CASE WHEN mask & earlier <> 0 AND (mask >> f) & 1 = 1 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = 1 << f THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN mask & earlier = 0 AND (mask >> f) & 1 = 1 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & earlier = 0 AND (mask >> f) & 1 = 1 THEN toxic ELSE 0 END) AS toxic_lost FROM cells, sets GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM counted
+"""
+
+#: CRC-32 of ids from its table; each rebuilt conversation's prefixes as lists of turns; subtree sums over all ancestors.
+TRIE = r"""
+WITH RECURSIVE bits AS (SELECT range::BIGINT AS b, range::BIGINT AS v, 0 AS k FROM range(256) UNION ALL SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY b) AS t FROM bits WHERE k = 8),
+ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+heads AS (SELECT c, c - c % 5 AS lead, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT)), lambda s, x: xor(s >> 8, t[(xor(s, x) & 255) + 1])), 4294967295) % 9 AS h FROM ids, crc),
+turns AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS k, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS turn FROM conversations WHERE conv_id IS NOT NULL),
+lists AS (SELECT c, list(turn ORDER BY k) AS own FROM turns GROUP BY c),
+built AS (SELECT heads.c, list_concat(coalesce(lead.own, []::STRUCT(role VARCHAR, text VARCHAR)[])[1:h], lists.own[h + 1:]) AS turns FROM heads JOIN lists ON lists.c = heads.c LEFT JOIN lists lead ON lead.c = heads.lead),
+prefixes AS (SELECT c, d, turns[1:d] AS node, len(turns) = d AS last FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM built)),
+nodes AS (SELECT d, node, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '')) AS ends_sha256 FROM prefixes GROUP BY d, node),
+edges AS (SELECT n.*, p.conv_id AS parent_conv_id, CASE WHEN n.d > 0 THEN (n.n_convs - 1) * strlen(n.node[n.d].text) ELSE 0 END AS saved FROM nodes n LEFT JOIN nodes p ON p.d = n.d - 1 AND p.node = n.node[1:n.d - 1]),
+children AS (SELECT d - 1 AS d, parent_conv_id AS conv_id, count(*) AS n_children FROM edges WHERE d > 0 GROUP BY 1, 2),
+full_ AS (SELECT e.*, coalesce(n_children, 0) AS n_children FROM edges e LEFT JOIN children USING (d, conv_id)),
+sums AS (SELECT a.d, a.node, sum((b.n_children = 0)::INT) AS n_leaves, sum(b.saved) AS saved FROM (SELECT *, unnest(range(d + 1)) AS up FROM full_) b JOIN nodes a ON a.d = b.up AND a.node = b.node[1:b.up] GROUP BY 1, 2)
+SELECT conv_id, f.d::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, ends_sha256 FROM full_ f JOIN sums s ON s.d = f.d AND s.node = f.node
+"""
+
+ORACLE = {
+    "op4_entropy_mix": MIX,
+    "op5_minhash_bayes": NEAR_DUPLICATES,
+    "op9_suffix_merge": REPEATS,
+    "op11_swap_audit": AUDIT,
+    "op12_heavy_path_trie": TRIE,
+}
