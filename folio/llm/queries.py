@@ -98,6 +98,12 @@ def op12_heavy_path_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.warc import archived_pages
+
+    return archived_pages(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 

@@ -74,10 +74,19 @@ sums AS (SELECT a.d, a.node, sum((b.n_children = 0)::INT) AS n_leaves, sum(b.sav
 SELECT conv_id, f.d::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, ends_sha256 FROM full_ f JOIN sums s ON s.d = f.d AND s.node = f.node
 """
 
+#: The first page of each payload, and SHA-1 written five bits at a time.
+WARC = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS hex, sha256(coalesce(html, '')) AS same FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY same) AS least FROM p),
+b AS (SELECT *, list_transform(range(4), lambda k: ('0x' || hex[k * 10 + 1 : k * 10 + 10])::BIGINT) AS parts FROM f)
+SELECT page_id, n::BIGINT AS payload_bytes, array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((parts[i // 8 + 1] >> (35 - 5 * (i % 8))) & 31) + 1]), '') AS payload_digest, CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = least THEN NULL ELSE least END AS refers_to FROM b
+"""
+
 ORACLE = {
     "op4_entropy_mix": MIX,
     "op5_minhash_bayes": NEAR_DUPLICATES,
     "op9_suffix_merge": REPEATS,
     "op11_swap_audit": AUDIT,
     "op12_heavy_path_trie": TRIE,
+    "op13_warc_archives": WARC,
 }
