@@ -1,8 +1,9 @@
 """WARC archives: a deterministic sharded writer, and a reader that trusts the manifest alone.
 
-Records are sorted by ranges of page_id and compressed each to a gzip member of its own. The running total of compressed
-bytes, in that order, says which archive a member belongs to: archive k holds the members that start in the k-th share
-of ``roll`` bytes. So neither names nor contents depend on the number of tasks, and a rerun writes the same bytes.
+Each record is a gzip member of its own. Keys and lengths are sorted by ranges of page_id, and the running total of
+compressed bytes in that order says where archives begin: archive k holds the members that start in the k-th share of
+``roll`` bytes. So neither names nor contents depend on the number of tasks, and a rerun writes the same bytes. Payloads
+are shuffled once, packed, each straight to the task that writes its archive.
 
 Headers and digests are made anew from the payload. A payload that a smaller page_id has already is not stored again:
 its record is a revisit that names the first one. Archives are written under temporary names and moved to their own by
@@ -16,16 +17,17 @@ import hashlib
 import json
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import new_path, put, written
+from folio.llm.common import new_path, put, spread, written
 
 #: Compressed bytes of an archive, and of a run of members that one task reads back.
 ROLL, RUN = 128 << 20, 8 << 20
@@ -55,10 +57,12 @@ def _block(fields: list[tuple[str, object]], body: bytes) -> bytes:
     return f"{VERSION}\r\n{head}Content-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, first: tuple[int | None, str | None] | None, date: str = DATE) -> bytes:
-    """One record: a response, or a revisit of ``first`` (page_id, url), which keeps the HTTP header and not the payload."""
-    digest = base32_sha1(payload)
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def page_record(page_id: int | None, url: str | None, digest: str, n_bytes: int, payload: bytes = b"", first: tuple[int | None, str | None] | None = None, date: str = DATE) -> bytes:
+    """One record: a response with its payload, or a revisit of ``first`` (page_id, url), which keeps the HTTP header alone.
+
+    ``digest`` (base32 SHA-1) and ``n_bytes`` are the whole payload's.
+    """
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode()
     body = http if first else http + payload
     fields = [
         ("WARC-Type", "revisit" if first else "response"),
@@ -86,50 +90,107 @@ def member(record: bytes, level: int = 6) -> bytes:
     return packer.compress(record) + packer.flush()
 
 
-MEMBERS = "part int, at long, page_id long, record binary"
+PACKED = "page_id long, url string, digest binary, sha1 string, n_bytes long, record binary"
+KEY = ["page_id", "url", "digest"]
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    types = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+    return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """page_id, url, payload to PACKED: every page as a response, in a gzip member."""
+    for b in batches:
+        for k in range(0, len(b), 256):
+            rows = []
+            for page, url, payload in zip(*(c.to_pylist() for c in b.slice(k, 256).columns), strict=True):
+                sha1 = base32_sha1(payload)
+                rows.append((page, url, hashlib.sha256(payload).digest(), sha1, len(payload), member(page_record(page, url, sha1, len(payload), payload))))
+            yield _batch(rows, PACKED)
 
 
-def _members(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """Every page's record as a gzip member, in order: part and the bytes before it in the part.
+def _sorted_key(page: int | None, url: str | None, digest: bytes) -> tuple:
+    return page is None, page or 0, url is None, (url or "").encode(), digest
 
-    Which records are revisits is found on digests and ids; those findings then go through the same sort as the pages,
-    each just before its page, so payloads are shuffled once.
+
+def _in_order(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Sorted rows (page_id, url, digest, kind, first_id, first_url, same, ...) of pages, each with the first that it
+    revisits or None. What was found about a page (kind 0) stands right before it.
+
+    Of rows alike in id, URL and payload the first is the response, if theirs is the least place.
     """
-    null = F.lit(None)
+    known = seen = None
+    for row in rows:
+        key, kind, first, same = row[:3], row[3], row[4:6], row[6]
+        if kind == 0:
+            known = (key, first, same)
+            continue
+        told = known if known and known[0] == key else None
+        yield row, told[1] if told and not (told[2] and seen != key) else None
+        seen = key
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        for k in range(0, len(b), 256):
+            yield from zip(*(c.to_pylist() for c in b.slice(k, 256).columns), strict=True)
+
+
+def _found_revisits(packed: DataFrame, least_bytes: int) -> DataFrame:
+    """Pages whose payload stands more than once, with the first that has it: found on digests and ids alone."""
     order = [F.col("page_id").isNull(), F.col("page_id"), F.col("url").isNull(), F.col("url")]
-    named = [c.alias(n) for c, n in zip(order, ("_no_id", "_id", "_no_url", "_url"), strict=True)]
-    keyed = pages.select("page_id", "url", F.unhex(F.sha2("payload", 256)).alias("digest"), F.octet_length("payload").cast("long").alias("n_bytes"), F.struct(*named).alias("place"))
-    keyed = keyed.where(F.col("n_bytes") >= least_bytes).drop("n_bytes")
+    place = F.struct(*[c.alias(n) for c, n in zip(order, ("_no_id", "_id", "_no_url", "_url"), strict=True)])
+    keyed = packed.where(F.col("n_bytes") >= least_bytes).select(*KEY, place.alias("place"))
     # Written, so that both sides of the join are dealt by it and a payload that many pages share can be split.
     first = written(keyed.groupBy("digest").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-first")
-    found = written(keyed.join(first, "digest").select("page_id", "url", "digest", "first._id", F.col("first._url").alias("_first_url"), (F.col("place") == F.col("first")).alias("_same")).distinct(), "warc-revisits")
-    told = found.select("page_id", "url", "digest", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("payload"), F.col("_id").alias("first_id"), F.col("_first_url").alias("first_url"), F.col("_same").alias("same"))
-    own = pages.select("page_id", "url", F.unhex(F.sha2("payload", 256)).alias("digest"), F.lit(1).alias("kind"), "payload", null.cast("long").alias("first_id"), null.cast("string").alias("first_url"), null.cast("boolean").alias("same"))
-    by = [F.col("page_id").asc_nulls_last(), F.col("url").asc_nulls_last(), F.col("digest"), F.col("kind")]
-    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = told.union(own).repartitionByRange(n, *by[:3]).sortWithinPartitions(*by)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at, known, seen = TaskContext.get().partitionId(), 0, None, None
-        for b in batches:
-            for k in range(0, len(b), 256):
-                rows = []
-                for page, url, digest, kind, payload, first_id, first_url, same in zip(*(c.to_pylist() for c in b.slice(k, 256).columns), strict=True):
-                    key = (page, url, digest)
-                    if kind == 0:
-                        known = (key, (first_id, first_url), same)
-                        continue
-                    told = known if known and known[0] == key else None
-                    # Of rows alike in id, URL and payload the first is the response, if theirs is the least place.
-                    revisits = told and not (told[2] and seen != key)
-                    seen = key
-                    packed = member(page_record(page, url, payload, told[1] if revisits else None))
-                    rows.append((part, at, page, packed))
-                    at += len(packed)
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "at", "page_id", "record"])
-
-    return written(sorted_.select("page_id", "url", "digest", "kind", "payload", "first_id", "first_url", "same").mapInArrow(pack, MEMBERS), "warc-members")
+    same = (F.col("place") == F.col("first")).alias("same")
+    found = keyed.join(first, "digest").select(*KEY, F.lit(0).alias("kind"), F.col("first._id").alias("first_id"), F.col("first._url").alias("first_url"), same)
+    return written(found.distinct(), "warc-revisits")
+
+
+def _with_findings(packed: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
+    """Pages and what was found about them in one table: KEY, kind, first_id, first_url, same, then ``columns`` (null in findings)."""
+    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    kinds = dict(packed.dtypes)
+    told = found.select(*KEY, "kind", "first_id", "first_url", "same", *[null(kinds[c], c) for c in columns])
+    return told.union(packed.select(*KEY, F.lit(1), null("long", "first_id"), null("string", "first_url"), null("boolean", "same"), *columns))
+
+
+def _by() -> list[Column]:
+    return [F.col("page_id").asc_nulls_last(), F.col("url").asc_nulls_last(), F.col("digest")]
+
+
+def _starts(packed: DataFrame, found: DataFrame, roll: int) -> list[tuple]:
+    """The least sort key of each archive, in order: a row an archive. Only lengths are sorted here, no payloads."""
+    n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = _by()
+    light = _with_findings(packed.withColumn("length", F.octet_length("record").cast("long")), found, ["sha1", "n_bytes", "length"])
+    dealt = light.repartitionByRange(n, *by).sortWithinPartitions(*by, "kind")
+    schema = "part int, at long, length long, page_id long, url string, digest binary"
+
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at, out = TaskContext.get().partitionId(), 0, []
+        for (page, url, digest, *_, sha1, n_bytes, length), first in _in_order(_rows(batches)):
+            if first:
+                length = len(member(page_record(page, url, sha1, n_bytes, first=first)))
+            out.append((part, at, length, page, url, digest))
+            at += length
+            if len(out) >= 1 << 12:
+                yield _batch(out, schema)
+                out = []
+        if out:
+            yield _batch(out, schema)
+
+    ordered = written(dealt.mapInArrow(lengths, schema), "warc-order")
+    sizes = ordered.groupBy("part").agg(F.sum("length").alias("size"))  # a row a task
+    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    based = ordered.join(F.broadcast(sizes.select("part", before.alias("before"))), "part")
+    share = F.floor((F.col("before") + F.col("at")) / F.lit(roll))
+    key = F.struct(F.col("page_id").isNull().alias("a"), "page_id", F.col("url").isNull().alias("b"), "url", "digest")
+    least = based.groupBy(share.alias("share")).agg(F.min(key).alias("k")).orderBy("share").select("k.page_id", "k.url", "k.digest")
+    return [_sorted_key(r.page_id, r.url, bytes(r.digest)) for r in least.toLocalIterator()]
 
 
 RUNS = "archive string, temporary string, first long, length long, records long, total long, sha256 string"
@@ -140,16 +201,22 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, roll: int = RO
 
     A null html is an empty payload; a null url becomes ``about:blank``. Records are in order of page_id, url, payload
     digest, nulls last. Of records with equal payloads of at least ``least_bytes`` bytes the first in that order is the
-    response; rows that repeat a response are revisits of it. No pages: no archive, an empty manifest. Other columns are
-    not read.
+    response; rows that repeat a response are revisits of it. Rows alike in all three lie in one archive. No pages: no
+    archive, an empty manifest. Other columns are not read.
     """
     spark = pages.sparkSession
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
-    members = _members(plain, least_bytes)
-    sizes = members.groupBy("part").agg(F.sum(F.octet_length("record")).alias("size"))  # a row a task
-    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    based = members.join(F.broadcast(sizes.select("part", before.alias("before"))), "part")
-    placed = based.select(F.floor((F.col("before") + F.col("at")) / F.lit(roll)).cast("long").alias("archive"), (F.col("before") + F.col("at")).alias("at"), "record")
+    packed = written(spread(plain).mapInArrow(_pack, PACKED), "warc-packed")
+    found = _found_revisits(packed, least_bytes)
+    starts = _starts(packed, found, roll)
+    both = _with_findings(packed, found, ["sha1", "n_bytes", "record"])
+
+    def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)
+            yield b.append_column("archive", pa.array([bisect_right(starts, _sorted_key(*k)) - 1 for k in keys], pa.int64()))
+
+    placed = both.mapInArrow(archives, both.withColumn("archive", F.lit(0).cast("long")).schema)
 
     def store_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A stream of archives, each a stream of members; runs of about RUN bytes are what a reader takes at once."""
@@ -172,19 +239,19 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, roll: int = RO
             runs[-1][2] += len(data)
             runs[-1][4] += 1
 
-        for b in batches:
-            for a, data in zip(b.column(0).to_pylist(), b.column(2), strict=True):
-                if a != archive:
-                    if out is not None:
-                        yield close()
-                    archive, own, sha = a, f".{uuid.uuid4().hex}", hashlib.sha256()
-                    out, runs = store.open_output_stream(f"{root}/{own}"), [[a, own, 0, 0, 0]]
-                    add(member(info_record(f"{a:06d}.warc.gz")))
-                add(data.as_py())
+        for (page, url, _, *_, sha1, n_bytes, record, a), first in _in_order(_rows(batches)):
+            if a != archive:
+                if out is not None:
+                    yield close()
+                archive, own, sha = a, f".{uuid.uuid4().hex}", hashlib.sha256()
+                out, runs = store.open_output_stream(f"{root}/{own}"), [[a, own, 0, 0, 0]]
+                add(member(info_record(f"{a:06d}.warc.gz")))
+            add(member(page_record(page, url, sha1, n_bytes, first=first)) if first else record)
         if out is not None:
             yield close()
 
-    listed = written(placed.repartition("archive").sortWithinPartitions("archive", "at").mapInArrow(store_all, RUNS), "warc-manifest")
+    dealt = placed.repartition("archive").sortWithinPartitions("archive", *_by(), "kind")
+    listed = written(dealt.mapInArrow(store_all, RUNS), "warc-manifest")
     return _commit(spark, listed, path)
 
 
@@ -271,11 +338,7 @@ def read_warc(manifest: DataFrame, path: str, payloads: bool = True) -> DataFram
     Block and payload digests are made anew; one that differs from its header raises. A revisit's payload is null.
     """
     columns = PAGES if payloads else PAGES.rpartition(",")[0]
-    names, kinds = zip(*(c.split() for c in columns.split(", ")), strict=True)
-    types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)], names=list(names))
+    width = len(columns.split(", "))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(path)
@@ -287,14 +350,14 @@ def read_warc(manifest: DataFrame, path: str, payloads: bool = True) -> DataFram
                 for head, block in records(data):
                     seen += 1
                     if (row := _page(head, block)) is not None:
-                        rows.append(row[: len(names)])
+                        rows.append(row[:width])
                     if len(rows) >= 256:
-                        yield batch(rows)
+                        yield _batch(rows, columns)
                         rows = []
                 if seen != n:
                     raise ValueError(f"{name} at {at}: {seen} records, the manifest has {n}")
                 if rows:
-                    yield batch(rows)
+                    yield _batch(rows, columns)
 
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return manifest.select("archive", "first", "length", "records").repartition(n, "archive", "first").mapInArrow(read, columns)

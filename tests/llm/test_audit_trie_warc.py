@@ -268,7 +268,7 @@ def test_revisits_name_the_record_of_their_response(spark, tmp_path):
 
 
 def test_a_changed_byte_is_found(spark, tmp_path):
-    record = warc.page_record(1, "u", b"payload", None)
+    record = warc.page_record(1, "u", warc.base32_sha1(b"payload"), 7, b"payload")
     ((head, block),) = warc.records(record)
     assert warc._page(head, block)[:2] == (1, "u")
     with pytest.raises(ValueError):
