@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import BROADCAST_ROWS, LOWER, Hashes, drop_table, mixed, release, spread, text_chunks, words, write_table
+from folio.llm.common import BROADCAST_ROWS, LOWER, WORD, Hashes, drop_table, mixed, release, spread, text_chunks, words, write_table, written
 from folio.llm.components import components
 
 #: 32 bands of 4: a pair at similarity 0.8 shares no bucket with probability (1 - 0.8 ** 4) ** 32 = 5e-8.
@@ -279,7 +279,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_
     has fewer; a text without words, or a null one, has the empty set and is linked with nothing. Texts are linked if the
     Jaccard similarity of their sets is at least ``similarity`` (in whole percent). ``component_id`` is the least
     doc_id that links reach; ``kept`` marks it. Rows with a null id are left out of links and keep a null component.
-    An empty table gives an empty one; rows that repeat are linked with each other.
+    An empty table gives an empty one; rows that repeat are linked with each other. Where rows of one id have different
+    texts, links are found through each text's set, and the id's least signature and least text are what is compared.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -294,7 +295,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_
     member_path = write_table(some.select("doc_id", "s0", "s1").join(classes, ["s0", "s1"]).select("doc_id", "rep"), "members")
     members = spark.read.schema(of_class).parquet(member_path)
     reps = some.select("doc_id", "sig").join(members.where("doc_id = rep").select("rep").distinct(), F.col("doc_id") == F.col("rep")).select("rep", "sig")
-    sig_path = write_table(reps.dropDuplicates(["rep"]), "reps")
+    sig_path = write_table(reps.groupBy("rep").agg(F.min("sig").alias("sig")), "reps")
     reps = spark.read.schema("rep long, sig binary").parquet(sig_path)
 
     # Buckets with more than one class; each with its least member.
@@ -350,7 +351,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_
     joined = first.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").union(more)
     last = components(joined)
     result = members.join(last, F.col("rep") == F.col("node"), "left").select(F.col("doc_id").alias("_id"), F.coalesce("component", "rep").alias("component_id"))
-    final_path = write_table(result.dropDuplicates(["_id"]), "final")
+    final_path = write_table(result.groupBy("_id").agg(F.min("component_id").alias("component_id")), "final")
     for path in (sig_path, bucket_path, best_path, role_path, link_path, inside_path, open_path, first_path, more_path, member_path):
         drop_table(spark, path)
     final = spark.read.schema("_id long, component_id long").parquet(final_path)
@@ -359,8 +360,37 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def once_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each text that has a word: that with the least id, nulls last, then with the least other columns.
+
+    Texts are told apart by digest, and only those that stand more than once are shuffled. Rows without a word stay,
+    but for repeats of one id.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    lonely = F.when(text.rlike(WORD), F.lit(None)).otherwise(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    keyed = docs.withColumns({"_key": F.sha2(text, 256), "_of": lonely})
+    again = keyed.groupBy("_key", "_of").agg(F.count("*").alias("_n")).where("_n > 1")
+    again = written(again.select(F.col("_key").alias("_k"), F.col("_of").alias("_o")), "repeated")
+    n = again.count()
+    if not n:
+        return docs
+    met = (F.col("_key") == F.col("_k")) & F.col("_of").eqNullSafe(F.col("_o"))
+    few = _narrow(again, n)
+    rest = [c for c in docs.columns if c != id_col]
+    least = F.min(F.struct(F.col(id_col).isNull().alias("_none"), F.col(id_col).alias("_id"), *rest)).alias("_row")
+    one = keyed.join(few, met, "left_semi").groupBy("_key", "_of").agg(least)
+    one = one.select(*[F.col("_row._id" if c == id_col else f"_row.{c}").alias(c) for c in docs.columns])
+    return keyed.join(few, met, "left_anti").select(docs.columns).unionByName(one)
+
+
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs`` whose id is kept: one document of each group, and all rows that share its id."""
+    """The rows of ``docs`` whose id is kept: one document of each group. Equal texts are one row before they are compared.
+
+    Rows of one id with different texts are kept or dropped together. A row without an id goes only if its text stands
+    elsewhere. Columns must be of types that can be ordered.
+    """
+    each = once_each(docs, id_col, how.get("text_col", "text"))
+    docs = docs if each is docs else written(each, "once")
     dropped = near_duplicates(docs, id_col=id_col, **how).where(~F.col("kept")).select(F.col("doc_id").alias("_drop")).distinct()
     path = write_table(dropped, "dropped")
     dropped = docs.sparkSession.read.schema("_drop long").parquet(path)
@@ -370,6 +400,6 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFr
 def _with_text(texts: DataFrame, reps: DataFrame, roles: DataFrame, n: int, key: str) -> DataFrame:
     """``roles`` with the text and the signature of each rep. Only texts that a role names are shuffled on."""
     named = roles.select(F.col(key).alias("_rep")).distinct()
-    picked = texts.join(_narrow(named, n), F.col("doc_id") == F.col("_rep"), "left_semi").dropDuplicates(["doc_id"])
+    picked = texts.join(_narrow(named, n), F.col("doc_id") == F.col("_rep"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     with_sig = picked.join(reps.withColumnRenamed("rep", "_rep"), F.col("doc_id") == F.col("_rep")).select("doc_id", "text", "sig")
     return roles.join(with_sig, F.col(key) == F.col("doc_id")).drop("doc_id")

@@ -3,9 +3,10 @@
 The tree splits at weighted medians along the dimension whose extent, relative to the whole table's, is widest, until
 leaves reach the target bytes. Strings count by the rank of their value among all values. Medians are found by
 distributed histograms: each pass is one aggregation for all nodes of a level, narrows every node's range to one bin,
-and ends when a bin holds one value. Ties along a dimension are ordered by text digest, so that equal texts stay
-together, and then by row. A cut is where the bytes say, so it goes through one group of equal texts at most, and no
-group, however large, can unbalance the leaves.
+and ends when a bin holds one value. Ties along a dimension are ordered by text digest and then by row.
+
+Equal texts are one row of the tree, with the metadata of the least id, so they come into one leaf. Only texts whose
+copies have more than a sixteenth of a leaf's bytes are dealt row by row: no group, however large, can unbalance leaves.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from folio.llm.common import BROADCAST_ROWS, drop_table, write_table, written
 
 #: Histogram rows that one pass brings to the driver at most. A level with more nodes than these allow takes several passes.
 HISTOGRAM_ROWS = 1 << 19
+#: Copies of one text stay together unless they have more than a leaf's bytes divided by this.
+SPLIT_ABOVE = 16
 #: Bins of a node in a pass.
 LEAST_BINS, MOST_BINS = 16, 4096
 
@@ -161,6 +164,27 @@ def numbered(rows: DataFrame, by: str, order: list[str], salt: Column, in_chunk:
     return out.withColumn("slot", (F.col("_start") + F.col("_at")).cast("long")).drop("_of", "_c", "_chunk", "_start", "_at")
 
 
+def _units(rows: DataFrame, most: float) -> tuple[DataFrame, DataFrame]:
+    """What the tree deals out: a row a text, with all copies' bytes and the metadata of the least id; and the rows of copies.
+
+    Copies with more than ``most`` bytes in all are units one by one. Such texts are at most SPLIT_ABOVE a leaf, so their
+    list has a known bound; it is broadcast if it is short. The others' groups are short, so none is a hot key.
+    """
+    key = ["tie", "text_crc32", "size"]
+    rest = [c for c in rows.columns if c not in key]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), *rest)).alias("_first")
+    groups = written(rows.groupBy(*key).agg(F.count("*").alias("copies"), first), "kd-texts")
+    large = groups.where((F.col("copies") > 1) & (F.col("copies") * F.col("size") > most)).select(*[F.col(k).alias(f"_{k}") for k in key])
+    large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    met = [F.col(k) == F.col(f"_{k}") for k in key]
+    # A text that stands once is its group's only row already.
+    alone = groups.join(large, met, "left_anti").select(*key, F.col("copies"), *[F.col(f"_first.{c}").alias(c) for c in rest])
+    apart = rows.join(large, met, "left_semi").withColumn("copies", F.lit(1).cast("long"))
+    units = alone.unionByName(apart).withColumn("one_size", F.col("size")).withColumn("size", F.col("size") * F.col("copies"))
+    several = groups.where("copies > 1").select(*[F.col(k).alias(f"_{k}") for k in key])
+    return units, rows.join(large, met, "left_anti").join(several, met, "left_semi")
+
+
 def shard_documents(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", label_cols: tuple[str, ...] = ("source", "lang")) -> DataFrame:
     """Put every row of ``docs`` into a shard: doc_id, size, text_crc32, shard, slot.
 
@@ -180,11 +204,20 @@ def shard_documents(docs: DataFrame, shards: int | None = None, target_bytes: in
         F.monotonically_increasing_id().alias("row"),
     )
     rows = written(picked, "kd-rows")
-    for i in range(len(label_cols)):
-        rows = with_rank(rows, f"v{i + 1}", f"d{i + 1}")
-    rows = written(rows.drop(*[f"v{i + 1}" for i in range(len(label_cols))]), "kd-ranked")
     total = rows.agg(F.sum("size")).first()[0] or 0
     leaves = shards or max(1, math.ceil(total / target_bytes))
-    dealt = kd_tree_leaves(rows, [f"d{i}" for i in range(len(label_cols) + 1)], "size", "tie", leaves) if total else rows.withColumn("leaf", F.lit(0))
-    out = numbered(dealt.select("doc_id", "size", "text_crc32", F.col("leaf").alias("shard"), "row"), "shard", ["row"], F.col("row"))
+    units, whole = _units(rows, total / leaves / SPLIT_ABOVE)
+    units = written(units, "kd-units")
+    for i in range(len(label_cols)):
+        units = with_rank(units, f"v{i + 1}", f"d{i + 1}")
+    units = written(units.drop(*[f"v{i + 1}" for i in range(len(label_cols))]), "kd-ranked")
+    if total:
+        units = kd_tree_leaves(units, [f"d{i}" for i in range(len(label_cols) + 1)], "size", "tie", leaves)
+    else:
+        units = units.withColumn("leaf", F.lit(0))
+    copies = units.where("copies > 1").select("tie", "text_crc32", "one_size", "leaf")
+    same = [F.col(f"r.{a}") == F.col(f"u.{b}") for a, b in (("tie", "tie"), ("text_crc32", "text_crc32"), ("size", "one_size"))]
+    shared = whole.alias("r").join(copies.alias("u"), same).select("r.doc_id", "r.size", "r.text_crc32", "u.leaf", "r.row")
+    dealt = units.where("copies = 1").select("doc_id", F.col("one_size").alias("size"), "text_crc32", "leaf", "row").union(shared)
+    out = numbered(dealt.withColumnRenamed("leaf", "shard"), "shard", ["row"], F.col("row"))
     return out.drop("row")

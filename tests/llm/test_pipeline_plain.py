@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -47,8 +48,18 @@ def plain_quality(rows, forest):
     return [r for r in rows if verdict(r["text"])]
 
 
+def plain_once(rows):
+    """One row of each text with a word, that of the least id; wordless rows once an id."""
+    least = {}
+    place = lambda r: tuple((v is not None, v.encode() if isinstance(v, str) else v or 0) for k, v in r.items() if k != "doc_id")
+    for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, place(r))):
+        text = r["text"] or ""
+        least.setdefault((text, None if WORD.search(text) else r["doc_id"]), r)
+    return list(least.values())
+
+
 def plain_near_duplicates(rows):
-    sets = []
+    sets, rows = [], plain_once(rows)
     for r in rows:
         w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in r["text"] or ""))
         sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
@@ -116,6 +127,31 @@ def plain_mix(rows):
 
 
 def test_run_is_what_plain_code_finds(spark):
+    held_against_plain_code(spark, SF)
+
+
+def test_run_on_odd_tables(spark, docs, tmp_path):
+    """Repeated rows, nulls, empty and long texts; every id that quality keeps is left, once a group."""
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    docs.union(docs.where("doc_id % 4 = 0")).union(docs.where("doc_id % 8 = 0")).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(k, int(k < 40 or k % 3 > 0), 0) for k in range(0, 100, 2)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    held_against_plain_code(spark, str(tmp_path))
+
+
+def test_no_document_vanishes(spark):
+    """A row that stands twice is neither two documents of a group nor a repeat of itself."""
+    r = random.Random(4)
+    prose = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(120))
+    rows = [(k, prose(), "en", "s", 1) for k in range(20)]
+    texts = {k: t for k, t, *_ in rows}
+    rows += [rows[3], rows[3], (None, texts[5], "en", "s", 1), (None, "w " + prose(), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.no_repeated_passages(spark, corpus_pipeline.one_of_near_duplicates(spark, docs, ""), "").collect()
+    assert Counter((x.doc_id, x.text) for x in kept) == Counter([*texts.items(), (None, rows[-1][1])])
+
+
+def held_against_plain_code(spark, SF):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     forest = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     rows = [r.asDict() for r in docs.collect()]

@@ -149,4 +149,30 @@ def test_shards_are_those_of_a_plain_tree(spark):
     found = {x.doc_id: x.shard for x in shard_documents(docs, shards=7).collect()}
     rank = lambda v, c: sorted({x[c] for x in data} - {None}).index(v) if v is not None else -1
     rows = [((n, rank(s, 3), rank(lang, 2)), hashlib.md5(t.encode()).hexdigest()[:15], k, len(t) + 1) for k, t, lang, s, n in data]
-    assert found == brute_kd_tree(rows, 7)
+    most = sum(x[3] for x in rows) / 7 / 16
+    groups = defaultdict(list)
+    for k, t, *_ in data:
+        groups[t].append(k)
+    together = [g for t, g in groups.items() if len(g) * (len(t) + 1) <= most]
+    units = [(*rows[g[0]][:3], len(g) * rows[g[0]][3]) for g in together] + [rows[k] for t, g in groups.items() if g not in together for k in g]
+    assert len(together[-1]) and len(units) < len(rows)
+    leaf = brute_kd_tree(units, 7)
+    assert found == leaf | {k: leaf[g[0]] for g in together for k in g}
+
+
+def test_copies_stay_together_whatever_their_metadata(spark):
+    """Also copies without an id, and rows that repeat; only a text above a sixteenth of a leaf is dealt out."""
+    r = __import__("random").Random(6)
+    texts = [f"text {k} " * r.randint(1, 30) for k in range(150)]
+    data = [(r.choice([k, None]) if r.random() < 0.2 else k, r.choice(texts), r.choice(["en", None]), f"s{r.randint(0, 9)}", r.randint(0, 99)) for k in range(600)]
+    data += data[:20] + [(1000 + k, "hot " * 30, "en", f"s{k % 3}", 9) for k in range(300)] + [(k, None, None, None, None) for k in (2000, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = shard_documents(docs, shards=8).collect()
+    assert Counter((x.doc_id, x.text_crc32) for x in out) == Counter((d, zlib.crc32((t or "").encode())) for d, t, *_ in data)
+    shards, bytes_ = defaultdict(Counter), Counter()
+    for x in out:
+        shards[x.text_crc32][x.shard] += x.size
+        bytes_[x.shard] += x.size
+    leaf = sum(bytes_.values()) / 8
+    assert {c for c, s in shards.items() if len(s) > 1} <= {c for c, s in shards.items() if sum(s.values()) > leaf / 16}
+    assert len(shards[zlib.crc32(b"hot " * 30)]) > 1 and max(bytes_.values()) - min(bytes_.values()) < leaf / 4
