@@ -107,6 +107,26 @@ def within(image: np.ndarray, longest: int) -> np.ndarray:
     return resize_bicubic(image, (max(1, round(w * longest / max(h, w))), max(1, round(h * longest / max(h, w)))))
 
 
+def scaled_to(image: np.ndarray, longest: int) -> np.ndarray:
+    """Scaled up or down so that its longest side is ``longest``."""
+    h, w = image.shape[:2]
+    return resize_bicubic(image, (max(1, round(w * longest / max(h, w))), max(1, round(h * longest / max(h, w)))))
+
+
+def framed(image: np.ndarray, box: tuple[float, float, float, float], colour: tuple[int, int, int], thick: int = 3) -> np.ndarray:
+    """The edges of a box (x, y, width, height in whole pixels) drawn in place, ``thick`` pixels wide around the edge; what is outside is cut."""
+    x1, y1 = int(box[0]), int(box[1])
+    x2, y2 = x1 + int(box[2]) - 1, y1 + int(box[3]) - 1
+    out, into = thick // 2, (thick - 1) // 2
+    cut = lambda a, b: slice(max(0, a), max(0, b + 1))
+    across, down = cut(x1 - out, x2 + out), cut(y1 - out, y2 + out)
+    for y in (y1, y2):
+        image[cut(y - out, y + into), across] = colour
+    for x in (x1, x2):
+        image[down, cut(x - out, x + into)] = colour
+    return image
+
+
 def crop(image: np.ndarray, x: float, y: float, width: float, height: float) -> np.ndarray:
     return image[int(y) : int(y + height), int(x) : int(x + width)]
 
@@ -176,6 +196,27 @@ def shares_within(image: np.ndarray, colours: dict[str, tuple[int, int, int]], x
     return {t: float((codes == _code(c)).mean()) if codes.size else 0.0 for t, c in colours.items()}
 
 
+class ColourSums:
+    """Pixels of each colour in any box by four lookups: a table of sums over all boxes from the corner, made once a colour."""
+
+    def __init__(self, image: np.ndarray, colours: dict[str, tuple[int, int, int]]) -> None:
+        codes = _codes(image)
+        self.shape, self.tags = codes.shape, list(colours)
+        self.sums = np.zeros((len(colours), codes.shape[0] + 1, codes.shape[1] + 1), np.int32)
+        for k, c in enumerate(colours.values()):
+            np.cumsum(np.cumsum(codes == _code(c), axis=0, dtype=np.int32), axis=1, out=self.sums[k, 1:, 1:])
+
+    def shares(self, x: np.ndarray, y: np.ndarray, width: np.ndarray, height: np.ndarray) -> np.ndarray:
+        """Tags by boxes: the share of each box's pixels that each tag's colour has; 0 in an empty box. Boxes are cut to the image."""
+        edge = lambda v, n: np.clip(np.asarray(v, float).astype(np.int64), 0, n)
+        x1, x2 = edge(x, self.shape[1]), edge(np.add(x, width), self.shape[1])
+        y1, y2 = edge(y, self.shape[0]), edge(np.add(y, height), self.shape[0])
+        x2, y2 = np.maximum(x1, x2), np.maximum(y1, y2)
+        s = self.sums
+        inside = s[:, y2, x2] - s[:, y1, x2] - s[:, y2, x1] + s[:, y1, x1]
+        return inside / np.maximum(1, (x2 - x1) * (y2 - y1))
+
+
 def _box_sums(f: np.ndarray, n: int) -> np.ndarray:
     s = np.zeros((f.shape[0] + 1, f.shape[1] + 1))
     s[1:, 1:] = f.cumsum(0).cumsum(1)

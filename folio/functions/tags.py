@@ -55,6 +55,14 @@ def prefixed_values(values: Column | str, prefix: str) -> Column:
     return F.transform_keys(held, lambda k, _: F.substring(k, len(prefix) + 1, 1 << 20))
 
 
+def extended_colours(colours: dict[str, int], tags: list[str]) -> dict[str, int]:
+    """Colour numbers with one more for each tag that has none, from the largest on (from 1), in the order of ``tags``."""
+    out = dict(colours)
+    for tag in tags:
+        out.setdefault(tag, max(out.values(), default=0) + 1)
+    return out
+
+
 def label(tag: Column | str) -> Column:
     """The tag, or O where there is none."""
     return F.coalesce(F.nullif(_c(tag), F.lit("")), F.lit("O"))

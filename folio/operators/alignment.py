@@ -236,6 +236,19 @@ class Match:
         total = len(self.b) + (high - low) - self.count() - self._junk(self.a, 0, low, high) - self._junk(self.b, 1, 0, len(self.b))
         return self.over(self.count(), total)
 
+    def summary(self) -> str:
+        return f"matches={self.count()} ratio={self.ratio():.4f} a={self.a_ratio():.4f} b={self.b_ratio():.4f} b_gap={self.b_gap_ratio():.4f}"
+
+    def detail(self) -> str:
+        """What matches, in brackets, between what stands on either side only."""
+        out, i, j = [], self.a_span[0], self.b_span[0]
+        for a, b, n in self.blocks:
+            if a > i or b > j:
+                out.append(f"{{{self.a[i:a]}|{self.b[j:b]}}}")
+            out.append(f"[{self.a[a : a + n]}]")
+            i, j = a + n, b + n
+        return "".join(out)
+
     def split_a(self, at: int) -> tuple[Match, Match]:
         """The parts before and from ``at`` of a; blocks across it are cut."""
         left = [(i, j, min(n, at - i)) for i, j, n in self.blocks if i < at]
@@ -248,6 +261,14 @@ class Match:
         return flip(left), flip(right)
 
 
+#: The columns of a comparison, as debug tables have them.
+DEBUG = (
+    "id int, tag string, match_multiple boolean, tag_value_pre string, tag_value_current string, start_index int, next_start_index int, reached_end boolean, "
+    "choice_combined string, choice_current string, choice_next string, accepted boolean, tag_to_choice_match boolean, sub_annotation boolean, "
+    "fm_combined string, fm_combined_detailed string, fm_current string, fm_current_detailed string, fm_next string, fm_next_detailed string"
+)
+
+
 def fuzzy_match(a: str, b: str) -> Match:
     short = min(len(a), len(b)) < EXACT_BELOW
     return Match(a, b, word_blocks(a, b) if short else local_blocks(a, b))
@@ -338,6 +359,18 @@ class Matcher:
         self.tags: dict[int, str] = {}
         self.sub_tags: dict[int, str] = {}
         self.bonded: dict[str, set[int]] = {}
+        self.target: dict = {}
+        #: Where each comparison is told about, as values of DEBUG.
+        self.report: list[tuple] | None = None
+
+    def _tell(self, value: str, at: int, after: int, end: bool | None, texts: tuple[str, str, str | None], accepted: bool, short: bool, sub: bool, parts: tuple[Match, Match, Match | None]) -> None:
+        if self.report is None:
+            return
+        both, here, there = parts
+        self.report.append((
+            len(self.report) + 1, self.target["name"], bool(self.target.get("match_multiple")), value[:at], value[at:], at, after, end, *texts,
+            accepted, short, sub, *(t for m in (both, here, there) for t in ((m.summary(), m.detail()) if m is not None else (None, None))),
+        ))
 
     def runs(self, normal: Callable[[str], str] = bare) -> list[Line]:
         """Contiguous untagged tokens of each line."""
@@ -366,18 +399,26 @@ class Matcher:
                 both = line.text + " " + after.text if after else line.text
                 m = fuzzy_match(value, both)
                 here, there = m.split_b(len(line.text) + 1) if after else (m, None)
-                if self.sequence(here, bool(found), there if there and there.blocks else None) and here.blocks:
+                accepted = bool(here.blocks) and self.sequence(here, bool(found), there if there and there.blocks else None)
+                before, end = at, None
+                if accepted:
                     found.append((line, *here.b_span))
                     near.add(line.position)
                     at = max(at, here.a_span[1])
                     while at < len(value) and value[at].isspace():
                         at += 1
-                    if at >= len(value):
-                        return found, k + 1
+                    end = at >= len(value)
+                self._tell(value, before, at, end, (both, line.text, after.text if after else None), accepted, False, sub, (m, here, there))
+                if end:
+                    return found, k + 1
             else:
                 both = line.text + (" " + after.text if after and not sub else "")
                 m = fuzzy_match(both, rest)
-                if m.blocks and self.choice(m):
+                accepted = bool(m.blocks) and self.choice(m)
+                if self.report is not None:
+                    here, there = m.split_a(len(line.text) + 1) if len(both) > len(line.text) else (m, None)
+                    self._tell(value, at, at, None, (both, line.text, after.text if after else None), accepted, True, sub, (m, here, there))
+                if accepted:
                     low, high = m.a_span
                     if low < len(line.text):
                         found.append((line, low, min(high, len(line.text))))
@@ -410,6 +451,7 @@ class Matcher:
     def run(self, targets: list[dict]) -> None:
         pending: tuple[dict, list] | None = None
         for target in targets:
+            self.target = target
             start = 0
             bonded = self.bonded.setdefault(target["name"], set()) if target["bonding"] else None
             while True:
@@ -443,14 +485,43 @@ class Matcher:
                 start = next((k for k, x in enumerate(after) if x.position > last), len(after))
 
 
+_TOKEN = ["page_idx", "line_idx", "token_idx"]
+
+
 def annotate(tokens: DataFrame, targets: DataFrame, max_gap: int = 5) -> DataFrame:
     """doc_id, page_idx, line_idx, token_idx, tag, sub_tag of the tokens that targets tag; tags that are there stay.
 
     Tokens (with ``tag``) and targets of one document meet in one group: its state runs from target to target. Pages
     and targets of a document bound a group; documents are independent.
     """
-    keys = ["page_idx", "line_idx", "token_idx"]
+
+    def rows(left: pd.DataFrame, matcher: Matcher) -> pd.DataFrame:
+        hit = sorted(matcher.tags)
+        got = left.loc[hit, ["doc_id", *_TOKEN]].copy()
+        got["tag"] = [matcher.tags[r] for r in hit]
+        got["sub_tag"] = [matcher.sub_tags.get(r) for r in hit]
+        return got
+
     out = "doc_id string, page_idx int, line_idx int, token_idx int, tag string, sub_tag string"
+    return _by_document(tokens, targets, max_gap, rows, out)
+
+
+def match_debug(tokens: DataFrame, targets: DataFrame, max_gap: int = 5) -> DataFrame:
+    """doc_id and DEBUG: a row a comparison of ``annotate``, numbered from 1 in each document.
+
+    Summaries count what matches and give its shares; details show what matches in brackets.
+    """
+    names = ["doc_id", *(c.split()[0] for c in DEBUG.split(", "))]
+
+    def rows(left: pd.DataFrame, matcher: Matcher) -> pd.DataFrame:
+        doc = left.doc_id.iloc[0] if len(left) else None
+        return pd.DataFrame([(doc, *r) for r in matcher.report], columns=names)
+
+    return _by_document(tokens, targets, max_gap, rows, f"doc_id string, {DEBUG}", report=True)
+
+
+def _by_document(tokens: DataFrame, targets: DataFrame, max_gap: int, rows: Callable[[pd.DataFrame, Matcher], pd.DataFrame], out: str, report: bool = False) -> DataFrame:
+    keys = _TOKEN
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values(keys).reset_index(drop=True)
@@ -463,13 +534,11 @@ def annotate(tokens: DataFrame, targets: DataFrame, max_gap: int = 5) -> DataFra
             if not tag:
                 lines[-1].append((row, text or ""))
         matcher = Matcher([x for x in lines if x], max_gap)
-        rows = right.sort_values("target_ord").to_dict("records")
-        matcher.run([t | {"value": list(t["value"]), "sub": [{"name": s["name"], "value": list(s["value"])} for s in (t["sub"] if t["sub"] is not None else ())]} for t in rows])
-        hit = sorted(matcher.tags)
-        got = left.loc[hit, ["doc_id", *keys]].copy()
-        got["tag"] = [matcher.tags[r] for r in hit]
-        got["sub_tag"] = [matcher.sub_tags.get(r) for r in hit]
-        return got
+        matcher.report = [] if report else None
+        wanted = right.sort_values("target_ord").to_dict("records")
+        subs = lambda t: [{"name": s["name"], "value": list(s["value"])} for s in (t["sub"] if t["sub"] is not None else ())]
+        matcher.run([t | {"value": list(t["value"]), "sub": subs(t)} for t in wanted])
+        return rows(left, matcher)
 
     a = tokens.select(F.col("doc_id").cast("string").alias("doc_id"), *keys, "text", F.coalesce("tag", F.lit("")).alias("tag"))
     b = targets.where("name IS NOT NULL").select("doc_id", "target_ord", "name", "value", "is_list", "match_multiple", "bonding", "require_next", "sub")

@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from folio.plans import document_queries, sequence_queries, source_queries, table_queries, text_queries  # noqa: F401
+    from folio.plans import document_queries, image_queries, sequence_queries, source_queries, table_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

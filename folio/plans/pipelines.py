@@ -87,15 +87,21 @@ def extracted_xml(token_rows: DataFrame, tag: str = "tag") -> DataFrame:
     return targets.documents_xml(items.join(one, ["doc_id", "item_ord"], "left").select("doc_id", "item_ord", "tag", "text", "sub_items"))
 
 
-def converted(files: DataFrame, model: str | None = None, cv: tuple[DataFrame, dict] | None = None) -> DataFrame:
-    """Layout files to XML: tags of the documents themselves, else those of page images, and over them the sequence model's."""
-    from folio.operators import raster
+def converted(files: DataFrame, model: str | None = None, cv: tuple[DataFrame, dict] | None = None, cv_model: str | None = None) -> DataFrame:
+    """Layout files to XML: tags of the documents themselves, else those of page images, and over them the sequence model's.
+
+    ``cv`` has page images and the colours of tags; with ``cv_model`` (an artifact) the images are what the model makes of
+    them, and pages that it fails on have no image tags.
+    """
+    from folio.operators import inference, raster
 
     rows = documents.tokens(files)
     good = rows.where("error IS NULL").withColumn("tag", T.get_tag("tags"))
     keys = ["doc_id", "page_idx", "line_idx", "token_idx"]
     if cv is not None:
         images, colours = cv
+        if cv_model is not None:
+            images = inference.predicted_images(images, cv_model, list(colours.values())).where("error IS NULL").drop("error")
         found = raster.annotate_by_images(good, images, documents.pages(rows), colours).select(*keys, "cv_tag")
         good = good.join(found, keys, "left").withColumn("tag", F.coalesce("cv_tag", "tag"))
     if model is not None:

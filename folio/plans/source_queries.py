@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,16 +9,7 @@ from folio.operators import targets, weights
 from folio.plans.catalog import query, table
 from folio.plans.text_queries import TOKENS, document_tokens
 from folio.sources import documents, files, sinks, tfrecord
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares; a local session may have none set, and takes its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="folio-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from folio.sources.shared import new_path as scratch
 
 
 @query("written_vocabulary", f"SELECT DISTINCT token FROM {TOKENS} WHERE token <> '\"'")

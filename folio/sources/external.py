@@ -57,8 +57,10 @@ def converted(files: DataFrame, convert: Callable[[bytes], bytes]) -> DataFrame:
 pdf_to_lxml = command("pdftoxml", "-blocks", "-noImage", "-noImageInline", "-fullFontName", "{input}", "{output}")
 
 
-def pdf_pages(dpi: int | None = None, size: tuple[int, int] | None = None, pages: tuple[int, int] | None = None, program: str = "pdftoppm", timeout: float = TIMEOUT) -> Callable[[bytes], list[bytes]]:
-    """A converter of a PDF to PNG pages in order: pages from and to, both included; an exact size (width, height), or dpi.
+def pdf_pages(dpi: int | None = None, size: tuple[int, int] | None = None, pages: tuple[int, int] | None = None,
+              longest: int | None = None, program: str = "pdftoppm", timeout: float = TIMEOUT) -> Callable[[bytes], list[bytes]]:
+    """A converter of a PDF to PNG pages in order: pages from and to, both included; an exact size (width, height), the
+    length of the longest side, or dpi.
 
     The document goes in by the program's standard input, pages come out as numbered files of the task's own folder.
     """
@@ -67,6 +69,8 @@ def pdf_pages(dpi: int | None = None, size: tuple[int, int] | None = None, pages
         args += ["-f", str(pages[0]), "-l", str(pages[1])]
     if size:
         args += ["-scale-to-x", str(size[0]), "-scale-to-y", str(size[1])]
+    elif longest:
+        args += ["-scale-to", str(longest)]
     elif dpi:
         args += ["-r", str(dpi)]
 
