@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 MATCH, MISMATCH, GAP, EXACT_BELOW = 2, -1, -2, 5
 #: Scores that are held at once, and pairs of texts that are filled together.
 CELLS, TOGETHER = 1 << 24, 32
+#: Cells from which a band is tried first, the length of its seeds, its margin, and the most that it may hold.
+BAND_FROM, SEED, MARGIN, BAND_CELLS = 1 << 21, 16, 64, 1 << 28
 
 Blocks = list[tuple[int, int, int]]
 Junk = Callable[[str, int], bool]
@@ -36,7 +38,7 @@ def local_blocks(a: str, b: str) -> Blocks:
     n, m = len(a), len(b)
     if not n or not m:
         return []
-    if (n + 1) * (m + 1) > CELLS:
+    if (n + 1) * (m + 1) > BAND_FROM:
         return many_blocks([(a, b)])[0]
     y, x = _codes(b), _codes(a)
     score = np.zeros((n + 1, m + 1), np.int32)
@@ -75,10 +77,105 @@ def _joined(pairs: list[tuple[int, int]]) -> Blocks:
     return blocks
 
 
+def _seeds(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How much further on in y each run of SEED characters stands that is in x once and in y once."""
+    if min(len(x), len(y)) < SEED:
+        return np.zeros(0, np.int64)
+
+    def once(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, key = len(z) - SEED + 1, np.zeros(len(z) - SEED + 1, np.uint64)
+        for k in range(SEED):
+            key = key * np.uint64(0x9E3779B97F4A7C15) + z[k : k + n].astype(np.uint64) + np.uint64(1)
+        found, at, count = np.unique(key, return_index=True, return_counts=True)
+        return found[count == 1], at[count == 1]
+
+    (kx, ix), (ky, iy) = once(x), once(y)
+    _, in_x, in_y = np.intersect1d(kx, ky, assume_unique=True, return_indices=True)
+    return iy[in_y] - ix[in_x]
+
+
+def banded_blocks(a: str, b: str) -> Blocks | None:
+    """``local_blocks`` from a band of diagonals around the seeds, or None if nothing proves that the band holds all of it.
+
+    An alignment that touches diagonal k (place in b less place in a) matches at most min(len(a), len(b) - k) characters,
+    or min(len(b), len(a) + k) below. If the band's best score is above what any diagonal outside allows, every best
+    alignment lies inside, and so does the way back. If it isn't, the score says how wide the band must be; it is
+    filled once more, unless that is half of all cells or more.
+    """
+    x, y = _codes(a), _codes(b)
+    n, m = len(x), len(y)
+    shifts = _seeds(x, y)
+    if not len(shifts):
+        return None
+    low, high = int(shifts.min()) - MARGIN, int(shifts.max()) + MARGIN
+    for _ in range(2):
+        low, high = max(low, -n), min(high, m)
+        cells = (high - low + 1) * n
+        if cells > BAND_CELLS or 2 * cells > n * m:
+            return None
+        best, pairs = _in_band(x, y, low, high)
+        # The nearest diagonals outside allow the most.
+        need_high, need_low = m - best // 2, -(n - best // 2)
+        if (high >= need_high or high >= m) and (low <= need_low or low <= -n):
+            return _joined(pairs)
+        low, high = min(low, need_low), max(high, need_high)
+    return None
+
+
+def _in_band(x: np.ndarray, y: np.ndarray, low: int, high: int) -> tuple[int, list[tuple[int, int]]]:
+    """The best score of paths on diagonals ``low`` to ``high``, and its matching places, last first; ties as in ``local_blocks``."""
+    n, m, width = len(x), len(y), high - low + 1
+    pad = n + width + abs(low) + 2
+    wide = np.full(m + 2 * pad, -1, np.int64)
+    wide[pad : pad + m] = y
+    before, step = np.zeros(width + 1, np.int64), np.arange(width) * -GAP
+    ways = np.zeros((n, width), np.uint8)  # 1: diagonal, 2: up, 3: left
+    top = (0, 0, 0)
+    for i in range(n):
+        first = i + low  # the place in y of the band's first cell
+        same = wide[pad + first : pad + first + width] == x[i]
+        across = before[:-1] + np.where(same, MATCH, MISMATCH)
+        up = before[1:] + GAP
+        now = np.maximum(np.maximum(across, up), 0)
+        from_, to = max(0, -first), min(width, m - first)
+        if from_ >= to:
+            if first >= m:
+                break
+            before[:] = 0
+            continue
+        now[:from_] = 0
+        now = np.maximum.accumulate(now + step) - step
+        now[:from_], now[to:] = 0, 0
+        ways[i] = np.where(now <= 0, 0, np.where(now == across, 1, np.where(now == up, 2, 3)))
+        ways[i, :from_] = ways[i, to:] = 0
+        k = int(now.argmax())
+        if now[k] > top[0]:
+            top = (int(now[k]), i, k)
+        before[:-1] = now
+    best, i, k = top
+    pairs = []
+    while best and i >= 0 and 0 <= k < width and (way := ways[i, k]):
+        if way == 1:
+            j = i + low + k
+            if x[i] == y[j]:
+                pairs.append((i, j))
+            i -= 1
+        elif way == 2:
+            i, k = i - 1, k + 1
+        else:
+            k -= 1
+    return best, pairs
+
+
 def many_blocks(texts: list[tuple[str, str]], cells: int = CELLS) -> list[Blocks]:
     """``local_blocks`` of many pairs of whole texts; pairs of similar lengths are filled together."""
     out: list[Blocks] = [[] for _ in texts]
-    todo = sorted((k for k, (a, b) in enumerate(texts) if a and b), key=lambda k: (len(texts[k][0]) // 64, len(texts[k][1])))
+    open_ = [k for k, (a, b) in enumerate(texts) if a and b]
+    for k in [k for k in open_ if len(texts[k][0]) * len(texts[k][1]) > BAND_FROM]:
+        if (found := banded_blocks(*texts[k])) is not None:
+            out[k] = found
+            open_.remove(k)
+    todo = sorted(open_, key=lambda k: (len(texts[k][0]) // 64, len(texts[k][1])))
     while todo:
         n = m = k = 0
         while k < min(len(todo), TOGETHER):

@@ -10,6 +10,8 @@ from folio.functions import geometry as G
 from folio.functions import tags as T
 from folio.functions.raster import encode_png
 
+#: Boxes of one page and tag that are merged without a grid.
+FEW_BOXES = 256
 SCHEMA = "doc_id string, page_idx int, block_ord int, tag string, x double, y double, width double, height double"
 
 
@@ -27,10 +29,12 @@ def _merge(boxes: np.ndarray, tolerance: float) -> list[tuple[int, list[float]]]
     """Boxes (x, y, width, height) of one tag in order, to (place of the leading box, merged box).
 
     The first box left takes in all that touch it, widened sideways by 1 + tolerance, and tries again; when nothing
-    touches it, it is done. Edges are those of whole pixels, included.
+    touches it, it is done. Edges are those of whole pixels, included. Many boxes are looked up in a grid.
     """
     left, out = list(range(len(boxes))), []
     edges = np.column_stack([boxes[:, 0], boxes[:, 1], boxes[:, 0] + boxes[:, 2] - 1, boxes[:, 1] + boxes[:, 3] - 1])
+    if len(boxes) > FEW_BOXES:
+        return _merge_in_grid(edges, 1 + tolerance)
     while left:
         lead = left.pop(0)
         x1, y1, x2, y2 = edges[lead]
@@ -47,6 +51,47 @@ def _merge(boxes: np.ndarray, tolerance: float) -> list[tuple[int, list[float]]]
     return out
 
 
+def _merge_in_grid(edges: np.ndarray, margin: float) -> list[tuple[int, list[float]]]:
+    """``_merge`` for a page of many boxes (x1, y1, x2, y2): a box meets those in the cells it grows into, not all.
+
+    Growing is monotone, so the order in which boxes are taken in doesn't change where it ends.
+    """
+    low = edges[:, :2].min(0)
+    side = np.maximum(1.0, 2 * np.median(np.maximum(edges[:, 2:] - edges[:, :2], 1), axis=0))
+    first = np.floor((edges[:, :2] - low) / side).astype(np.int64)
+    last = np.floor((np.maximum(edges[:, 2:], edges[:, :2]) - low) / side).astype(np.int64)
+    across, down = (last - first + 1).T
+    wide = across * down > 64  # boxes over many cells are looked at each time
+    cells: dict[tuple[int, int], list[int]] = {}
+    for k in np.flatnonzero(~wide):
+        for cx in range(first[k, 0], last[k, 0] + 1):
+            for cy in range(first[k, 1], last[k, 1] + 1):
+                cells.setdefault((cx, cy), []).append(k)
+    spread, free, out = np.flatnonzero(wide), np.ones(len(edges), bool), []
+    end = last.max(0)
+    for lead in range(len(edges)):
+        if not free[lead]:
+            continue
+        free[lead] = False
+        x1, y1, x2, y2 = edges[lead]
+        done: tuple[int, int, int, int] | None = None  # cells whose boxes are all taken in
+        while True:
+            a1, b1 = (int(v) for v in np.maximum(0, np.floor((np.array([x1 - margin, min(y1, y2)]) - low) / side)))
+            a2, b2 = (int(v) for v in np.minimum(end, np.floor((np.array([x2 + margin, max(y1, y2)]) - low) / side)))
+            near = [k for cx in range(a1, a2 + 1) for cy in range(b1, b2 + 1) if not (done and done[0] + 1 < cx < done[2] and done[1] + 1 < cy < done[3]) for k in cells.get((cx, cy), ()) if free[k]]
+            near = np.unique(np.concatenate([np.array(near, np.int64), spread[free[spread]]]))
+            e = edges[near]
+            hit = near[(e[:, 0] <= x2 + margin) & (e[:, 2] >= x1 - margin) & (e[:, 1] <= y2) & (e[:, 3] >= y1)]
+            if not len(hit):
+                break
+            free[hit] = False
+            done = (a1, b1, a2, b2)
+            x1, y1 = min(x1, edges[hit, 0].min()), min(y1, edges[hit, 1].min())
+            x2, y2 = max(x2, edges[hit, 2].max()), max(y2, edges[hit, 3].max())
+        out.append((lead, [x1, y1, x2 - x1 + 1, y2 - y1 + 1]))
+    return out
+
+
 _BOXES = "array<struct<block_ord: int, x: double, y: double, width: double, height: double>>"
 
 

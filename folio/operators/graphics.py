@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import keypoints as K
 from folio.functions import raster as R
-from folio.operators.joins import with_fallback
+from folio.operators.joins import dealt, with_fallback
 from folio.sources.shared import written
 
 #: Bands of a descriptor: four of sixteen bits in each long.
@@ -162,6 +162,7 @@ def scored(placed: DataFrame, graphics: DataFrame, pages: DataFrame) -> DataFram
             out = b.drop_columns(["_page", "_graphic"])
             yield out.append_column("score", pa.array(score, pa.float64()))
 
+    placed = dealt(placed)
     met = placed.join(graphics.select("doc_id", "graphic_id", F.col("png").alias("_graphic")), ["doc_id", "graphic_id"]).join(pages.select("doc_id", "page_idx", F.col("png").alias("_page")), ["doc_id", "page_idx"])
     kind = placed.select(*placed.columns).withColumn("score", F.lit(0.0)).schema
     return met.select(*placed.columns, "_page", "_graphic").mapInArrow(rows, kind)

@@ -17,6 +17,13 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def dealt(df: DataFrame, *by: str | Column) -> DataFrame:
+    """``df`` dealt to all cores at least, for a step whose work is large beside its bytes: small partitions are not merged again."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *by)
+
+
 def pair_key(path: Column, by: str = "directory") -> Column:
     """What files are paired by: their directory, or their name up to the first dot."""
     return F.regexp_extract(path, "^(.*)/[^/]*$", 1) if by == "directory" else F.regexp_extract(path, r"([^/.]*)[^/]*$", 1)
@@ -89,15 +96,51 @@ def in_vocabulary(lines: DataFrame, vocabulary: DataFrame, token: Column) -> Dat
     return lines.join(words, F.lower(token) == F.col("_word"), "left_semi")
 
 
+#: Boxes of one page and tag that are compared without a grid.
+FEW_BOXES = 64
+
+
 def overlapping(blocks: DataFrame, margin: float = 1) -> DataFrame:
-    """Pairs of blocks of one page and tag whose boxes touch, the first widened sideways: keys equal, boxes by range.
+    """Pairs of blocks of one page and tag whose boxes touch, widened sideways: doc_id, page_idx, tag, left_ord, right_ord.
 
-    ``blocks``: doc_id, page_idx, tag, block_ord, bbox. Pages hold few blocks, so the equal keys bound the pairs.
+    ``blocks``: doc_id, page_idx, tag, block_ord, bbox. On pages with many boxes of a tag a grid of cells is part of the
+    join's keys: cells of a level are as wide as the boxes whose level it is, so a box lies in four of them at most, on
+    its own level and on each coarser one that is in use. A pair is reported in the one cell that holds the corner where
+    the two boxes begin to overlap. Work follows the boxes and the pairs that touch, not the square of a page's boxes.
     """
-    a, b = blocks.alias("a"), blocks.alias("b")
-    keys = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page_idx") == F.col("b.page_idx")) & F.col("a.tag").eqNullSafe(F.col("b.tag"))
-    met = a.join(b, keys & (F.col("a.block_ord") < F.col("b.block_ord")) & G.touches(F.col("a.bbox"), F.col("b.bbox"), margin))
-    return met.select("a.doc_id", "a.page_idx", "a.tag", F.col("a.block_ord").alias("left_ord"), F.col("b.block_ord").alias("right_ord"))
+    x, y, w, h = (F.col(f"bbox.{c}") for c in ("x", "y", "width", "height"))
+    keys = ["doc_id", "page_idx", "tag"]
+    many = blocks.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > FEW_BOXES).select(*[F.col(c).alias(f"_{c}") for c in keys])
+    same = (F.col("doc_id") == F.col("_doc_id")) & (F.col("page_idx") == F.col("_page_idx")) & F.col("tag").eqNullSafe(F.col("_tag"))
+    reach = F.greatest(w, F.lit(1)) + 2 * margin, F.greatest(h, F.lit(1))
+    level = F.ceil(F.log2(F.greatest(*reach))).cast("int")
+    placed = blocks.join(many, same, "left").select(*blocks.columns, F.when(F.col("_doc_id").isNotNull(), level).otherwise(-1).alias("_level"))
+    used = placed.agg(F.sort_array(F.collect_set("_level")).alias("_used"))  # one row: some sixty levels at most
+    left, top = x - margin, y
+    side = lambda lv: F.pow(F.lit(2.0), lv)
+    cell = lambda v, lv: F.floor(v / side(lv)).cast("long")
+
+    def cells(levels: Column) -> Column:
+        at = lambda lv: F.transform(
+            F.sequence(cell(left, lv), cell(left + reach[0], lv)),
+            lambda cx: F.transform(F.sequence(cell(top, lv), cell(top + reach[1], lv)), lambda cy: F.struct(lv.alias("on"), cx.alias("cx"), cy.alias("cy"))),
+        )
+        one = F.array(F.array(F.array(F.struct(F.lit(-1).alias("on"), F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy")))))
+        return F.flatten(F.flatten(F.when(F.col("_level") < 0, one).otherwise(F.transform(levels, at))))
+
+    columns = [*keys, "block_ord", "bbox", "_level"]
+    b = placed.select(*columns, F.inline(cells(F.array("_level")))).alias("b")
+    a = placed.crossJoin(F.broadcast(used)).select(*columns, F.inline(cells(F.filter("_used", lambda v: v >= F.col("_level"))))).alias("a")
+    f = lambda side_, c: F.col(f"{side_}.{c}")
+    met = (f("a", "doc_id") == f("b", "doc_id")) & (f("a", "page_idx") == f("b", "page_idx")) & f("a", "tag").eqNullSafe(f("b", "tag"))
+    for c in ("on", "cx", "cy"):
+        met &= f("a", c) == f("b", c)
+    corner = F.greatest(f("a", "bbox.x"), f("b", "bbox.x")) - margin, F.greatest(f("a", "bbox.y"), f("b", "bbox.y"))
+    here = (f("a", "on") < 0) | ((cell(corner[0], f("a", "on")) == f("a", "cx")) & (cell(corner[1], f("a", "on")) == f("a", "cy")))
+    once = (f("a", "block_ord") != f("b", "block_ord")) & ((f("b", "_level") > f("a", "_level")) | (f("a", "block_ord") < f("b", "block_ord")))
+    pairs = a.join(b, met & once & here & G.touches(f("a", "bbox"), f("b", "bbox"), margin))
+    orders = f("a", "block_ord"), f("b", "block_ord")
+    return pairs.select("a.doc_id", "a.page_idx", "a.tag", F.least(*orders).alias("left_ord"), F.greatest(*orders).alias("right_ord"))
 
 
 def nearest_centroid(vectors: DataFrame, centroids: DataFrame, vector: str = "embedding") -> DataFrame:

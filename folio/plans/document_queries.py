@@ -1,11 +1,11 @@
-"""Queries on page documents: XML targets, alignment, blocks, images, sequence models. They return rows without SQL twins."""
+"""Queries on page documents: XML targets, alignment, blocks, images, sequence models."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.operators import alignment, blocks, targets
+from folio.operators import alignment, blocks, joins, targets
 from folio.plans.catalog import query, table
 from folio.plans.pipelines import feature_rows
 
@@ -77,6 +77,7 @@ def match_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each whole turn aligned with the next of its conversation."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = table(spark, sf_dir, "conversations").withColumn("next", F.lead("text").over(w)).where("next IS NOT NULL")
+    rows = joins.dealt(rows.select("conv_id", "turn", "text", "next"))
     return rows.select("conv_id", "turn", alignment.match_stats(F.col("text"), F.col("next")).alias("m")).select("conv_id", "turn", "m.match_count", F.round("m.ratio", 9).alias("ratio"), F.round("m.b_gap_ratio", 9).alias("b_gap_ratio"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import raster as R
-from folio.operators import blocks, graphics, inference, raster
+from folio.operators import blocks, graphics, inference, joins, raster
 from folio.plans.catalog import query, table
 
 CELL, ACROSS, DOWN, PAGE = 10, 10, 8, (340, 440)
@@ -51,7 +51,7 @@ def painted(items: DataFrame) -> tuple[DataFrame, DataFrame]:
 
         return rows
 
-    picked = items.select("item_id", "text").repartition("item_id")
+    picked = joins.dealt(items.select("item_id", "text"), "item_id")
     return picked.mapInArrow(paint(False), "doc_id long, graphic_id long, png binary"), picked.mapInArrow(paint(True), "doc_id long, page_idx int, png binary")
 
 
