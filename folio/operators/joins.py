@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import geometry as G
 from folio.operators.tokens import with_ordinal
+from folio.sources.shared import written
 
 #: Rows of a side that may be broadcast when its count is known.
 BROADCAST_ROWS = 200_000
@@ -62,17 +63,23 @@ def rows_in_order(df: DataFrame, by: list[str], name: str = "row") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*by)) - 1)
 
 
-def numbered_in_ranges(df: DataFrame, ranges: list[Column], by: list[str | Column], name: str = "n") -> DataFrame:
-    """Rows numbered from 1 in the order of ``ranges`` and then ``by``, for tables of any size.
+def numbered(df: DataFrame, by: list[str | Column], name: str = "n") -> DataFrame:
+    """Rows numbered from 1 in the order of ``by``, for tables of any size.
 
-    Each range is numbered on its own and moved on by the rows of the ranges before; one row a range meets in one task.
+    Rows are dealt by ranges of ``by``, taken from a sample, so tasks are even whatever the values are; each range is
+    numbered on its own and moved on by the rows of the ranges before, of which there is a row a task. The dealt table
+    is written: where a row lies must not change between the two. Rows that are equal in ``by`` are numbered as they lie.
     """
-    keys = [f"_r{k}" for k in range(len(ranges))]
-    cut = df.withColumns(dict(zip(keys, ranges, strict=True)))
-    counts = cut.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    before = counts.withColumn("_before", F.sum("_rows").over(Window.orderBy(*keys)) - F.col("_rows")).drop("_rows")
-    own = cut.withColumn("_own", F.row_number().over(Window.partitionBy(*keys).orderBy(*by)))
-    return own.join(before, keys).withColumn(name, F.col("_before") + F.col("_own")).drop("_own", "_before", *keys)
+    spark = df.sparkSession
+    keys = {f"_k{k}": F.expr(c) if isinstance(c, str) else c for k, c in enumerate(by)}
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.withColumns(keys).repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id())
+    lying = written(ranged, "ranges")
+    counts = lying.groupBy("_part").agg(F.count("*").alias("_rows"))
+    before = counts.select("_part", (F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).alias("_before"))
+    own = lying.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)))
+    met = own.join(F.broadcast(before), "_part")  # a row a task
+    return met.withColumn(name, F.col("_before") + F.col("_own")).drop("_own", "_before", "_part", *keys)
 
 
 def zip_lists(a: DataFrame, b: DataFrame, by_a: list[str], by_b: list[str], same_length: bool = True) -> DataFrame:

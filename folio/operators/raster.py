@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.functions import geometry as G
 from folio.functions import raster as R
 
 
@@ -141,6 +142,36 @@ def graphics_on_pages(graphics: DataFrame, pages: DataFrame, least: float = 0.6)
     return best.where(F.col("b.m.score") >= least).select("doc_id", "graphic_id", "b.page_idx", *[F.col(f"b.m.{n}").alias(n) for n in ("score", "x", "y", "width", "height")])
 
 
+def annotation_documents(graphics: DataFrame, pages: DataFrame, found: DataFrame, created: str, version: str = "0.0.2") -> DataFrame:
+    """doc_id, data: what was found in a document and what wasn't, as a struct that ``to_json`` writes (nulls left out).
+
+    ``graphics``: doc_id, graphic_id, ord, href, category, related_id. ``pages``: doc_id, page_idx, file_name, width, height
+    (pixels), pt_width, pt_height. ``found``: doc_id, graphic_id, page_idx, score, x, y, width, height. Pages and categories
+    are numbered from 1, categories in the order in which the document's graphics first have them. Boxes are cut to the
+    page, in whole pixels and in points to three digits. A document without graphics or without pages has empty lists.
+    """
+    sizes = pages.select("doc_id", "page_idx", *[F.col(c).alias(f"_{c}") for c in ("width", "height", "pt_width", "pt_height")])
+    met = graphics.join(found.withColumn("_found", F.lit(True)), ["doc_id", "graphic_id"], "left").join(sizes, ["doc_id", "page_idx"], "left")
+    page = G.image_box(F.col("_width"), F.col("_height"))
+    box = G.box(*[F.col(c) for c in ("x", "y", "width", "height")])
+    whole = G.to_list(G.rounded(G.intersection(box, page), 0))
+    points = G.to_list(G.points_of_pixels(box, page, F.col("_pt_width") / F.col("_width"), F.col("_pt_height") / F.col("_height")))
+    row = F.struct("ord", "graphic_id", "href", "category", "related_id", (F.col("page_idx") + 1).alias("image_id"), whole.alias("bbox"), points.alias("pt_bbox"), "score", F.coalesce("_found", F.lit(False)).alias("found"))
+    rows = met.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("g"))
+    image = F.struct((F.col("page_idx") + 1).alias("id"), "file_name", "width", "height", F.array(F.lit(0.0), F.lit(0.0), F.col("pt_width").cast("double"), F.col("pt_height").cast("double")).alias("pt_bbox"))
+    both = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(image)).alias("images")).join(rows, "doc_id", "full")
+    listed = F.coalesce("g", F.array().cast(rows.schema["g"].dataType))
+    names = F.array_distinct(F.transform(listed, lambda r: r["category"]))
+    known = lambda r: [r["href"].alias("file_name"), F.array_position(names, r["category"]).cast("int").alias("category_id"), r["related_id"].alias("related_element_id")]
+    annotations = F.transform(F.filter(listed, lambda r: r["found"]), lambda r: F.struct(*known(r), r["image_id"].alias("image_id"), r["bbox"].alias("bbox"), r["pt_bbox"].alias("pt_bbox"), r["score"].alias("_score")))
+    missing = F.transform(F.filter(listed, lambda r: ~r["found"]), lambda r: F.struct(*known(r)))
+    categories = F.transform(names, lambda c, i: F.struct((i + 1).alias("id"), c.alias("name")))
+    info = F.struct(F.lit(version).alias("version"), F.lit(created).alias("date_created"))
+    images = F.coalesce("images", F.array().cast(both.schema["images"].dataType))
+    data = F.struct(info.alias("info"), images.alias("images"), annotations.alias("annotations"), categories.alias("categories"), F.when(F.size(missing) > 0, missing).alias("missing_annotations"))
+    return both.select("doc_id", data.alias("data"))
+
+
 def coco_documents(found: DataFrame) -> DataFrame:
     """doc_id, json: images, annotations and categories of a document, categories numbered from 1 by place of first use."""
     ordered = F.array_sort(F.collect_list(F.struct("page_idx", "graphic_id", "category", "x", "y", "width", "height")))

@@ -272,6 +272,26 @@ def graphics(root: ET.Element, directory: str = "") -> list[dict]:
     return out
 
 
+def documents_with_coords(xmls: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, xml: each document's XML with the places of its graphics; documents without any come back as they parse.
+
+    ``xmls``: doc_id, xml. ``found``: doc_id, href, page_no, x, y, width, height. A null XML stays null.
+    """
+    box = F.struct("page_no", "x", "y", "width", "height")
+    places = found.groupBy("doc_id", "href").agg(F.array_sort(F.collect_list(box)).alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("href", "at"))).alias("at"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for xml, at in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                boxes = {href: [tuple(p.values()) for p in places] for href, places in (at or ())}
+                out.append(None if xml is None else with_coords(xml, boxes))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["doc_id", "xml"])
+
+    kind = xmls.schema["doc_id"].dataType.simpleString()
+    return xmls.select("doc_id", "xml").join(places, "doc_id", "left").mapInArrow(rows, f"doc_id {kind}, xml string")
+
+
 def with_coords(xml: str, boxes: dict[str, list[tuple[int, float, float, float, float]]]) -> str:
     """The XML with a coords attribute on graphics, by href: page, x, y, width, height of each box."""
     root = parse_xml(xml)

@@ -139,3 +139,46 @@ def untagged_lines_and_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     lines = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit(0).alias("page_idx"), F.col("turn").cast("int").alias("line_idx"), F.lit(0).alias("token_idx"), F.regexp_replace("text", "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", " ").alias("text"), F.when(F.col("role") == "user", "b-abstract").when(F.col("role") == "system", "b-manuscript_title").alias("tag"))
     return extracted_xml(lines)
+
+
+@query("saved_model_predictions", """SELECT item_id AS doc_id, (k - 1)::BIGINT AS ord, CASE WHEN w[1:1] = 't' THEN 'b-t' ELSE 'O' END AS prediction FROM (SELECT item_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS k FROM benchmark)""")
+def saved_model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sequence model is saved, loaded by its path, and labels the words of the benchmark."""
+    import numpy as np
+
+    from folio.operators import crf
+    from folio.sources.shared import new_path
+
+    model = crf.Crf(["O", "b-t"], {"word[:1]=t": 0}, np.array([[-1.0, 1.0]]), np.zeros((2, 2)))
+    path = new_path(spark, "model")
+    crf.save(spark, model.to_json(), path)
+    words = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit(0).alias("page_idx"), F.lit(0).alias("line_idx"), F.posexplode(F.split("text", " ")).alias("token_idx", "text"))
+    return crf.predictions(feature_rows(words), crf.load(spark, path))
+
+
+@query("values_cut_out", """SELECT s_suppkey, 'a' || s_suppkey AS given, s_suppkey::VARCHAR AS value, repeat('_', 7) || repeat('x', length(s_suppkey::VARCHAR) + 6) || repeat('_', 5) AS labels FROM supplier""")
+def values_cut_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a character model cuts out of a text, and which characters of a text a value matches."""
+    import numpy as np
+
+    from folio.operators import crf
+
+    digits = crf.Crf(["_", "x"], {"ch.isdigit": 0}, np.array([[-1.0, 1.0]]), np.zeros((2, 2)))
+    s = F.col("s_suppkey").cast("string")
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("a"), s).alias("given"), F.concat(F.lit("key #-"), s).alias("wanted"))
+    labels = crf.aligned_labels(F.col("wanted"), F.concat(F.lit("some - "), F.col("wanted"), F.lit(" more")))
+    return rows.select("s_suppkey", "given", crf.autocut_column(digits.to_json())("given").alias("value"), labels.alias("labels"))
+
+
+@query("values_over_gaps", """WITH s AS (SELECT s_suppkey, s_suppkey % 9 AS k FROM supplier), t AS (SELECT s_suppkey::VARCHAR AS doc_id, 0 AS line_idx, j::INT AS token_idx, CASE WHEN j = 0 THEN 'b-part' ELSE 'i-part' END AS tag FROM s, range(3) r(j)
+UNION ALL SELECT s_suppkey::VARCHAR, (k + 1)::INT, j::INT, 'i-part' FROM s, range(3) r(j) WHERE k + 1 <= 6) SELECT * FROM t""")
+def values_over_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A value in two lines is matched over at most five lines between them."""
+    k = F.col("s_suppkey") % 9
+    lines = F.concat(F.array(F.lit("wonderful quartz jump")), F.array_repeat(F.lit("0000"), k.cast("int")), F.array(F.lit("black vex sphinx")))
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("doc_id"), F.posexplode(lines).alias("line_idx", "line"))
+    rows = rows.select("doc_id", F.lit(0).alias("page_idx"), "line_idx", F.posexplode(F.split("line", " ")).alias("token_idx", "text")).withColumn("tag", F.lit(None).cast("string"))
+    off, none = F.lit(False), F.array().cast("array<struct<name: string, value: array<string>>>")
+    wanted = rows.select("doc_id").distinct().select("doc_id", F.lit(0).alias("target_ord"), F.lit("part").alias("name"), F.array(F.lit("wonderful quartz jump black vex sphinx")).alias("value"))
+    found = alignment.annotate(rows, wanted.withColumns({"is_list": off, "match_multiple": off, "bonding": off, "require_next": off, "sub": none}))
+    return found.select("doc_id", "line_idx", "token_idx", "tag")

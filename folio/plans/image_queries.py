@@ -185,3 +185,82 @@ def match_debug_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = docs.select("doc_id", F.inline(F.array(one(0, "name", F.col("name")), one(1, "city", F.lit("q w")))))
     found = alignment.match_debug(rows, wanted.withColumns({"is_list": off, "match_multiple": off, "bonding": off, "require_next": off, "sub": none}))
     return found.drop(*[c for c in found.columns if c.startswith("fm_")])
+
+
+_GRAPHICS = """g AS (SELECT s_nationkey AS doc_id, s_suppkey AS k, 'g' || s_suppkey || '.png' AS href, ['fig', 'table', 'formula'][(s_suppkey % 3 + 1)::INT] AS category, (s_suppkey % 4)::INT AS page, 3.0 * (s_suppkey % 30) - 2 AS x, 2.0 * (s_suppkey % 19) AS y, 20.0 + s_suppkey % 50 AS w, 10.0 + s_suppkey % 45 AS h FROM supplier),
+c AS (SELECT doc_id, category, row_number() OVER (PARTITION BY doc_id ORDER BY min(k)) AS id FROM g GROUP BY 1, 2)"""
+
+
+def supplier_graphics(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Graphics of documents (nations), their pages, and where all but every fifth were found."""
+    s = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").withColumn("doc_id", F.col("s_nationkey"))
+    kind = F.element_at(F.array(*map(F.lit, ("fig", "table", "formula"))), (s % 3 + 1).cast("int"))
+    listed = rows.select("doc_id", s.alias("graphic_id"), s.alias("ord"), F.concat(F.lit("g"), s.cast("string"), F.lit(".png")).alias("href"), kind.alias("category"), F.when(s % 2 == 0, F.concat(F.lit("id"), s.cast("string"))).alias("related_id"))
+    pages = rows.select("doc_id").distinct().withColumn("page_idx", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    pages = pages.select("doc_id", "page_idx", F.format_string("d/page_%05d.jpg", F.col("page_idx") + 1).alias("file_name"), F.lit(100.0).alias("width"), F.lit(80.0).alias("height"), F.lit(75.0).alias("pt_width"), F.lit(60.0).alias("pt_height"))
+    box = {"x": 3.0 * (s % 30) - 2, "y": 2.0 * (s % 19), "width": 20.0 + s % 50, "height": 10.0 + s % 45}
+    found = rows.where(s % 5 != 0).select("doc_id", s.alias("graphic_id"), (s % 4).cast("int").alias("page_idx"), F.lit(0.5).alias("score"), *[v.alias(n) for n, v in box.items()])
+    return listed, pages, found
+
+
+@query("annotation_documents", f"""WITH {_GRAPHICS}, b AS (SELECT *, greatest(x, 0) AS x1, y AS y1, least(x + w, 100) AS x2, least(y + h, 80) AS y2 FROM g)
+SELECT doc_id, href AS file_name, c.id::INT AS category_id, CASE WHEN k % 5 <> 0 THEN page + 1 END AS image_id, CASE WHEN k % 5 <> 0 THEN [x1, y1, x2 - x1, y2 - y1]::DOUBLE[] END AS bbox,
+CASE WHEN k % 5 <> 0 THEN [x1 * 0.75, y1 * 0.75, (x2 - x1) * 0.75, (y2 - y1) * 0.75]::DOUBLE[] END AS pt_bbox, CASE WHEN k % 2 = 0 THEN 'id' || k END AS related_element_id FROM b JOIN c USING (doc_id, category)""")
+def annotation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of annotations, as JSON that is read back: what was found, and what wasn't."""
+    out = raster.annotation_documents(*supplier_graphics(spark, sf_dir), created="2020-01-01T00:00:00")
+    both = out.select("doc_id", F.from_json(F.to_json("data"), out.schema["data"].dataType).alias("d"))
+    none = {"image_id": F.lit(None).cast("int"), "bbox": F.lit(None).cast("array<double>"), "pt_bbox": F.lit(None).cast("array<double>")}
+    columns = ["doc_id", "file_name", "category_id", "image_id", "bbox", "pt_bbox", "related_element_id"]
+    found = both.select("doc_id", F.inline("d.annotations")).select(columns)
+    missing = both.select("doc_id", F.inline("d.missing_annotations")).withColumns(none).select(columns)
+    return found.unionByName(missing)
+
+
+@query("coordinates_in_xml", f"""WITH {_GRAPHICS}
+SELECT doc_id, '<body>' || string_agg('<graphic href="' || href || CASE WHEN k % 5 <> 0 THEN '" coords="' || (page + 1) || ',' || x::DOUBLE || ',' || y::DOUBLE || ',' || w::DOUBLE || ',' || h::DOUBLE ELSE '' END || '" />', '' ORDER BY k) || '</body>' AS xml FROM g GROUP BY doc_id""")
+def coordinates_in_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of found graphics as attributes of a document's XML."""
+    from folio.operators import targets
+
+    listed, _, found = supplier_graphics(spark, sf_dir)
+    node = F.concat(F.lit('<graphic href="'), F.col("href"), F.lit('"/>'))
+    nodes = F.transform(F.array_sort(F.collect_list(F.struct("ord", node.alias("node")))), lambda r: r["node"])
+    xmls = listed.groupBy("doc_id").agg(F.concat(F.lit("<body>"), F.array_join(nodes, ""), F.lit("</body>")).alias("xml"))
+    places = found.join(listed.select("doc_id", "graphic_id", "href"), ["doc_id", "graphic_id"]).select("doc_id", "href", (F.col("page_idx") + 1).alias("page_no"), "x", "y", "width", "height")
+    return targets.documents_with_coords(xmls, places)
+
+
+@query("page_media_boxes", """SELECT s_suppkey::VARCHAR AS path, p::INT AS page_idx, CASE WHEN p = 0 THEN 0.0::DOUBLE ELSE (s_suppkey % 7)::DOUBLE END AS x, 0.0::DOUBLE AS y, CASE WHEN p = 0 THEN 595.0::DOUBLE ELSE 100.0::DOUBLE + s_suppkey % 300 END AS width, CASE WHEN p = 0 THEN 842.5::DOUBLE ELSE 200.0::DOUBLE END AS height FROM supplier, range(2) r(p)""")
+def page_media_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media boxes of the pages of small PDFs, the first page's from its parent."""
+    from folio.sources import pdf
+
+    s = F.col("s_suppkey")
+    body = F.format_string(
+        "%%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Kids [3 0 R 4 0 R] /Count 2 /MediaBox [0 0 595 842.5] >>\nendobj\n"
+        "3 0 obj\n<< /Type /Page /Parent 2 0 R >>\nendobj\n4 0 obj\n<< /Type /Page /Parent 2 0 R /MediaBox [%d 0 %d 200] >>\nendobj\n",
+        s % 7, s % 7 + 100 + s % 300,
+    )
+    files = table(spark, sf_dir, "supplier").select(s.cast("string").alias("path"), F.encode(body, "UTF-8").alias("content"))
+    return pdf.page_boxes(files).where("error IS NULL").drop("error")
+
+
+@query("likeness_of_plain_pages", """WITH p AS (SELECT s_suppkey AS k, (s_suppkey % 256)::DOUBLE AS a, (s_suppkey * 7 % 256)::DOUBLE AS b FROM supplier)
+SELECT k::VARCHAR AS doc_id, round((2 * a * b + 6.5025) / (a * a + b * b + 6.5025), 6) AS likeness, a::INT AS level FROM p""")
+def likeness_of_plain_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structural similarity of two evenly grey pages, and the grey of a page with its channels swapped."""
+    s = F.col("s_suppkey")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            likeness, level = [], []
+            for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                one, two = (R.grey(R.swap_channels(np.full((16, 16, 3), v, np.uint8))) for v in (x, y))
+                likeness.append(round(R.similarity(one, two), 6))
+                level.append(int(one[0, 0]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(likeness), pa.array(level, pa.int32())], names=["doc_id", "likeness", "level"])
+
+    picked = table(spark, sf_dir, "supplier").select(s.cast("string").alias("doc_id"), (s % 256).alias("a"), (s * 7 % 256).alias("b"))
+    return picked.mapInArrow(rows, "doc_id string, likeness double, level int")

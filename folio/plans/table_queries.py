@@ -205,7 +205,7 @@ def moved_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("points_of_pixels", f"WITH b AS (SELECT {BOX_SQL}) SELECT l_orderkey, l_linenumber, l_partkey, round_even(x * 0.75, 3) AS x, round_even(y * 0.75, 3) AS y, round_even(greatest(0, least(x + w, 60) - x) * 0.75, 3) AS w, round_even(greatest(0, least(y + h, 30) - y) * 0.75, 3) AS h FROM b")
 def points_of_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G15, G16, P13, S21."""
+    """G15, G16, P13."""
     page = G.image_box(F.lit(60), F.lit(30))
     return boxes(spark, sf_dir).select(*KEYS, *parts(G.points_of_pixels(F.col("bbox"), page, F.lit(0.75), F.lit(0.75))))
 
@@ -347,7 +347,7 @@ def transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stable_priorities", "SELECT p_partkey, row_number() OVER (ORDER BY -(p_size % 5), p_partkey) AS n FROM part")
 def stable_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By priority, the highest first, then by place."""
-    found = joins.numbered_in_ranges(table(spark, sf_dir, "part").select("p_partkey", "p_size"), [-(F.col("p_size") % 5), F.floor(F.col("p_partkey") / 4096)], ["p_partkey"])
+    found = joins.numbered(table(spark, sf_dir, "part").select("p_partkey", "p_size"), [-(F.col("p_size") % 5), "p_partkey"])
     return found.select("p_partkey", "n")
 
 
@@ -397,13 +397,13 @@ def images_with_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("coco_counts", "SELECT l_orderkey AS image_id, l_returnflag AS category, count(*) AS annotations, round(sum(CAST(l_quantity AS DOUBLE) * l_linenumber * 3), 3) AS area FROM lineitem GROUP BY 1, 2")
 def coco_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Annotations by image and category."""
+    """Boxes by page and category, and the area that they cover."""
     b = F.col("bbox")
     return boxes(spark, sf_dir).groupBy(F.col("l_orderkey").alias("image_id"), F.col("l_returnflag").alias("category")).agg(F.count("*").alias("annotations"), F.round(F.sum(b["width"] * b["height"]), 3).alias("area"))
 
 
 @query("match_ranges", "SELECT l_orderkey, min(l_linenumber) AS first, max(l_linenumber) AS last, least(abs(min(l_linenumber) - 3), abs(max(l_linenumber) - 3)) AS distance FROM lineitem GROUP BY l_orderkey")
 def match_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines that matches span, and how far they are from a line."""
+    """The lines that rows span, and how far they are from a line."""
     lo, hi = F.min("l_linenumber"), F.max("l_linenumber")
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(lo.alias("first"), hi.alias("last"), F.least(F.abs(lo - 3), F.abs(hi - 3)).alias("distance"))

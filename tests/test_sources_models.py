@@ -1,5 +1,6 @@
 import gzip
 import io
+import json
 import zipfile
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.functions import raster as R
-from folio.operators import blocks, crf, raster
+from folio.operators import blocks, crf, raster, targets
 from folio.plans import pipelines
 from folio.sources import documents, external, files, sinks, tfrecord
 from folio.streaming import word_counts
@@ -242,3 +243,81 @@ def test_pages_of_a_program(spark, tmp_path):
     assert [(r.page_no, bytes(r.png)) for r in got] == [(2, b"page 1 2"), (3, b"page 2 2"), (4, b"page 10 2")]
     gone = external.page_images(files_, external.pdf_pages(program="/no/such/program")).first()
     assert gone.png is None and "not installed" in gone.error
+
+
+def test_training_by_many_tasks_gives_the_weights_of_one(spark):
+    import random
+
+    r = random.Random(2)
+    rows = []
+    for d in range(12):
+        for k in range(r.randint(1, 9)):
+            w = r.choice(["a", "b", "c", "d"])
+            rows.append((d, k, {"w": w, "n": str(k % 3)}, "A" if w in "ab" and r.random() < 0.9 else r.choice("BC")))
+    df = spark.createDataFrame(rows, "doc_id long, ord long, features map<string,string>, label string").repartition(3)
+    whole = crf.Crf.from_json(crf.fit(df))
+    old, crf.TOKENS_A_TASK = crf.TOKENS_A_TASK, 10
+    try:
+        dealt = crf.Crf.from_json(crf.fit(df, in_one_task=0))
+    finally:
+        crf.TOKENS_A_TASK = old
+    assert whole.labels == dealt.labels and whole.features == dealt.features
+    assert np.abs(whole.state - dealt.state).max() < 1e-6 and np.abs(whole.move - dealt.move).max() < 1e-6 and np.abs(whole.state).max() > 0.1
+
+
+def test_saved_models_and_columns(spark, tmp_path):
+    model = crf.Crf(["_", "x"], {"ch.isdigit": 0}, np.array([[-1.0, 1.0]]), np.zeros((2, 2)))
+    crf.save(spark, model.to_json(), f"{tmp_path}/m")
+    again = crf.load(spark, f"{tmp_path}/m")
+    assert again == model.to_json()
+    df = spark.createDataFrame([("No 12",), ("none",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(crf.autocut_column(again)("t")).collect()] == ["12", "", None, ""]
+    labels = spark.createDataFrame([("middle", "in the Middle of"), (None, "x"), ("", "ab"), ("q", "ab")], "a string, b string")
+    assert [r[0] for r in labels.select(crf.aligned_labels(F.col("a"), F.col("b"))).collect()] == ["_______xxxxxx___", None, "__", "__"]
+
+
+def test_annotation_documents(spark):
+    g = spark.createDataFrame([("d", 1, 5, "b.png", "table", None), ("d", 2, 3, "a.png", "fig", "f1"), ("d", 3, 9, "c.png", "table", None), ("e", 1, 0, "x.png", "fig", None)], "doc_id string, graphic_id int, ord int, href string, category string, related_id string")
+    p = spark.createDataFrame([("d", 0, "d/1.jpg", 100, 50, 200.0, 100.0), ("f", 0, "f/1.jpg", 10, 10, 10.0, 10.0)], "doc_id string, page_idx int, file_name string, width int, height int, pt_width double, pt_height double")
+    found = spark.createDataFrame([("d", 1, 0, 0.9, -3.0, 4.4, 20.0, 60.0), ("d", 2, 0, 0.7, 1.0, 2.0, 3.0, 4.0)], "doc_id string, graphic_id int, page_idx int, score double, x double, y double, width double, height double")
+    out = {r.doc_id: json.loads(r.j) for r in raster.annotation_documents(g, p, found, "now").select("doc_id", F.to_json("data").alias("j")).collect()}
+    assert out["d"]["info"] == {"version": "0.0.2", "date_created": "now"} and out["d"]["images"][0]["pt_bbox"] == [0, 0, 200, 100]
+    first, second = out["d"]["annotations"]
+    assert first == {"file_name": "a.png", "category_id": 1, "related_element_id": "f1", "image_id": 1, "bbox": [1, 2, 3, 4], "pt_bbox": [2, 4, 6, 8], "_score": 0.7}
+    assert second["bbox"] == [0, 4, 17, 46] and second["pt_bbox"] == [0, 8.8, 34, 91.2] and second["category_id"] == 2
+    assert out["d"]["missing_annotations"] == [{"file_name": "c.png", "category_id": 2}] and out["d"]["categories"] == [{"id": 1, "name": "fig"}, {"id": 2, "name": "table"}]
+    assert out["e"]["annotations"] == [] and out["e"]["images"] == [] and len(out["e"]["missing_annotations"]) == 1
+    assert out["f"]["annotations"] == [] and out["f"]["categories"] == [] and "missing_annotations" not in out["f"]
+
+
+def test_coordinates_in_xml(spark):
+    xml = '<a xmlns:x="u"><fig><graphic x:href="p.png"/></fig><graphic href="q.png"/></a>'
+    found = spark.createDataFrame([(1, "p.png", 2, 1.5, 2.0, 3.0, 4.0), (1, "p.png", 1, 0.0, 0.0, 1.0, 1.0)], "doc_id long, href string, page_no int, x double, y double, width double, height double")
+    out = {r.doc_id: r.xml for r in targets.documents_with_coords(spark.createDataFrame([(1, xml), (2, xml), (3, None)], "doc_id long, xml string"), found).collect()}
+    assert 'coords="1,0.0,0.0,1.0,1.0;2,1.5,2.0,3.0,4.0"' in out[1] and out[1].count("coords") == 1 and "coords" not in out[2] and out[3] is None
+
+
+def test_media_boxes(spark):
+    import zlib
+
+    from folio.sources import pdf
+
+    bodies = [b"<< /Type /Pages /Kids [2 0 R] /MediaBox [0 0 10 20] >> ", b"<< /Type /Page /Parent 1 0 R >>"]
+    head = b"1 0 2 %d " % len(bodies[0])
+    packed = zlib.compress(head + b"".join(bodies))
+    stream = b"9 0 obj\n<< /Type /ObjStm /N 2 /First %d /Filter /FlateDecode >>\nstream\n%s\nendstream\nendobj\n" % (len(head), packed)
+    plain = b"1 0 obj << /Type /Pages /Kids [2 0 R 3 0 R] /MediaBox [1 2 11.5 22] >> endobj 2 0 obj << /Type /Page /Parent 1 0 R /MediaBox [9 9 0 0] >> endobj 3 0 obj << /Type /Pages /Parent 1 0 R /Kids [4 0 R] >> endobj 4 0 obj << /Type /Page >> endobj"
+    files = spark.createDataFrame([("s", bytearray(stream)), ("p", bytearray(plain)), ("bad", bytearray(b"x")), ("none", None)], "path string, content binary")
+    got = sorted(pdf.page_boxes(files).collect(), key=lambda r: (r.path, r.page_idx or 0))
+    assert [(r.path, r.x, r.y, r.width, r.height) for r in got if r.error is None] == [("p", 0, 0, 9, 9), ("p", 1, 2, 10.5, 20), ("s", 0, 0, 10, 20)]
+    assert {r.path for r in got if r.error} == {"bad", "none"}
+
+
+def test_longest_side_goes_to_the_program(tmp_path):
+    from folio.sources import external
+
+    program = tmp_path / "draw"
+    program.write_text('#!/bin/sh\nfor last; do :; done\necho "$@" > "$last-1.png"\n')
+    program.chmod(0o755)
+    (out,) = external.pdf_pages(longest=800, program=str(program))(b"x")
+    assert b"-scale-to 800" in out

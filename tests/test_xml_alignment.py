@@ -184,3 +184,57 @@ def test_annotate_many_and_none(spark):
 def test_labels_of_characters():
     assert A.labels_match("The scientific life of mice", "Title: The scientific life of mice") == "_" * 7 + "x" * 27
     assert A.labels_match("", "ab") == "__" and A.labels_match("zzzzz", "abcde") == "_____"
+
+
+def test_a_band_holds_what_the_whole_table_holds(monkeypatch):
+    import random
+
+    monkeypatch.setattr(A, "MARGIN", 3)
+    r, proven = random.Random(3), 0
+    for k in range(150):
+        a = "".join(r.choice("abcdefghij ") for _ in range(r.randint(20, 300)))
+        b = list(a)
+        for _ in range(r.randint(0, len(a) // 8)):
+            at, what = r.randrange(len(b)), r.random()
+            if what < 0.4:
+                b[at] = r.choice("abcdefghij ")
+            elif what < 0.7:
+                b.insert(at, r.choice("abc"))
+            else:
+                del b[at]
+        b = "".join(b)
+        if k % 3 == 0:
+            b = b[r.randint(0, len(b) // 3) :]
+        found = A.banded_blocks(*((a, b) if k % 2 else (b, a)))
+        if found is not None:
+            proven += 1
+            assert found == A.local_blocks(*((a, b) if k % 2 else (b, a)))
+    assert proven > 50
+    assert A.banded_blocks("x" * 300, "y" * 300) is None and A.banded_blocks("", "abc") is None
+
+
+def test_long_texts_go_through_a_band():
+    import random
+    import time
+
+    r = random.Random(1)
+    a = "".join(r.choice("abcdefghijklmnop ") for _ in range(20_000))
+    b = a[:7000] + "#" + a[7001:15_000] + a[15_003:]
+    start = time.time()
+    assert A.local_blocks(a, b) == [(0, 0, 7000), (7001, 7001, 7999), (15_003, 15_000, 4997)]
+    assert time.time() - start < 30
+
+
+def test_every_comparison_is_told(spark):
+    rows = [("d", 0, k, j, w, None) for k, line in enumerate(["some big title", "goes on here", "unrelated"]) for j, w in enumerate(line.split())]
+    tokens = spark.createDataFrame(rows, "doc_id string, page_idx int, line_idx int, token_idx int, text string, tag string")
+    target = [("d", 0, "title", ["some big title goes on here"], False, False, False, False, [("first", ["some"])]), ("d", 1, "no", ["zzzzzz"], False, True, False, False, [])]
+    wanted = spark.createDataFrame(target, "doc_id string, target_ord int, name string, value array<string>, is_list boolean, match_multiple boolean, bonding boolean, require_next boolean, sub array<struct<name: string, value: array<string>>>")
+    got = A.match_debug(tokens, wanted).orderBy("id").collect()
+    assert [c for c in got[0].asDict()][1:] == [c.split()[0] for c in A.DEBUG.split(", ")] and [r.id for r in got] == list(range(1, len(got) + 1))
+    first, second = got[:2]
+    assert (first.tag, first.choice_current, first.choice_next, first.accepted, first.reached_end, first.tag_value_pre) == ("title", "some big title", "goes on here", True, False, "")
+    assert (second.start_index, second.tag_value_current, second.reached_end, second.accepted) == (15, "goes on here", True, True)
+    assert "[some big title" in first.fm_current_detailed and first.fm_combined.startswith("matches=27")
+    assert any(r.sub_annotation and r.accepted for r in got) and not any(r.accepted for r in got if r.tag == "no")
+    assert {(r.line_idx, r.token_idx) for r in A.annotate(tokens, wanted).collect()} == {(k, j) for k in (0, 1) for j in range(3)}
