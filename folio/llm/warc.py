@@ -3,7 +3,8 @@
 Each record is a gzip member of its own. Keys and lengths are sorted by ranges of page_id, and the running total of
 compressed bytes in that order says where archives begin: archive k holds the members that start in the k-th share of
 ``roll`` bytes. So neither names nor contents depend on the number of tasks, and a rerun writes the same bytes. Payloads
-are shuffled once, packed, each straight to the task that writes its archive.
+are shuffled once, packed, each straight to the task that writes its archive; they are packed once before, for their
+lengths, which costs less than a table of all records.
 
 Headers and digests are made anew from the payload. A payload that a smaller page_id has already is not stored again:
 its record is a revisit that names the first one. Archives are written under temporary names and moved to their own by
@@ -31,6 +32,8 @@ from folio.llm.common import new_path, put, spread, written
 
 #: Compressed bytes of an archive, and of a run of members that one task reads back.
 ROLL, RUN = 128 << 20, 8 << 20
+#: Packed bytes that a reader unpacks at a time.
+PIECE = 1 << 14
 #: Pages carry no date of their own.
 DATE = "1970-01-01T00:00:00Z"
 #: Fixed values of the format.
@@ -91,6 +94,7 @@ def member(record: bytes, level: int = 6) -> bytes:
 
 
 PACKED = "page_id long, url string, digest binary, sha1 string, n_bytes long, record binary"
+WEIGHED = PACKED.replace("record binary", "length long")
 KEY = ["page_id", "url", "digest"]
 
 
@@ -100,15 +104,24 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
 
 
+def _packed(page: int | None, url: str | None, payload: bytes) -> tuple:
+    sha1 = base32_sha1(payload)
+    return page, url, hashlib.sha256(payload).digest(), sha1, len(payload), member(page_record(page, url, sha1, len(payload), payload))
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """page_id, url, payload to PACKED: every page as a response, in a gzip member."""
     for b in batches:
         for k in range(0, len(b), 256):
-            rows = []
-            for page, url, payload in zip(*(c.to_pylist() for c in b.slice(k, 256).columns), strict=True):
-                sha1 = base32_sha1(payload)
-                rows.append((page, url, hashlib.sha256(payload).digest(), sha1, len(payload), member(page_record(page, url, sha1, len(payload), payload))))
-            yield _batch(rows, PACKED)
+            yield _batch([_packed(*row) for row in zip(*(c.to_pylist() for c in b.slice(k, 256).columns), strict=True)], PACKED)
+
+
+def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """page_id, url, payload to WEIGHED: what ``_pack`` gives, with its length in place of the record."""
+    for b in batches:
+        for k in range(0, len(b), 256):
+            rows = (_packed(*row) for row in zip(*(c.to_pylist() for c in b.slice(k, 256).columns), strict=True))
+            yield _batch([(*r[:-1], len(r[-1])) for r in rows], WEIGHED)
 
 
 def _sorted_key(page: int | None, url: str | None, digest: bytes) -> tuple:
@@ -138,11 +151,11 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield from zip(*(c.to_pylist() for c in b.slice(k, 256).columns), strict=True)
 
 
-def _found_revisits(packed: DataFrame, least_bytes: int) -> DataFrame:
+def _found_revisits(weighed: DataFrame, least_bytes: int) -> DataFrame:
     """Pages whose payload stands more than once, with the first that has it: found on digests and ids alone."""
     order = [F.col("page_id").isNull(), F.col("page_id"), F.col("url").isNull(), F.col("url")]
     place = F.struct(*[c.alias(n) for c, n in zip(order, ("_no_id", "_id", "_no_url", "_url"), strict=True)])
-    keyed = packed.where(F.col("n_bytes") >= least_bytes).select(*KEY, place.alias("place"))
+    keyed = weighed.where(F.col("n_bytes") >= least_bytes).select(*KEY, place.alias("place"))
     # Written, so that both sides of the join are dealt by it and a payload that many pages share can be split.
     first = written(keyed.groupBy("digest").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-first")
     same = (F.col("place") == F.col("first")).alias("same")
@@ -150,23 +163,23 @@ def _found_revisits(packed: DataFrame, least_bytes: int) -> DataFrame:
     return written(found.distinct(), "warc-revisits")
 
 
-def _with_findings(packed: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
+def _with_findings(pages: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
     """Pages and what was found about them in one table: KEY, kind, first_id, first_url, same, then ``columns`` (null in findings)."""
     null = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    kinds = dict(packed.dtypes)
+    kinds = dict(pages.dtypes)
     told = found.select(*KEY, "kind", "first_id", "first_url", "same", *[null(kinds[c], c) for c in columns])
-    return told.union(packed.select(*KEY, F.lit(1), null("long", "first_id"), null("string", "first_url"), null("boolean", "same"), *columns))
+    return told.union(pages.select(*KEY, F.lit(1), null("long", "first_id"), null("string", "first_url"), null("boolean", "same"), *columns))
 
 
 def _by() -> list[Column]:
     return [F.col("page_id").asc_nulls_last(), F.col("url").asc_nulls_last(), F.col("digest")]
 
 
-def _starts(packed: DataFrame, found: DataFrame, roll: int) -> list[tuple]:
+def _starts(weighed: DataFrame, found: DataFrame, roll: int) -> list[tuple]:
     """The least sort key of each archive, in order: a row an archive. Only lengths are sorted here, no payloads."""
-    n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(weighed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = _by()
-    light = _with_findings(packed.withColumn("length", F.octet_length("record").cast("long")), found, ["sha1", "n_bytes", "length"])
+    light = _with_findings(weighed, found, ["sha1", "n_bytes", "length"])
     dealt = light.repartitionByRange(n, *by).sortWithinPartitions(*by, "kind")
     schema = "part int, at long, length long, page_id long, url string, digest binary"
 
@@ -206,10 +219,10 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, roll: int = RO
     """
     spark = pages.sparkSession
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
-    packed = written(spread(plain).mapInArrow(_pack, PACKED), "warc-packed")
-    found = _found_revisits(packed, least_bytes)
-    starts = _starts(packed, found, roll)
-    both = _with_findings(packed, found, ["sha1", "n_bytes", "record"])
+    weighed = written(spread(plain).mapInArrow(_weigh, WEIGHED), "warc-weighed")
+    found = _found_revisits(weighed, least_bytes)
+    starts = _starts(weighed, found, roll)
+    both = _with_findings(spread(plain).mapInArrow(_pack, PACKED), found, ["sha1", "n_bytes", "record"])
 
     def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -291,12 +304,18 @@ def _commit(spark: SparkSession, listed: DataFrame, path: str) -> DataFrame:
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header (names in lower case, the first of each) and block of each record in whole gzip members, or in plain bytes."""
-    while data:
-        if data[:2] == b"\x1f\x8b":
-            unpack = zlib.decompressobj(31)
-            plain, data = unpack.decompress(data) + unpack.flush(), unpack.unused_data
+    place = 0
+    while place < len(data):
+        if data[place : place + 2] == b"\x1f\x8b":
+            unpack, parts = zlib.decompressobj(31), []
+            while not unpack.eof and place < len(data):  # a little at a time: what a member leaves over is copied
+                piece = data[place : place + PIECE]
+                parts.append(unpack.decompress(piece))
+                place += len(piece)
+            place -= len(unpack.unused_data)
+            plain = b"".join(parts)
         else:
-            plain, data = data, b""
+            plain, place = data[place:], len(data)
         at = 0
         while at < len(plain):
             stop = plain.find(b"\r\n\r\n", at)
