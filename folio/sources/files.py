@@ -38,7 +38,7 @@ def listed_files(spark: SparkSession, path: str, column: str = "url", limit: int
 
 def listed_pairs(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """source_url and xml_url of a list of pairs."""
-    rows = spark.read.option("header", True).option("sep", "\t" if ".tsv" in path else ",").csv(path).select("source_url", "xml_url")
+    rows = spark.read.option("header", True).option("sep", "\t" if path.removesuffix(".gz").endswith(".tsv") else ",").csv(path).select("source_url", "xml_url")
     return rows.limit(limit) if limit else rows
 
 

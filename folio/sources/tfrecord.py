@@ -6,12 +6,13 @@
 
 from __future__ import annotations
 
-import gzip
+import io
 import os
 import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -38,15 +39,17 @@ def masked_crc(data: bytes) -> int:
     return ((c >> 15 | c << 17) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-def read_frames(data: bytes) -> Iterator[bytes]:
-    at = 0
-    while at < len(data):
-        head = data[at : at + 8]
-        (n,) = struct.unpack("<Q", head)
-        if struct.unpack("<I", data[at + 8 : at + 12])[0] != masked_crc(head):
+def read_frames(source: bytes | BinaryIO) -> Iterator[bytes]:
+    """Records of a file's bytes or of a stream; of a stream one record is held at a time."""
+    read = (io.BytesIO(source) if isinstance(source, bytes | bytearray) else source).read
+    while head := read(12):
+        if len(head) < 12 or struct.unpack("<I", head[8:])[0] != masked_crc(head[:8]):
             raise ValueError("a record's length is damaged")
-        yield data[at + 12 : at + 12 + n]
-        at += n + 16
+        (n,) = struct.unpack("<Q", head[:8])
+        data = read(n + 4)
+        if len(data) < n + 4:
+            raise ValueError("the last record is cut short")
+        yield data[:n]
 
 
 def frame(data: bytes) -> bytes:
@@ -140,10 +143,12 @@ def _files(path: str) -> tuple[fs.FileSystem, list[str]]:
 
 
 def records(store: fs.FileSystem, path: str) -> Iterator[dict[str, bytes | int]]:
+    """A file's records, packed or plain, as they are read: nothing but the current one is held."""
     with store.open_input_stream(path, compression=None) as f:
-        data = f.read()
-    for r in read_frames(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
-        yield decode_example(r)
+        packed = f.read(2) == b"\x1f\x8b"
+    with store.open_input_stream(path, compression="gzip" if packed else None) as f:
+        for r in read_frames(io.BufferedReader(f, 1 << 20)):
+            yield decode_example(r)
 
 
 class _Reader(DataSourceReader):
