@@ -4,9 +4,11 @@ import pytest
 
 import corpus_pipeline
 from folio.llm import queries
+from tests.llm.test_audit_trie_warc import plain_rebuilt, plain_trie
 
 LABELS = "doc_id long, quality int, toxic int"
 TURNS = "conv_id long, turn long, role string, text string"
+TURN_ROWS = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (None, None, None, None), (1, 0, "user", "hi"), (2, 5, "other", "")]
 PAGES = "page_id long, url string, html string"
 
 
@@ -15,7 +17,7 @@ def odd(spark, docs, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("odd"))
     docs.union(docs.limit(5)).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, None, None), (3, 7, None), (10**9, 1, 1)], LABELS).write.parquet(f"{d}/labels.parquet")
-    spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", None), (None, None, None, None), (1, 0, "user", "hi"), (2, 5, "other", "")], TURNS).write.parquet(f"{d}/conversations.parquet")
+    spark.createDataFrame(TURN_ROWS, TURNS).write.parquet(f"{d}/conversations.parquet")
     spark.createDataFrame([(1, "u", "<p>"), (None, None, None), (1, "u", "<p>"), (2, None, "<p>"), (3, "v", "")], PAGES).write.parquet(f"{d}/pages.parquet")
     return d
 
@@ -33,8 +35,8 @@ def nothing(spark, empty, tmp_path_factory):
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_query(spark, odd, nothing, rows, name):
     got = queries.queries()[name](spark, odd).count()
-    rebuilt = 1 + 3 + 2  # the root, and the turns of 1 and of 2, which take over nothing
-    others = {"op2": 3, "op11": 600 * len({r[2] or "" for r in rows}), "op12": rebuilt - 1, "op13": 5}
+    nodes = len(list(plain_trie(plain_rebuilt(TURN_ROWS))))
+    others = {"op2": 3, "op11": 600 * len({r[2] or "" for r in rows}), "op12": nodes, "op13": 5}
     assert got == others.get(name.split("_")[0], len(rows) + 5)
     assert queries.queries()[name](spark, nothing).count() == 0
 
