@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folio.operators.joins import dealt
+
 # Scores of the alignment, and below how many characters only whole words match.
 MATCH, MISMATCH, GAP, EXACT_BELOW = 2, -1, -2, 5
 #: Scores that are held at once, and pairs of texts that are filled together.
@@ -639,6 +641,7 @@ def _by_document(tokens: DataFrame, targets: DataFrame, max_gap: int, rows: Call
 
     a = tokens.select(F.col("doc_id").cast("string").alias("doc_id"), *keys, "text", F.coalesce("tag", F.lit("")).alias("tag"))
     b = targets.where("name IS NOT NULL").select("doc_id", "target_ord", "name", "value", "is_list", "match_multiple", "bonding", "require_next", "sub")
+    a, b = dealt(a, "doc_id"), dealt(b, "doc_id")  # matching is much work for few bytes
     return a.groupBy("doc_id").cogroup(b.groupBy("doc_id")).applyInPandas(run, out)
 
 
