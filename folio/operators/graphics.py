@@ -56,7 +56,8 @@ def image_keypoints(images: DataFrame, keys: list[str], png: str = "png", strong
 
 
 def _banded(points: DataFrame, side: str, keys: list[str]) -> DataFrame:
-    bands = [F.struct(F.lit(i * BANDS_A_LONG + k).alias("band"), F.shiftright(F.col("d")[i], BAND_BITS * k).bitwiseAND((1 << BAND_BITS) - 1).alias("bits")) for i in range(K.LONGS) for k in range(BANDS_A_LONG)]
+    bits = lambda i, k: F.shiftright(F.col("d")[i], BAND_BITS * k).bitwiseAND((1 << BAND_BITS) - 1)
+    bands = [F.struct(F.lit(i * BANDS_A_LONG + k).alias("band"), bits(i, k).alias("bits")) for i in range(K.LONGS) for k in range(BANDS_A_LONG)]
     own = [F.col(c).alias(c if c in keys else f"{side}_{c}") for c in points.columns]
     return points.select(*own, F.inline(F.array(*bands))).where("bits <> 0")
 
@@ -163,7 +164,8 @@ def scored(placed: DataFrame, graphics: DataFrame, pages: DataFrame) -> DataFram
             yield out.append_column("score", pa.array(score, pa.float64()))
 
     placed = dealt(placed)
-    met = placed.join(graphics.select("doc_id", "graphic_id", F.col("png").alias("_graphic")), ["doc_id", "graphic_id"]).join(pages.select("doc_id", "page_idx", F.col("png").alias("_page")), ["doc_id", "page_idx"])
+    met = placed.join(graphics.select("doc_id", "graphic_id", F.col("png").alias("_graphic")), ["doc_id", "graphic_id"])
+    met = met.join(pages.select("doc_id", "page_idx", F.col("png").alias("_page")), ["doc_id", "page_idx"])
     kind = placed.select(*placed.columns).withColumn("score", F.lit(0.0)).schema
     return met.select(*placed.columns, "_page", "_graphic").mapInArrow(rows, kind)
 
