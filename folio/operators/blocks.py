@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from functools import lru_cache
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions import geometry as G
 from folio.functions import tags as T
-from folio.functions.raster import encode_png
+from folio.functions.raster import encode_png, nearest_places
+from folio.operators.joins import dealt
 
 #: Boxes of one page and tag that are merged without a grid.
 FEW_BOXES = 256
+#: Boxes of one page and tag that are merged together with those of other pages.
+AT_ONCE = 64
 SCHEMA = "doc_id string, page_idx int, block_ord int, tag string, x double, y double, width double, height double"
 
 
@@ -92,21 +100,89 @@ def _merge_in_grid(edges: np.ndarray, margin: float) -> list[tuple[int, list[flo
     return out
 
 
+def _merge_rounds(edges: np.ndarray, group: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """``_merge`` of many short lists at once: each round is one step of all of them.
+
+    ``edges`` are those of all lists, one list after another, ``group`` the number of each one's list, from 0. Returns the
+    places of leading boxes in order, and the merged boxes as edges.
+    """
+    at, leads, merged = np.flatnonzero(np.diff(group, prepend=-1)), [], []
+    lead, box = at.copy(), edges[at]
+    left = np.setdiff1d(np.arange(len(edges)), at, assume_unique=True)
+    going = np.ones(len(at), bool)
+    while going.any():
+        g = group[left]
+        e, now = edges[left], box[g]
+        hit = (e[:, 0] <= now[:, 2] + margin) & (e[:, 2] >= now[:, 0] - margin) & (e[:, 1] <= now[:, 3]) & (e[:, 3] >= now[:, 1])
+        grown = np.zeros(len(going), bool)
+        if hit.any():
+            starts = np.flatnonzero(np.diff(g[hit], prepend=-1))
+            into, e = g[hit][starts], e[hit]
+            box[into, :2] = np.minimum(box[into, :2], np.minimum.reduceat(e[:, :2], starts))
+            box[into, 2:] = np.maximum(box[into, 2:], np.maximum.reduceat(e[:, 2:], starts))
+            grown[into] = True
+            left, g = left[~hit], g[~hit]
+        done = going & ~grown
+        leads.append(lead[done])
+        merged.append(box[done])
+        going &= grown
+        first = np.diff(g, prepend=-1) != 0
+        first &= done[g]
+        lead[g[first]], box[g[first]] = left[first], edges[left[first]]
+        going[g[first]] = True
+        left = left[~first]
+    leads, merged = np.concatenate(leads), np.concatenate(merged)
+    order = np.argsort(leads)
+    return leads[order], merged[order]
+
+
+def _merge_lists(boxes: np.ndarray, counts: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """``_merge`` of many lists, given one after another with their lengths: places of leading boxes, and merged boxes."""
+    few = counts <= AT_ONCE
+    short, starts = np.repeat(few, counts), np.cumsum(counts) - counts
+    leads, out = [np.zeros(0, np.int64)], [np.zeros((0, 4))]
+    if short.any():
+        some = np.flatnonzero(short)
+        x, y, w, h = boxes[some].T
+        lengths = counts[few & (counts > 0)]
+        places, edges = _merge_rounds(np.column_stack([x, y, x + w - 1, y + h - 1]), np.repeat(np.arange(len(lengths)), lengths), 1 + tolerance)
+        leads.append(some[places])
+        out.append(np.column_stack([edges[:, :2], edges[:, 2:] - edges[:, :2] + 1]))
+    for k in np.flatnonzero(~few):
+        for place, box in _merge(boxes[starts[k] : starts[k] + counts[k]], tolerance):
+            leads.append(np.array([starts[k] + place]))
+            out.append(np.array([box], float))
+    places, found = np.concatenate(leads), np.concatenate(out)
+    order = np.argsort(places)
+    return places[order], found[order]
+
+
 _BOXES = "array<struct<block_ord: int, x: double, y: double, width: double, height: double>>"
+_SIDES = ("x", "y", "width", "height")
+
+
+def _columns(lists: pa.Array, names: tuple[str, ...]) -> np.ndarray:
+    flat = lists.flatten()
+    return np.column_stack([pa.compute.struct_field(flat, n).to_numpy(zero_copy_only=False) for n in names])
 
 
 def merged_blocks(blocks: DataFrame, tolerance: float = 0) -> DataFrame:
     """Neighbouring blocks of one tag as one; order is that of leading blocks.
 
-    Tags don't interact, so a page's blocks of one tag come together, as an array, and are merged in Arrow batches.
+    Tags don't interact, so a page's blocks of one tag come together, as an array, and are merged in Arrow batches, the
+    short arrays of a batch at once. Blocks that lie by document already are not shuffled again.
     """
 
-    @F.udf(_BOXES, useArrow=True)
-    def run(rows):
-        found = _merge(np.array([[r["x"], r["y"], r["width"], r["height"]] for r in rows], float), tolerance)
-        return [(rows[k]["block_ord"], *map(float, b)) for k, b in found]
+    @F.arrow_udf(_BOXES)
+    def run(rows: pa.Array) -> pa.Array:
+        counts = np.asarray(rows.value_lengths().fill_null(0))
+        places, boxes = _merge_lists(_columns(rows, _SIDES), counts, tolerance)
+        orders = pa.compute.struct_field(rows.flatten(), "block_ord").take(pa.array(places))
+        ends = np.searchsorted(places, np.cumsum(counts))
+        found = pa.StructArray.from_arrays([orders, *map(pa.array, np.ascontiguousarray(boxes.T))], names=["block_ord", *_SIDES])
+        return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), found)
 
-    one = F.array_sort(F.collect_list(F.struct("block_ord", "x", "y", "width", "height")))
+    one = F.array_sort(F.collect_list(F.struct(F.col("block_ord").cast("int").alias("block_ord"), *[F.col(c).cast("double").alias(c) for c in _SIDES])))
     grouped = blocks.groupBy("doc_id", "page_idx", "tag").agg(one.alias("b"))
     merged = grouped.select("doc_id", "page_idx", "tag", F.inline(run("b")))
     return merged.select("doc_id", "page_idx", "block_ord", "tag", "x", "y", "width", "height")
@@ -122,24 +198,46 @@ def paint(shape: tuple[int, int], boxes: list[tuple[float, float, float, float]]
     image = np.empty((*shape, 3), np.uint8)
     image[:] = background
     for (x, y, w, h), c in zip(boxes, colours, strict=True):
-        image[max(0, int(y)) : int(y + h) + 1, max(0, int(x)) : int(x + w) + 1] = c
+        image[max(0, int(y)) : max(0, int(y + h) + 1), max(0, int(x)) : max(0, int(x + w) + 1)] = c
     return image
 
 
+@lru_cache(64)
+def _kept(n: int, m: int) -> list[int]:
+    return nearest_places(n, m).tolist()
+
+
+@lru_cache(64)
+def _page(height: int, width: int, size: tuple[int, int] | None, painted: tuple) -> bytes:
+    """A page's image, ``painted`` on it in order (x, y, width, height, colour). Of a scaled page only those pixels are
+    painted that are kept; a worker remembers its last pages, since many are alike, the blank ones above all.
+    """
+    if size is None:
+        return encode_png(paint((height, width), [p[:4] for p in painted], [p[4] for p in painted]))
+    rows, columns = _kept(height, size[1]), _kept(width, size[0])
+    image = np.full((size[1], size[0], 3), 255, np.uint8)
+    for x, y, w, h, colour in painted:
+        image[bisect_left(rows, int(y)) : bisect_left(rows, int(y + h) + 1), bisect_left(columns, int(x)) : bisect_left(columns, int(x + w) + 1)] = colour
+    return encode_png(image)
+
+
 def block_images(blocks: DataFrame, pages: DataFrame, colours: dict[str, tuple[int, int, int]], size: tuple[int, int] | None = None) -> DataFrame:
     """doc_id, page_idx, png: each page's blocks painted in order, tags without a colour left out, scaled to ``size`` (w, h)."""
-    from folio.functions.raster import resize_nearest
-
     sized = pages.select(F.col("doc_id").cast("string").alias("doc_id"), "page_idx", F.col("width").alias("page_width"), F.col("height").alias("page_height"))
 
-    @F.udf("binary", useArrow=True)
-    def run(width, height, rows):
-        rows = [r for r in rows or () if r["tag"] in colours]
-        image = paint((int(height), int(width)), [(r["x"], r["y"], r["width"], r["height"]) for r in rows], [colours[r["tag"]] for r in rows])
-        return encode_png(resize_nearest(image, size) if size else image)
-
-    one = F.array_sort(F.collect_list(F.struct("block_ord", "tag", "x", "y", "width", "height")))
-    met = sized.join(blocks.groupBy("doc_id", "page_idx").agg(one.alias("b")), ["doc_id", "page_idx"], "left")
+    @F.arrow_udf("binary")
+    def run(width: pa.Array, height: pa.Array, rows: pa.Array) -> pa.Array:
+        ends = np.cumsum(np.asarray(rows.value_lengths().fill_null(0))).tolist()
+        flat = rows.flatten()
+        boxes = [(*box, colours.get(tag)) for tag, *box in zip(*(pa.compute.struct_field(flat, n).to_pylist() for n in ("tag", *_SIDES)), strict=True)]
+        out, at = [], 0
+        for w, h, end in zip(width.to_pylist(), height.to_pylist(), ends, strict=True):
+            out.append(_page(int(h), int(w), size, tuple(b for b in boxes[at:end] if b[4] is not None)))
+            at = end
+        return pa.array(out, pa.binary())
+
+    one = F.array_sort(F.collect_list(F.struct("block_ord", "tag", *_SIDES)))
+    met = dealt(sized, "doc_id").join(blocks.groupBy("doc_id", "page_idx").agg(one.alias("b")), ["doc_id", "page_idx"], "left")
     return met.select("doc_id", "page_idx", run("page_width", "page_height", "b").alias("png"))
 
 

@@ -174,3 +174,35 @@ def test_templates_at_several_scales(spark):
     graphic, page = texture(2), page_with((texture(2), 100, 50, 1.3, 0))
     m = R.scaled_template_match(np.stack([page] * 3, -1), np.stack([graphic] * 3, -1))
     assert m["score"] > 0.6 and abs(m["x"] - 100) < 10 and abs(m["width"] - 130) < 15
+
+
+def test_many_lists_of_boxes_are_merged_as_each_alone():
+    r = np.random.default_rng(5)
+    for t in range(30):
+        counts = r.choice([0, 1, 2, 3, 7, 40, 90, 300], 25)
+        boxes = np.column_stack([*r.integers(0, 90, (2, counts.sum())), *r.integers(-1, 12, (2, counts.sum()))]).astype(float)
+        if t % 2:  # a grid takes no boxes without a place
+            boxes[np.repeat(counts <= blocks.AT_ONCE, counts) & (r.random(len(boxes)) < 0.05), t % 4] = np.nan
+        places, found = blocks._merge_lists(boxes, counts, t % 3)
+        starts = np.cumsum(counts) - counts
+        want = [(at + k, b) for at, n in zip(starts, counts, strict=True) if n for k, b in blocks._merge(boxes[at : at + n], t % 3)]
+        assert places.tolist() == [k for k, _ in want]
+        assert np.array_equal(found, np.array([b for _, b in want]), equal_nan=True)
+
+
+def test_scaled_pages_are_painted_pixel_by_pixel():
+    r = np.random.default_rng(6)
+    for _ in range(300):
+        h, w = (int(v) for v in r.integers(1, 80, 2))
+        size = tuple(int(v) for v in r.integers(1, 60, 2))
+        boxes = [(*r.uniform(-40, 90, 2), *r.uniform(0, 50, 2)) for _ in range(r.integers(0, 5))]
+        colours = [tuple(int(v) for v in r.integers(0, 256, 3)) for _ in boxes]
+        full = np.full((h, w, 3), 255, np.uint8)
+        for (x, y, bw, bh), c in zip(boxes, colours, strict=True):
+            for j in range(h):
+                for i in range(w):
+                    if int(y) <= j <= int(y + bh) and int(x) <= i <= int(x + bw):
+                        full[j, i] = c
+        painted = tuple((*b, c) for b, c in zip(boxes, colours, strict=True))
+        assert (R.decode_png(blocks._page(h, w, None, painted)) == full).all()
+        assert blocks._page(h, w, size, painted) == R.encode_png(R.resize_nearest(full, size))
