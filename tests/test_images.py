@@ -206,3 +206,15 @@ def test_scaled_pages_are_painted_pixel_by_pixel():
         painted = tuple((*b, c) for b, c in zip(boxes, colours, strict=True))
         assert (R.decode_png(blocks._page(h, w, None, painted)) == full).all()
         assert blocks._page(h, w, size, painted) == R.encode_png(R.resize_nearest(full, size))
+
+
+def test_blocks_of_orders_are_shuffled_once(spark):
+    import io
+    from contextlib import redirect_stdout
+
+    from folio.plans import catalog
+
+    out = io.StringIO()
+    with redirect_stdout(out):
+        catalog.queries()["merged_blocks"](spark, "/root/testdata/sf0.001").explain()
+    assert out.getvalue().count("Exchange") == 1
