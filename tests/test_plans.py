@@ -56,3 +56,23 @@ def test_the_whole_sort_comes_back_in_order(spark):
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey").collect()
     got = catalog.queries()["all_sorted_matches"](spark, SF).collect()
     assert len(got) > 200 and got == sorted(lines)
+
+
+def test_rows_at_one_place_meet_as_in_a_join(spark):
+    from folio.operators import joins, tokens
+
+    rows = [(d, 0, k // 3, k % 3, f"{d}{k}", {"": f"t{k}"}) for d, n in ((1, 5), (2, 0), (3, 9), (4, 2)) for k in range(n)] + [(None, 0, 0, 0, "x", None)]
+    t = spark.createDataFrame(rows, "doc_id int, page_idx int, line_idx int, token_idx int, text string, tags map<string, string>")
+    more = [(1, 0, "a"), (1, 2, "O"), (1, 2, "b"), (1, None, "c"), (1, 7, "d"), (3, 8, ""), (3, 0, None), (5, 0, "e"), (None, 0, "f")]
+    p = spark.createDataFrame(more, "doc_id long, doc_ord long, prediction string")
+    plain = lambda df: sorted(map(repr, df.select(*t.columns, "prediction").collect()))
+    want = tokens.with_ordinal(t).join(p, ["doc_id", "doc_ord"]).withColumn("doc_id", tokens.F.col("doc_id").cast("int"))
+    assert plain(joins.at_same_place(t, p)) == plain(want) and want.count() == 5
+    assert joins.at_same_place(t, p).select(*t.columns).schema["doc_id"].dataType == t.schema["doc_id"].dataType
+
+
+@pytest.mark.parametrize("name", ["positional_merge"])
+def test_tokens_are_not_shuffled(spark, name):
+    p = plan(spark, name).split("== Initial Plan ==")[0]
+    shuffles = [line for line in p.splitlines() if line.startswith("Arguments: hashpartitioning")]
+    assert shuffles and all("REPARTITION_BY_NUM" in line for line in shuffles)
