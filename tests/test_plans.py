@@ -71,8 +71,23 @@ def test_rows_at_one_place_meet_as_in_a_join(spark):
     assert joins.at_same_place(t, p).select(*t.columns).schema["doc_id"].dataType == t.schema["doc_id"].dataType
 
 
-@pytest.mark.parametrize("name", ["positional_merge", "predicted_tags"])
+@pytest.mark.parametrize("name", ["positional_merge", "predicted_tags", "context_features", "bio_items"])
 def test_tokens_are_not_shuffled(spark, name):
     p = plan(spark, name).split("== Initial Plan ==")[0]
     shuffles = [line for line in p.splitlines() if line.startswith("Arguments: hashpartitioning")]
     assert shuffles and all("REPARTITION_BY_NUM" in line for line in shuffles)
+
+
+def test_items_are_put_together_in_one_pass(spark):
+    assert "ObjectHashAggregate" not in plan(spark, "bio_items")
+
+
+def test_tags_by_their_beginning_are_those_of_the_pattern(spark):
+    from folio.functions import tags as T
+
+    F = T.F
+    given = ["b-x", "i-x", "x", "", "b-", "i-", "b", "-", "b-b-x", "B-x", "o-x", None, "b-x\n", "a\nb", "b-a\nb", "b-a\r", "i-\u2028x", "\nb-x", "b-\u00e4\U0001f600"]
+    t = spark.createDataFrame([(g,) for g in given], "tag string")
+    found = F.regexp_extract("tag", T._PREFIXED, 1)
+    want = t.select(F.regexp_extract("tag", T._PREFIXED, 2), F.when(found != "", F.substring(found, 1, 1))).collect()
+    assert [tuple(r) for r in t.select(T.tag_value("tag"), T.tag_prefix("tag")).collect()] == [tuple(r) for r in want]
