@@ -218,3 +218,11 @@ def test_blocks_of_orders_are_shuffled_once(spark):
     with redirect_stdout(out):
         catalog.queries()["merged_blocks"](spark, "/root/testdata/sf0.001").explain()
     assert out.getvalue().count("Exchange") == 1
+
+
+def test_pages_are_painted_by_all_cores(spark):
+    from folio.plans import catalog
+
+    images = catalog.queries()["resized_pages"](spark, "/root/testdata/sf0.001")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert images.rdd.getNumPartitions() >= 3 * parts  # three sizes of each page; few bytes were one task a size
