@@ -71,7 +71,7 @@ def test_rows_at_one_place_meet_as_in_a_join(spark):
     assert joins.at_same_place(t, p).select(*t.columns).schema["doc_id"].dataType == t.schema["doc_id"].dataType
 
 
-@pytest.mark.parametrize("name", ["positional_merge", "predicted_tags", "context_features", "bio_items", "token_positions", "single_node_text"])
+@pytest.mark.parametrize("name", ["positional_merge", "predicted_tags", "context_features", "bio_items", "token_positions", "single_node_text", "sub_items"])
 def test_tokens_are_not_shuffled(spark, name):
     p = plan(spark, name).split("== Initial Plan ==")[0]
     shuffles = [line for line in p.splitlines() if line.startswith("Arguments: hashpartitioning")]
