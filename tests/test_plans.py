@@ -91,3 +91,30 @@ def test_tags_by_their_beginning_are_those_of_the_pattern(spark):
     found = F.regexp_extract("tag", T._PREFIXED, 1)
     want = t.select(F.regexp_extract("tag", T._PREFIXED, 2), F.when(found != "", F.substring(found, 1, 1))).collect()
     assert [tuple(r) for r in t.select(T.tag_value("tag"), T.tag_prefix("tag")).collect()] == [tuple(r) for r in want]
+
+
+WHOLE = ["predicted_tags"]
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_only_odd_documents_are_sorted_by_token(spark, name, monkeypatch):
+    from folio.operators import tokens
+
+    cut, seen = tokens.from_text, []
+    monkeypatch.setattr(tokens, "from_text", lambda docs: seen.append(docs) or cut(docs))
+    rows = catalog.queries()[name](spark, SF)
+    assert [d.count() for d in seen] == [0] and rows.count() > 10_000
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_texts_give_the_rows_of_windows(spark, name, tmp_path, monkeypatch):
+    from folio.operators import tokens
+
+    texts = {1: "a  b o,\n\nsee the end,", 2: None, 3: "", 4: "same text of two\nrows", 5: "\n".join(["x Y"] * 120), 6: "o e\n \n", 7: " ", 8: "one", 9: "long " * 30}
+    rows = [*texts.items(), (4, texts[4])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = []
+    for most in (-1, 100, 1 << 18):  # all in windows, the long ones, only the id that stands twice
+        monkeypatch.setattr(tokens, "WHOLE_TEXT", most)
+        found.append(sorted(map(repr, catalog.queries()[name](spark, str(tmp_path)).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == sum(len(t.replace("\n", " ").split(" ")) for _, t in rows if t is not None)
