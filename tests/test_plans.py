@@ -93,7 +93,7 @@ def test_tags_by_their_beginning_are_those_of_the_pattern(spark):
     assert [tuple(r) for r in t.select(T.tag_value("tag"), T.tag_prefix("tag")).collect()] == [tuple(r) for r in want]
 
 
-WHOLE = ["predicted_tags", "context_features"]
+WHOLE = ["predicted_tags", "context_features", "token_positions"]
 
 
 @pytest.mark.parametrize("name", WHOLE)
