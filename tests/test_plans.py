@@ -118,3 +118,11 @@ def test_whole_texts_give_the_rows_of_windows(spark, name, tmp_path, monkeypatch
         monkeypatch.setattr(tokens, "WHOLE_TEXT", most)
         found.append(sorted(map(repr, catalog.queries()[name](spark, str(tmp_path)).collect())))
     assert found[0] == found[1] == found[2] and len(found[0]) == sum(len(t.replace("\n", " ").split(" ")) for _, t in rows if t is not None)
+
+
+def test_sub_items_sort_tokens_once(spark):
+    out = io.StringIO()
+    with redirect_stdout(out):
+        catalog.queries()["sub_items"](spark, SF).explain()
+    p = out.getvalue()
+    assert "Aggregate" not in p and sum("Sort [" in line and "page_idx" in line for line in p.splitlines()) == 1
