@@ -126,3 +126,11 @@ def test_sub_items_sort_tokens_once(spark):
         catalog.queries()["sub_items"](spark, SF).explain()
     p = out.getvalue()
     assert "Aggregate" not in p and sum("Sort [" in line and "page_idx" in line for line in p.splitlines()) == 1
+
+
+def test_only_tokens_of_mapped_items_are_grouped(spark):
+    out = io.StringIO()
+    with redirect_stdout(out):
+        catalog.queries()["single_node_text"](spark, SF).explain()
+    p = out.getvalue()
+    assert p.rindex("IN (short,o)") > p.rindex("Aggregate")
